@@ -16,7 +16,33 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role").unionByName(spark.sql("SELECT -7L AS conv_id, 1L AS turn, 'assistant' AS role"))
+    return digests(format_chats(turns.unionByName(more.withColumn("text", F.lit(said)))))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
+    "op10_chat_format": op10_chat_format,
+}
 
 ORACLES = {
     "op2_exact_dedup": r"""
