@@ -40,6 +40,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chats
 
@@ -55,6 +68,8 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
 
