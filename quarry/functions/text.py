@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,26 +69,34 @@ def stem(token: Column) -> Column:
     return out
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c with c worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def expand_synonyms(c: Column) -> Column:
     """The text followed by synonyms of its words, and by the terms its words are synonyms of; nothing
     that it contains already. Terms in alphabetical order."""
-    low = F.lower(c)
-    words = F.split(low, r"\s+")
-    out = [c]
-    for term in sorted(SYNONYMS):
-        has = F.array_contains(words, term)
-        for s in SYNONYMS[term]:
-            out.append(F.when(has & ~F.contains(low, F.lit(s)), F.lit(s)))
-        called = F.arrays_overlap(words, F.array(*map(F.lit, SYNONYMS[term])))
-        out.append(F.when(called & ~F.contains(low, F.lit(term)), F.lit(term)))
-    return F.concat_ws(" ", *out)
+
+    def more(text: Column, low: Column, words: Column) -> Column:
+        out = [text]
+        for term in sorted(SYNONYMS):
+            has = F.array_contains(words, term)
+            for s in SYNONYMS[term]:
+                out.append(F.when(has & ~F.contains(low, F.lit(s)), F.lit(s)))
+            called = F.arrays_overlap(words, F.array(*map(F.lit, SYNONYMS[term])))
+            out.append(F.when(called & ~F.contains(low, F.lit(term)), F.lit(term)))
+        return F.concat_ws(" ", *out)
+
+    return let(c, lambda t: let(F.lower(t), lambda low: let(F.split(low, r"\s+"), lambda w: more(t, low, w))))
 
 
 def expand_acronyms(c: Column) -> Column:
-    low = F.lower(c)
-    words = F.split(low, r"\s+")
-    out = [F.when(F.array_contains(words, a) & ~F.contains(low, F.lit(e)), F.lit(e)) for a, e in sorted(ACRONYMS.items())]
-    return F.concat_ws(" ", c, *out)
+    def more(text: Column, low: Column, words: Column) -> Column:
+        out = [F.when(F.array_contains(words, a) & ~F.contains(low, F.lit(e)), F.lit(e)) for a, e in sorted(ACRONYMS.items())]
+        return F.concat_ws(" ", text, *out)
+
+    return let(c, lambda t: let(F.lower(t), lambda low: let(F.split(low, r"\s+"), lambda w: more(t, low, w))))
 
 
 def expand_query(c: Column, synonyms: bool = True, acronyms: bool = True) -> Column:

@@ -14,3 +14,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows of a list that is short by construction (a top-k), held by the driver: what is planned on
+    them next starts from a local relation. Fails on anything longer than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)

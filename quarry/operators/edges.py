@@ -81,8 +81,8 @@ def candidates(symbols: DataFrame, type_edges: DataFrame | None = None, data_flo
         t = type_edges.withColumnRenamed("parent", "name").join(own, ["file_path", "name"])
         out = out.unionByName(t.select("id", "file_path", "name", F.lit("type").alias("type"), F.col("type").alias("target")))
     if data_flow is not None:
-        f = data_flow.withColumnRenamed("owner", "owner_").join(own, (F.col("owner_") == own.name) & (data_flow.file_path == own.file_path))
-        out = out.unionByName(f.select(own.id, own.file_path, own.name, F.col("flow").alias("type"), F.col("target")))
+        f = data_flow.withColumnRenamed("owner", "name").join(own, ["file_path", "name"])
+        out = out.unionByName(f.select("id", "file_path", "name", F.col("flow").alias("type"), "target"))
     return out.filter("target <> name").select("id", "file_path", "type", "target").distinct()
 
 
