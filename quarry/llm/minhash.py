@@ -9,8 +9,9 @@ chance collisions, and what is not clearly below the threshold is confirmed on t
 Links are needed only as far as they join components, so pairs within a bucket are never listed. In each
 round every class is compared with one pivot of its buckets, the least under an order that changes by
 round, and confirmed links merge components. Buckets of a single component are done. After ``ROUNDS``
-rounds the classes of the buckets left are compared exhaustively across components, block against block
-on the signatures, so that no link is lost however the rounds went.
+rounds the classes of the buckets left are compared exhaustively across components, block against block:
+by signatures, then on the full sets in place, so that no link is lost however the rounds went and only
+links that join components are returned.
 
 Nulls and empty texts have no shingles, size 0, and link with nothing; a text of fewer words than a
 shingle has one, the whole sequence. A null identifier yields to any other as component_id. Rows repeated
@@ -213,9 +214,33 @@ def estimate(x: Column, y: Column) -> Column:
     return 1 - apart / F.lit(BANDS * ROWS * (1 - 2.0**-BITS))
 
 
-def _across(least: float):
-    """Exhaustive comparison: pairs of a run of rows (_bk, _i, _j, ...) across blocks and components
-    whose estimate reaches ``least``; a pair that shares several buckets comes from the first."""
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[left[k]] and sets[right[k]]. Many pairs of few sets are counted
+    by products of their incidence matrix, a slice of the shingles at a time."""
+    if len(left) < 2000:
+        out = np.empty(len(left), np.int64)
+        for k, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            s, t = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            out[k] = np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s)
+        return out
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    order = order[n[at[order]] > 1]  # a shingle of one set is in no intersection
+    owner, number = owner[order], np.cumsum(np.diff(at[order], prepend=-1) != 0) - 1
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        span = slice(*np.searchsorted(number, [low, low + 4096]))
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[owner[span], number[span] - low] = 1
+        total += x @ x.T
+    return total[left, right].astype(np.int64)
+
+
+def _across(least: float, share: int, of: int):
+    """Exhaustive comparison of a run of rows (_bk, _i, _j, ...) across blocks and components: pairs whose
+    estimate reaches ``least`` are compared on their full sets, and links that join components not yet
+    joined in the run are returned. A pair that shares several buckets belongs to the first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, key = [], None
@@ -224,13 +249,14 @@ def _across(least: float):
             if len(rows) < 2:
                 return
             bk, i, j = key
-            side = [r[3] for r in rows]
+            side, cls = [r[3] for r in rows], [r[5] for r in rows]
             number = {c: n for n, c in enumerate({r[4] for r in rows})}
-            comp, cls = np.array([number[r[4]] for r in rows]), [r[5] for r in rows]
+            comp = np.array([number[r[4]] for r in rows])
             sig, bands = np.array([r[6] for r in rows], np.int64).view(np.uint64), np.array([r[7] for r in rows], np.int64)
+            sets = [np.frombuffer(r[8], np.uint64) for r in rows]
             left = np.array([k for k, s in enumerate(side) if s == i], np.int64)
             right = np.array([k for k, s in enumerate(side) if s == j], np.int64) if i != j else left
-            mask, out = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS))), ([], [])
+            mask, pairs = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS))), []
             most = BANDS * ROWS * (1 - 2.0**-BITS) * (1 - least)
             for n, p in enumerate(left.tolist()):
                 others = right[n + 1 :] if i == j else right
@@ -243,18 +269,34 @@ def _across(least: float):
                     z |= z >> np.uint64(step)
                     step *= 2
                 near = others[np.bitwise_count(z & mask).sum(1) <= most]
-                if not len(near):
-                    continue
-                first = (bands[near] == bands[p]).argmax(1)
-                near = near[bands[p][first] == bk]
-                out[0].extend([cls[p]] * len(near))
-                out[1].extend(cls[q] for q in near.tolist())
+                if len(near):
+                    near = near[bands[p][(bands[near] == bands[p]).argmax(1)] == bk]
+                    pairs.append(np.stack([np.full(len(near), p), near]))
+            if not pairs:
+                return
+            x, y = np.concatenate(pairs, 1)
+            size = np.array([len(s) for s in sets])
+            both = overlaps(sets, x, y)
+            link = of * both >= share * (size[x] + size[y] - both)
+            top, out = list(range(len(number))), ([], [])
+
+            def find(c: int) -> int:
+                while top[c] != c:
+                    c = top[c]
+                return c
+
+            for p, q in zip(x[link].tolist(), y[link].tolist(), strict=True):
+                c, d = find(int(comp[p])), find(int(comp[q]))
+                if c != d:
+                    top[c] = d
+                    out[0].append(cls[p])
+                    out[1].append(cls[q])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["a", "b"])
 
-        for b in batches:
-            cols = (b.column(c).to_pylist() for c in ("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands"))
-            for r in zip(*cols, strict=True):
+        names = ("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands", "_set")
+        for part in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            for r in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                 if r[:3] != key:
                     yield from flush()
                     rows, key = [], r[:3]
@@ -317,17 +359,16 @@ def _links(text: DataFrame, classes: DataFrame, k: int, share: int, of: int) ->
     if active.isEmpty():
         return links
     n = F.ceil(F.col("_n") / BLOCK).cast("int")
-    sized = active.join(active.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")), "_bk").join(sigs, "_cls")
+    sized = active.join(active.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")), "_bk").join(sigs, "_cls").join(sets, "_cls")
     sided = sized.withColumn("_side", F.pmod(F.xxhash64("_cls"), n).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), n - 1)))
     sided = sided.withColumn("_i", F.least("_side", "_t")).withColumn("_j", F.greatest("_side", "_t"))
-    sided = sided.select("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands").repartition("_bk", "_i", "_j").sortWithinPartitions("_bk", "_i", "_j")
-    near = materialize(sided.mapInArrow(_across(least), "a binary, b binary"), "across")
-    return links.unionByName(materialize(_confirmed(near, sets, share, of), "confirmed"))
+    sided = sided.select("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands", "_set").repartition("_bk", "_i", "_j").sortWithinPartitions("_bk", "_i", "_j")
+    return links.unionByName(materialize(sided.mapInArrow(_across(least, share, of), "a binary, b binary"), "across"))
 
 
 def _active(members: DataFrame, links: DataFrame) -> DataFrame:
     """Buckets whose classes are not yet of one component: (_bk, _cls, _comp)."""
-    roots = materialize(components(links, "round").select(F.col("node").alias("_cls"), "root"), "roots")
+    roots = components(links, "round").select(F.col("node").alias("_cls"), "root")
     now = members.select("_bk", "_cls").join(roots, "_cls", "left").select("_bk", "_cls", F.coalesce("root", "_cls").alias("_comp"))
     open_ = now.groupBy("_bk").agg(F.min("_comp").alias("x"), F.max("_comp").alias("y")).filter("x != y").select("_bk")
     return materialize(now.join(open_, "_bk"), "active")
