@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -20,17 +21,27 @@ from .search import Answer, Settings, assemble, search
 from .sources.files import normalise
 
 
+#: Answers kept for repeated searches.
+ANSWERS = 64
+
+
 class Workspace:
     """A store and the requests over it."""
 
     def __init__(self, store: Store, roots: list[str] | None = None, settings: Settings | None = None):
         self.store, self.roots, self.settings = store, roots or [], settings or Settings()
+        self._answers: OrderedDict[tuple, Answer] = OrderedDict()
 
     # Search.
 
     def search_code(self, query: str, limit: int = 5, exported_only: bool = False) -> Answer:
-        began = time.time()
-        out = search(self.store, query, limit, exported_only, self.settings)
+        key, began = (query, limit, exported_only, repr(self.settings)), time.time()
+        if key in self._answers:  # until the index or the feedback changes
+            self._answers.move_to_end(key)
+            return self._answers[key]
+        out = self._answers[key] = search(self.store, query, limit, exported_only, self.settings)
+        while len(self._answers) > ANSWERS:
+            self._answers.popitem(last=False)
         self._append("search_runs", {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "query": query, "query_limit": limit, "exported_only": exported_only})
         return out
 
@@ -43,6 +54,7 @@ class Workspace:
 
     def report_selection(self, query: str, selected_symbol_id: str, position: int, now: int | None = None) -> None:
         q = query.strip().lower()
+        self._answers.clear()
         self._append("query_selections", {"query": q, "query_normalized": q, "id": selected_symbol_id, "position": position, "created_at": now if now is not None else int(time.time())})
 
     def _append(self, name: str, row: dict) -> None:
@@ -176,11 +188,17 @@ class Workspace:
         for f in files or ():
             self._path(f)  # rejects paths outside the workspace
         began = time.time()
+        self._answers.clear()
         self.store, done = index.refresh(self.store, self.roots)
         row = {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "files_scanned": done["scanned"], "files_indexed": done["indexed"], "files_unchanged": done["unchanged"], "files_deleted": done["deleted"]}
         self._append("index_runs", row)
         return done
 
+    def clear(self) -> None:
+        """Empties every table."""
+        self._answers.clear()
+        self.store.tables = {name: t.limit(0) for name, t in self.store.tables.items()}
+
     def get_index_stats(self) -> dict:
         s, e = self.store["symbols"], self.store["edges"]
         last = R.latest(self.store["index_runs"], ["started_at"]).head()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import ACRONYMS, CALL_STOP, NAME_STOP, SYNONYMS
+from .lexicon import ACRONYMS, CALL_STOP, NAME_STOP, SHORT_FORMS, SYNONYMS
 
 IDENTIFIER = "[A-Za-z_$][A-Za-z0-9_$]*"
 
@@ -105,6 +105,17 @@ def expand_query(c: Column, synonyms: bool = True, acronyms: bool = True) -> Col
     return expand_acronyms(c) if acronyms else c
 
 
+def plain_query(c: Column) -> Column:
+    """Normalised words, each followed by the long form of a short one and by its stem."""
+
+    def more(w: Column) -> Column:
+        low = F.lower(w)
+        long = F.element_at(F.create_map(*[F.lit(x) for kv in SHORT_FORMS.items() for x in kv]), low)
+        return F.filter(F.array(w, long, F.when(low.rlike("^[a-z]{5,}$"), stem(low))), lambda x: x.isNotNull())
+
+    return F.array_join(F.flatten(F.transform(F.split(normalize_query(c), " "), more)), " ")
+
+
 def index_text(text: Column, name: Column, path: Column) -> Column:
     """Text for the index: with the split name and the path's segments, where it lacks them."""
     stem_ = F.regexp_replace(path, r"\.[^./]+$", "")

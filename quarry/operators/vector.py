@@ -95,3 +95,9 @@ def trim_cache(cache: DataFrame, most_bytes: int, share: float = 0.1) -> DataFra
 def checked(batch: DataFrame, dim: int, vec_col: str = "vector") -> DataFrame:
     """Rows to append, failing on a vector of another dimension."""
     return batch.filter(F.assert_true(F.size(vec_col) == dim).isNull())
+
+
+def migrated(vectors: DataFrame, dim: int, vec_col: str = "vector") -> tuple[DataFrame, bool]:
+    """(the table, False) if its vectors have the dimension; else (no rows, True): embed anew."""
+    other = vectors.filter(F.size(vec_col) != dim).limit(1).count()
+    return (vectors.limit(0), True) if other else (vectors, False)

@@ -31,6 +31,7 @@ def test_words(spark):
     assert value(spark, T.ngrams(F.lit("abcd"))) == ["abc", "bcd", "abcd"] and value(spark, T.ngrams(F.lit("ab"))) == ["ab"]
     for w, s in {"testing": "test", "boxes": "box", "cats": "cat", "bing": None, "as": None, "used": None, "singing": "s"}.items():
         assert value(spark, T.stem(F.lit(w))) == (s if s and len(s) >= 3 else None), w
+    assert value(spark, T.plain_query(F.lit("db testingThings or"))) == "db database testing test Things thing or"
     assert "database" in value(spark, T.expand_query(F.lit("db error"))).split()
     assert value(spark, T.expand_acronyms(F.lit("the jwt"))) == "the jwt json web token"
 

@@ -109,6 +109,7 @@ def test_vectors(spark):
     assert [r.k for r in key] == ["5" * 16, "8" + "0" * 15]
     with pytest.raises(Exception, match="not true"):
         V.checked(v, 3).collect()
+    assert V.migrated(v.filter("id <> 'bad'"), 3)[1] is False and V.migrated(v, 3)[1] is True
     cache = frame(spark, "cache_key string, embedding array<double>, last_accessed_at long", *[(str(k), [0.0] * 8, k) for k in range(20)])
     assert V.trim_cache(cache, 10**9).count() == 20 and V.trim_cache(cache, 10).count() == 18
 

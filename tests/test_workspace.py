@@ -85,7 +85,7 @@ def test_edges_and_graph(workspace):
 def test_search(workspace):
     top = workspace.search_code("addNumbers", 5)
     assert top.hits.orderBy("rank").first().name == "addNumbers" or "addNumbers" in names(top.hits)
-    assert "addNumbers" in top.context
+    assert "addNumbers" in top.context and workspace.search_code("addNumbers", 5) is top
     assert names(workspace.search_code("who calls addNumbers", 10).hits) >= {"helper", "run"}
     only = workspace.search_code("lang:rust distance between points", 5)
     assert {r.language for r in only.hits.collect()} <= {"rust", "typescript", "python"} and "distance" in names(only.hits)
