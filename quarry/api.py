@@ -13,6 +13,7 @@ from . import index
 from .functions import text as T
 from .functions.hashing import embed
 from .index import Store
+from .metrics import Metrics
 from .operators import graph as G
 from .operators import ranking as K
 from .operators import relational as R
@@ -31,6 +32,7 @@ class Workspace:
     def __init__(self, store: Store, roots: list[str] | None = None, settings: Settings | None = None):
         self.store, self.roots, self.settings = store, roots or [], settings or Settings()
         self._answers: OrderedDict[tuple, Answer] = OrderedDict()
+        self.metrics = Metrics()
 
     # Search.
 
@@ -42,6 +44,8 @@ class Workspace:
         out = self._answers[key] = search(self.store, query, limit, exported_only, self.settings)
         while len(self._answers) > ANSWERS:
             self._answers.popitem(last=False)
+        self.metrics.count("searches")
+        self.metrics.observe("search", time.time() - began)
         self._append("search_runs", {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "query": query, "query_limit": limit, "exported_only": exported_only})
         return out
 
@@ -191,6 +195,7 @@ class Workspace:
         self._answers.clear()
         self.store, done = index.refresh(self.store, self.roots)
         row = {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "files_scanned": done["scanned"], "files_indexed": done["indexed"], "files_unchanged": done["unchanged"], "files_deleted": done["deleted"]}
+        self.metrics.observe("index", time.time() - began)
         self._append("index_runs", row)
         return done
 
