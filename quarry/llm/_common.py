@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _written: dict[str, list[str]] = {}
@@ -56,6 +57,13 @@ def partitions(spark: SparkSession, amount: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(amount // each) + 1)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, so that Python holds few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def crc_fold(col: str | Column, folds: int) -> Column:
     """crc32 of an identifier's decimal text, modulo ``folds`` (null identifiers: fold of '')."""
     c = F.col(col) if isinstance(col, str) else col
@@ -86,13 +94,59 @@ def numbered(df: DataFrame, order: list[Column], to: str, n: int | None = None)
     )
 
 
-def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts at a time.
+CHUNK = 300_000
+
+
+def _contract(chunk: int):
+    """Edges (a, b) to (node, least node of its component), for each run of ``chunk`` edges by itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict = {}
+        held, kind = 0, None
+
+        def find(x):
+            root = x
+            while top[root] != root:
+                root = top[root]
+            while top[x] != root:
+                top[x], x = root, top[x]
+            return root
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nodes = list(top)
+            for at in range(0, len(nodes), 50_000):
+                some = nodes[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([find(x) for x in some], kind)], names=["a", "b"])
+
+        for b in slices(batches, 20_000):
+            kind = b.schema.field("a").type
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                top.setdefault(x, x)
+                top.setdefault(y, y)
+                x, y = find(x), find(y)
+                if x < y:
+                    top[y] = x
+                elif y < x:
+                    top[x] = y
+            held += b.num_rows
+            if held >= chunk:
+                yield from flush()
+                top, held = {}, 0
+        yield from flush()
+
+    return run
+
+
+def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, root) per node with an
     edge to another, ``root`` being the least node of its component.
 
-    Alternates large-star and small-star rounds, which converge in a logarithmic number of rounds
-    whatever the diameter. Every step is a partial aggregate and a join against one row per node; the
-    neighbours of a node are never gathered. Edges are written to the shared folder in each round.
+    Runs of at most ``chunk`` edges are contracted each by one task to stars around their least nodes. If
+    there is but one run, that is all. Otherwise large-star and small-star rounds join the stars; they
+    converge in a logarithmic number of rounds whatever the diameter. Every step is a partial aggregate
+    and a join against one row per node; the neighbours of a node are never gathered. Edges are written to
+    the shared folder in each round.
     """
     a, b = F.col("a"), F.col("b")
 
@@ -103,11 +157,15 @@ def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> Data
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return (r[0], r[1])
 
-    e = materialize(tidy(edges), what)
+    kind = edges.schema["a"].dataType.simpleString()
+    e = materialize(edges.filter(a != b).select("a", "b"), what)
+    n = e.count()
+    stars = e.coalesce(n // chunk + 1).mapInArrow(_contract(chunk), f"a {kind}, b {kind}")
+    if n < chunk:
+        return materialize(stars.select(a.alias("node"), b.alias("root")), what)
+    e = materialize(tidy(stars), what)
     seen = mark(e)
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = tidy(both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")))
@@ -125,7 +183,3 @@ def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> Data
         raise RuntimeError("components did not converge")
     roots = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(e.select(b.alias("node"), b.alias("root")).distinct())
-
-
-def arrow_schema(schema: str) -> T.StructType:
-    return T.StructType.fromDDL(schema)

@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialize
+from ._common import components, materialize, slices
 
 BANDS, ROWS, BITS = 30, 5, 4
 #: Words of a signature (64 bits each), and how far below the threshold an estimate may lie: five of its
 #: standard deviations, so that a true link is turned away once in millions.
 WORDS = -(-BANDS * ROWS * BITS // 64)
-SLACK, ROUNDS, BLOCK = 0.15, 3, 512
+SLACK, ROUNDS = 0.15, 3
+#: Classes of a block, and shingles of all of them: what bounds the memory of a comparison.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Fixed odd multipliers of the word and shingle hashes.
 _P, _Q, _R = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 _SPACE = np.zeros(256, bool)
@@ -88,7 +90,7 @@ class Shingler:
             h = (h ^ (h >> np.uint64(31))) * np.uint64(_Q) + w[j : j + m]
         return np.unique(_mix(h))
 
-    def batches(self, texts: list[str | None], size: int = 1 << 21) -> Iterator[np.ndarray]:
+    def batches(self, texts: list[str | None], size: int = 1 << 20) -> Iterator[np.ndarray]:
         """Shingles per text, in order; long texts are read whole."""
         at = 0
         while at < len(texts):
@@ -142,7 +144,7 @@ def class_of(s: np.ndarray) -> bytes:
 def _sketch(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minima = Shingler(k), Minima(BANDS * ROWS)
-        for b in batches:
+        for b in slices(batches):
             cls, size, sig, bands = [], [], [], []
             for s in shingler.batches(b.column("_text").to_pylist()):
                 size.append(len(s))
@@ -168,12 +170,8 @@ def _sets(k: int, bits: bytes):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, wanted = Shingler(k), np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
-        for b in batches:
-            b = b.filter(pa.array(wanted[b.column("_bit").to_numpy()]))
-            at = 0
-            while at < b.num_rows:
-                part = b.slice(at, 500)
-                at += 500
+        for b in slices(batches, 2000):
+            for part in slices([b.filter(pa.array(wanted[b.column("_bit").to_numpy()]))]):
                 got = [(class_of(s), s.tobytes()) for s in shingler.batches(part.column("_text").to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], pa.binary()) for j in (0, 1)], names=["_cls", "_set"])
 
@@ -295,7 +293,7 @@ def _across(least: float, share: int, of: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["a", "b"])
 
         names = ("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands", "_set")
-        for part in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for part in slices(batches):
             for r in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                 if r[:3] != key:
                     yield from flush()
@@ -313,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sketches = materialize(text.mapInArrow(_sketch(k), "_id long, n_shingles long, _cls binary, _sig array<long>, _bands array<long>"), "sketches")
-    classes = sketches.filter("n_shingles > 0").groupBy("_cls").agg(F.min("_id").alias("_rep"), F.any_value("_sig").alias("_sig"), F.any_value("_bands").alias("_bands"))
+    classes = sketches.filter("n_shingles > 0").groupBy("_cls").agg(F.min("_id").alias("_rep"), F.max("n_shingles").alias("_size"), F.any_value("_sig").alias("_sig"), F.any_value("_bands").alias("_bands"))
     classes = materialize(classes, "classes")
     links = _links(text, classes, k, share, of)
     roots = components(links, "links")
@@ -333,7 +331,7 @@ def _links(text: DataFrame, classes: DataFrame, k: int, share: int, of: int) ->
     members = materialize(entries.join(shared.select("_bk"), "_bk"), "buckets")
     wanted = materialize(members.select("_cls").distinct(), "wanted")
     sets = _full_sets(text, classes.join(wanted, "_cls", "left_semi"), wanted, k)
-    sigs = materialize(classes.join(wanted, "_cls", "left_semi").select("_cls", "_sig", "_bands"), "sigs")
+    sigs = materialize(classes.join(wanted, "_cls", "left_semi").select("_cls", "_size", "_sig", "_bands"), "sigs")
     links = None
     for r in range(ROUNDS):
         order = F.xxhash64(F.col("_cls"), F.lit(r))
@@ -358,8 +356,9 @@ def _links(text: DataFrame, classes: DataFrame, k: int, share: int, of: int) ->
     active = _active(members, links)
     if active.isEmpty():
         return links
-    n = F.ceil(F.col("_n") / BLOCK).cast("int")
-    sized = active.join(active.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")), "_bk").join(sigs, "_cls").join(sets, "_cls")
+    sizes = active.join(sigs.select("_cls", "_size"), "_cls").groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_all"))
+    n = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_all") / BLOCK_SHINGLES)).cast("int")
+    sized = active.join(sizes, "_bk").join(sigs.drop("_size"), "_cls").join(sets, "_cls")
     sided = sized.withColumn("_side", F.pmod(F.xxhash64("_cls"), n).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), n - 1)))
     sided = sided.withColumn("_i", F.least("_side", "_t")).withColumn("_j", F.greatest("_side", "_t"))
     sided = sided.select("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands", "_set").repartition("_bk", "_i", "_j").sortWithinPartitions("_bk", "_i", "_j")

@@ -91,11 +91,12 @@ def test_estimate_is_near(spark):
     assert all(abs(r.j - r.e) < 0.13 for r in got.collect())
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 40])
+def test_components_of_a_long_chain(spark, chunk):
     rng = np.random.default_rng(0)
     at = rng.permutation(300).tolist()
     edges = [(at[k], at[k + 1]) for k in range(299) if k != 150] + [(7000, 7000), (8001, 8000), (8000, 8001)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5), chunk=chunk).collect()}
     assert {got[x] for x in at[:151]} == {min(at[:151])} and {got[x] for x in at[151:]} == {min(at[151:])}
     assert got[8000] == got[8001] == 8000 and 7000 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
