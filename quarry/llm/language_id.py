@@ -203,7 +203,10 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 4)
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST) -> Network | None:
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_y")).distinct()
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
+    counts = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("_all"))  # a row per language
+    share = F.pmod(F.xxhash64(F.col("_id"), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(counts, "_y").filter(share * F.col("_all") < 4 * most + 64).drop("_all")  # about four times what is taken
+    order = Window.partitionBy("_y").orderBy(F.pmod(F.xxhash64(F.col("_id"), F.lit(9)), F.lit(1 << 30)), "_id")
     picked = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
     got = with_text(docs, picked, id_col, text_col).select("_id", "_y", F.coalesce("_text", F.lit("")).alias("_text")).toPandas()
     got = got.sort_values(["_y", "_id", "_text"], kind="stable")
