@@ -57,6 +57,13 @@ def partitions(spark: SparkSession, amount: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(amount // each) + 1)
 
 
+def lean(spark: SparkSession) -> None:
+    """Keeps Arrow batches of the session to a few MB: texts are long, and each task holds several batches
+    in the JVM and in Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
     """Batches in parts of few rows, so that Python holds few texts at a time."""
     for b in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, partitions
+from ._common import lean, materialize, partitions, slices
 
 _SPACE = b" \t\n\r\x0b\x0c"
 #: Identifiers above every real one: what a null identifier counts as.
@@ -178,9 +178,9 @@ def _reduce(batch_bytes: int, payload: pa.Schema):
                 yield from t.slice(at, each).to_batches()
                 at += each
 
-        for b in batches:
+        for b in slices(batches):
             row = b.column(0)
-            fields = [row.field(i) for i in range(row.type.num_fields)]
+            fields = row.flatten()
             b = pa.RecordBatch.from_arrays(fields, schema=payload)
             held.append(b)
             for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
@@ -201,7 +201,7 @@ def _own(limit: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(lambda a, b: (min(a[0], b[0]), a[1] + b[1], a[2] + b[2]), limit)
-        for b in batches:
+        for b in slices(batches):
             for key, text, low, n in zip(*(b.column(c).to_pylist() for c in ("_key", "_text", "_low", "_n")), strict=True):
                 trie.insert(normalise(text), (((low is None, low or 0), key), n, [key]))
         out, n = [[], [], [], [], []], 0
@@ -227,11 +227,12 @@ def _owned(cols) -> pa.RecordBatch:
 
 
 def owners(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, batch_bytes: int = 24 << 20, trie_bytes: int = 192 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, batch_bytes: int = 12 << 20, trie_bytes: int = 96 << 20
 ) -> tuple[DataFrame, DataFrame]:
     """(reduced rows, owner of each reduced row). The reduced rows are a table in the shared folder;
     with ``carry`` they hold the whole row of their smallest identifier."""
     spark = docs.sparkSession
+    lean(spark)
     cols = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")]
     if carry:
         cols += [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns) if c not in (id_col, text_col)]

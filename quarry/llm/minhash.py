@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialize, slices
+from ._common import components, lean, materialize, slices
 
 BANDS, ROWS, BITS = 30, 5, 4
 #: Words of a signature (64 bits each), and how far below the threshold an estimate may lie: five of its
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links documents with of * intersection >= share * union of their sets of ``k``-word shingles.
     """
+    lean(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sketches = materialize(text.mapInArrow(_sketch(k), "_id long, n_shingles long, _cls binary, _sig array<long>, _bands array<long>"), "sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("_cls").agg(F.min("_id").alias("_rep"), F.max("n_shingles").alias("_size"), F.any_value("_sig").alias("_sig"), F.any_value("_bands").alias("_bands"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean, slices
+
 WINDOW, END = 2048, 1
 #: Documents of a shard on average; documents and tokens at which a task closes an index and begins
 #: the next, should a shard turn out larger. Every document is indexed and packed either way.
@@ -57,7 +59,7 @@ class Ids:
     of other vocabularies, through the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -151,12 +153,10 @@ def _tokenise(path: str | None, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path or default_tokenizer())
         tail = np.array([end], ids.kind).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                got = [x + tail for x in ids.batch(part.column("_text").to_pylist())]
-                wide = pa.array([ids.kind == "<u4"] * part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_shard", "_h")), wide, pa.array(got, pa.binary())], names=["_id", "_shard", "_h", "_wide", "_ids"])
+        for part in slices(batches, 500):
+            got = [x + tail for x in ids.batch(part.column("_text").to_pylist())]
+            wide = pa.array([ids.kind == "<u4"] * part.num_rows)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_shard", "_h")), wide, pa.array(got, pa.binary())], names=["_id", "_shard", "_h", "_wide", "_ids"])
 
     return run
 
@@ -264,7 +264,7 @@ def _pack(window: int, most_docs: int, most_tokens: int):
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in batches:
+        for b in slices(batches, 500):
             for s, i, wide, raw in zip(*(b.column(c).to_pylist() for c in ("_shard", "_id", "_wide", "_ids")), strict=True):
                 if s != shard or len(docs) >= most_docs or tokens >= most_tokens:
                     yield from flush()
@@ -290,6 +290,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece (SCHEMA). ``tokenizer`` is the path of a tokenizers file on every executor."""
     spark = docs.sparkSession
+    lean(spark)
     shards = docs.count() // shard_docs + 1
     h = F.xxhash64(id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.pmod(h, F.lit(shards)).cast("long").alias("_shard"), h.alias("_h"), F.col(text_col).alias("_text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_fold
+from ._common import crc_fold, lean, slices
 from ._training import Adam, labelled, sample, with_text
 
 MOST, HIDDEN, STEPS, BATCH, RATE = 6000, 16, 1500, 512, 0.01
@@ -142,13 +142,14 @@ def train(pos: np.ndarray, unl: np.ndarray, share: float | None = None, seed: in
 
 
 def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x = _many(b.column("_text").to_pylist())
         yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_y", "_x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> tuple[Net, float] | None:
     """(network, estimated prior), or None without positives."""
+    lean(docs.sparkSession)
     rows = labelled(labels, label, HELD_OUT, FOLDS)
     n0, n1 = rows.agg(F.count_if(F.col("_y") == 0), F.count_if(F.col("_y") == 1)).first()
     pos = sample(rows.filter("_y = 1"), most)
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 def _score(net: Net | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = _sigmoid(net.out(_many(b.column("_text").to_pylist()))) if net and b.num_rows else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "held_out")), pa.array(s, pa.float64())], names=["_id", "held_out", "score"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_fold, materialize
+from ._common import crc_fold, lean, materialize, slices
 from ._training import Isotonic, Trees, labelled, sample, with_text
 
 #: Labelled rows per class that the fit may see, and entries a lexicon may have.
@@ -70,7 +70,7 @@ class Features:
         text = text or ""
         tokens = text.split()
         n = max(1, len(tokens))
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 100_000:
             self.seen = {}
         seen = self.seen
         hits = distinct = weight = stems = stem_weight = undone = odd = address = best = single = caps = 0.0
@@ -153,7 +153,7 @@ def lexicons(texts: DataFrame, sizes: dict[tuple[int, bool], int]) -> list[tuple
 def _featurise(by_half: dict[bool, tuple[dict[str, float], dict[str, float]]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = {h: Features(*lex) for h, lex in by_half.items()}
-        for b in batches:
+        for b in slices(batches):
             x = [f[h].one(t) for h, t in zip(b.column("_half").to_pylist(), b.column("_text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(x, pa.list_(pa.float64()))], names=["_id", "_y", "_x"])
 
@@ -161,6 +161,7 @@ def _featurise(by_half: dict[bool, tuple[dict[str, float], dict[str, float]]]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> Model | None:
+    lean(docs.sparkSession)
     rows = labelled(labels, label, HELD_OUT, FOLDS)
     sizes = {r._y: r["count"] for r in rows.groupBy("_y").count().collect()}
     if len(sizes) < 2:
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 def _score(model: Model | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(model.words, model.stems) if model else None
-        for b in batches:
+        for b in slices(batches):
             s = model.scale.predict(model.trees.predict(f.many(b.column("_text").to_pylist()))) if model and b.num_rows else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "held_out")), pa.array(s, pa.float64())], names=["_id", "held_out", "score"])
 
@@ -198,6 +199,7 @@ def _score(model: Model | None):
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, held_out, score, predicted."""
+    lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), (crc_fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("_text"))
     out = rows.mapInArrow(_score(model), "_id long, held_out boolean, score double")
     return out.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -212,9 +214,9 @@ def clean_rows(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(model.words, model.stems)
-        for b in batches:
-            if b.num_rows:
-                s = model.scale.predict(model.trees.predict(f.many(b.column(b.schema.get_field_index(text_col)).to_pylist())))
-                yield b.filter(pa.array(s < THRESHOLD))
+        for b in slices(batches):
+            s = model.scale.predict(model.trees.predict(f.many(b.column(b.schema.get_field_index(text_col)).to_pylist())))
+            yield b.filter(pa.array(s < THRESHOLD))
 
+    lean(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema) if model else docs
