@@ -8,6 +8,10 @@ speak against them (adverts, comments and the like inside an article) are left o
 text: character references decoded, white space within a block turned into one space, blocks joined by
 line feeds.
 
+An element's hints vote together. Names on <html> and <body> say nothing about parts of the page, nor do
+those that follow a word like "with" (``content-with-sidebar``), nor those of wrappers: elements that hold
+<main>, or most words of a page of which next to nothing is left otherwise.
+
 The labelled pages are built by rule (``labelled_pages``) from the names that page templates commonly give
 their parts. Nulls: null html counts as empty and gives an empty text; urls and identifiers pass through.
 Truncated pages and unclosed elements are read as far as they go. Repeated rows are extracted each; extra
@@ -47,6 +51,11 @@ OTHER_NAMES = (
     "sharing social breadcrumb breadcrumbs pagination pager toolbar skip"
 ).split()
 OTHER_TAGS = "nav header footer aside form menu dialog".split()
+#: Words after which a name tells what is beside or missing, and names whose header is a title.
+BESIDE = frozenset("has with no without hide show".split())
+TITLED = frozenset("article content post entry story".split())
+#: Hints of discussions, which may hold most words of a page and yet are no wrappers.
+TALK = frozenset(".comments .comment .commentlist .respond .reply .replies .disqus .discussion".split())
 #: Roles of page parts.
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "search", "form": "form", "main": "main", "dialog": "dialog", "alert": "alert"}
 
@@ -69,8 +78,11 @@ class Weights:
 
 
 #: Lowest and highest score of a word, the score of a tag never seen, and the log-odds below which a
-#: hint excludes its block.
+#: element's hints exclude its block.
 LOW, HIGH, RARE, AGAINST = -0.2, 1.0, -0.1, -1.0
+#: Share of the words left that <article> and <main> must hold for text beside them to go, and share of
+#: a page's words below which next to nothing is left.
+CORE, LITTLE = 0.25, 0.1
 
 
 def _hints(tag: str, attrs: str) -> frozenset[str]:
@@ -81,7 +93,15 @@ def _hints(tag: str, attrs: str) -> frozenset[str]:
         if m[1].lower() == "role":
             found.add("." + ROLES.get(value.lower(), value.lower()))
         else:
-            found.update("." + p for p in _PART.findall(_CAMEL.sub(" ", value).lower()))
+            for name in value.split():
+                parts = _PART.findall(_CAMEL.sub(" ", name).lower())
+                parts = parts[: next((k for k, p in enumerate(parts) if p in BESIDE), None)]
+                if parts[-1:] == ["header"] and TITLED & set(parts):
+                    parts.pop()
+                    if tag == "header":
+                        found.discard(tag)
+                        found.add("article>header")
+                found.update("." + p for p in parts)
     return frozenset(found)
 
 
@@ -132,21 +152,39 @@ class Reader:
                     if not any(t in BLOCKS for t in stack[k + 1 :]):
                         del stack[k:], places[k + 1 :]
                 stack.append(tag)
-                places.append((*places[-1], _hints_of(tag, attrs)))
+                places.append((*places[-1], _hints_of(tag, "" if tag in ("html", "body") else attrs)))
         rest = page[at:]
         if rest:
             yield "text", _BROKEN.sub("", rest), places[-1]
 
 
-def _scope(place: tuple[frozenset[str], ...]) -> Iterator[str]:
-    """Hints of a place; a header, form and the like inside an article count as its parts."""
+def _elements(place: tuple[frozenset[str], ...]) -> Iterator[list[str]]:
+    """Hints of a place by element; a header or footer inside an article counts as its part."""
     inside = False
     for hints in place:
-        for h in hints:
-            yield f"article>{h}" if inside and h in ("header", "footer") else h
+        title = inside and "header" in hints  # its name header says no more than its tag
+        yield [f"article>{h}" if inside and h in ("header", "footer") else h for h in hints if not (title and h == ".header")]
         inside = inside or "article" in hints or "main" in hints
 
 
+def _scope(place: tuple[frozenset[str], ...]) -> Iterator[str]:
+    """Hints of a place."""
+    for hints in _elements(place):
+        yield from hints
+
+
+def _wrappers(words: Counter, most: float) -> set[tuple]:
+    """Places of elements that hold <main>, or more than ``most`` words."""
+    held: Counter = Counter()
+    found = set()
+    for place, n in words.items():
+        for k in range(1, len(place) + 1):
+            held[place[:k]] += n
+            if "main" in place[k - 1]:
+                found.update(place[:j] for j in range(1, k))
+    return found | {p for p, n in held.items() if n > most and not TALK & p[-1]}
+
+
 def labelled_pages() -> Iterator[str]:
     """Pages whose main text lies between <!--main--> and <!--/main-->."""
     words = lambda n: " ".join(["word"] * n)
@@ -186,24 +224,39 @@ def extract(page: str | None, w: Weights | None = None) -> str:
     """The main text of a whole page."""
     w = w or learned()
     page = page or ""
-    aside = bool(re.search(r"<(?:article|main)\b", page, re.I))
+    events = list(Reader(page).events())
+    words: Counter = Counter()
+    for kind, what, place in events:
+        if kind == "text":
+            words[place] += len(what.split())
+    wraps = _wrappers(words, float("inf"))
     score: dict[tuple, tuple[float, bool]] = {}
 
-    def judged(place: tuple) -> tuple[float, bool]:
-        """Score of a word at a place, and whether its block is left out."""
-        got = score.get(place)
-        if got is None:
-            known = [w.hints[h] for h in _scope(place) if h in w.hints]
-            worst, best = min(known, default=0.0), max(known, default=0.0)
+    def judge() -> int:
+        """Scores of a word at each place, and whether its block is left out; returns the words left."""
+        inner, outer = 0, 0
+        for place, n in words.items():
+            votes, best = [], 0.0
+            for k, hints in enumerate(_elements(place), 1):
+                if place[:k] in wraps:
+                    hints = [h for h in hints if h[0] != "." and h != "form"]
+                known = [w.hints[h] for h in hints if h in w.hints]
+                votes.append(sum(known))
+                best = max(best, *known, 0.0)
+            out = min(votes, default=0.0) < AGAINST
             core = any("article" in h or "main" in h for h in place)
-            if worst < AGAINST:
-                got = (LOW, True)
-            elif aside and not core:
-                got = (w.beside, True)
-            else:
-                got = (HIGH if best > 1 else w.plain, False)
-            score[place] = got
-        return got
+            score[place] = (LOW, True) if out else (HIGH if best > 1 else w.plain, False)
+            inner += 0 if out or not core else n
+            outer += 0 if out or core else n
+        if inner > (inner + outer) * CORE:
+            for place, (_, out) in score.items():
+                if not out and not any("article" in h or "main" in h for h in place):
+                    score[place] = (w.beside, True)
+        return inner + outer
+
+    if judge() < words.total() * LITTLE:
+        wraps |= _wrappers(words, words.total() / 2)
+        judge()
 
     blocks: list[str] = []  # texts of the blocks in order
     parts: list[str] = []
@@ -218,7 +271,7 @@ def extract(page: str | None, w: Weights | None = None) -> str:
             if text:
                 blocks.append(text)
 
-    for kind, what, place in Reader(page).events():
+    for kind, what, place in events:
         if kind == "tag":
             total += w.tags.get(what, RARE)
             if what in BLOCKS:
@@ -233,7 +286,7 @@ def extract(page: str | None, w: Weights | None = None) -> str:
             if parts and what:
                 parts.append(" ")
             continue
-        value, out = judged(place)
+        value, out = score[place]
         if total <= low:
             low, first = total, len(blocks)
         total += n * value

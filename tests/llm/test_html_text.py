@@ -31,6 +31,38 @@ def test_parts_of_a_page():
     assert extract("2 < 3 & 4") == "2 < 3 & 4"
 
 
+def test_names_of_wrappers_cut_nothing():
+    body = "<p>" + "word " * 30 + "</p>"
+    text = ("word " * 30).strip()
+    for page in (
+        f'<html class="no-header"><body class="has-sidebar search">{body}</body></html>',
+        f'<body><div class="content-with-sidebar">{body}</div></body>',
+        f'<body><div class="sidebar-layout"><div class="inner">{body}</div></div><div class="footer">x y</div></body>',
+        f'<body><a>Skip</a><div class="search-page"><main>{body}<div class="ad">buy buy</div></main></div></body>',
+        f'<form id="aspnetForm">{body}</form>',
+    ):
+        assert extract(page) == text, page
+    for head in ('<div class="entry-header"><h1>Title</h1></div>', '<header class="entry-header"><h1>Title</h1></header>'):
+        assert extract(f'<body><div class="post">{head}{body}</div></body>') == "Title\n" + text
+        assert extract(f"<body><article>{head}{body}</article></body>") == "Title\n" + text
+
+
+def test_parts_stay_out():
+    body = "<p>" + "word " * 30 + "</p>"
+    text = ("word " * 30).strip()
+    for part in ('<div class="sidebar"><div class="content">a b</div></div>', "<footer><div class=content>a b</div></footer>", f'<section id="comments"><article>{body * 5}</article></section>'):
+        assert extract(f"<body><div class=post>{body}</div>{part}</body>") == text
+    assert extract(f'<main><article><div class="entry content">{body}<div class="post-share">a b</div></div></article></main>') == text
+
+
+def test_articles_are_read_from_elements():
+    body = "<p>" + "word " * 30 + "</p>"
+    text = ("word " * 30).strip()
+    for other in ('<script>var t = "<article>"</script>', "<!-- <main> -->", '<article class="comment">nice</article>', "<main></main>", "<article>more</article>"):
+        assert text in extract(f"<body><div>{body}</div>{other}</body>"), other
+    assert extract(f"<body><div>beside</div><article>{body}</article></body>") == text
+
+
 def test_query_cases(spark):
     long = "<article><p>" + "word " * 60_000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", long), (3, "u", long), (None, "v", "<p>é &#128512;</p>")]
