@@ -30,8 +30,8 @@ WINDOW, END = 2048, 1
 #: Documents of a shard on average; documents and tokens at which a task closes an index and begins
 #: the next, should a shard turn out larger. Every document is indexed and packed either way.
 SHARD, MOST_DOCS, MOST_TOKENS = 2048, 8192, 16 << 20
-#: BM25 parameters, and how many of a seed's heaviest terms make its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25 parameters, and the share of documents above which a term's weights are held as a dense row.
+K1, B, DENSE = 1.2, 0.75, 1 / 8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -173,20 +173,25 @@ class Index:
         df = np.bincount(term)
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        self.first = np.concatenate([[0], np.cumsum(df)])
-        at = np.concatenate([[0], np.cumsum(each)])
-        self.n, self.query = n, []
-        for k in range(n):
-            own = slice(at[k], at[k + 1])
-            t, w = term[own], weight[own]
-            self.query.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
+        dense = df > n * DENSE
+        self.row = np.cumsum(dense) - 1  # rows of the dense terms
+        thick = dense[term]
+        self.rows = np.zeros((dense.sum(), n), np.float32)
+        self.rows[self.row[term[thick]], doc[thick]] = weight[thick]
+        thin = np.flatnonzero(~thick)
+        thin = thin[np.argsort(term[thin], kind="stable")]
+        self.doc, self.weight = doc[thin].astype(np.int32), weight[thin].astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum(np.where(dense, 0, df))])
+        self.n, self.dense, self.terms = n, dense, terms
 
     def nearest(self, seed: int, used: np.ndarray, k: int) -> np.ndarray:
-        """Up to k unused documents by falling score for the seed's query, ties in document order."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Up to k unused documents by falling score for all terms of the seed, ties in document order."""
+        query = self.terms[seed]
+        thick = self.dense[query]
+        score = self.rows[self.row[query[thick]]].sum(0, dtype=np.float64)
+        spans = [slice(i, j) for i, j in zip(self.first[query[~thick]].tolist(), self.first[query[~thick] + 1].tolist(), strict=True)]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[used] = 0
         if k < self.n:
             some = np.argpartition(-score, k)[:k]

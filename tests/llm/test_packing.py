@@ -57,3 +57,24 @@ def test_neighbours_are_the_closest():
     windows = list(pack_shard(docs, 1024))
     assert {d for d, *_ in windows[0]} >= {0, 3, 6}
     assert sum(n for w in windows for *_, n in w) == 2100
+
+
+def test_queries_hold_all_terms_of_a_seed():
+    rng = np.random.default_rng(2)
+    seed = np.concatenate([np.repeat(np.arange(30), 3), [30, 31]])
+    docs = [d.astype("<u4") for d in (seed, np.array([30, 31]), *(rng.integers(100, 150, 40) for _ in range(20)))]
+    used = np.zeros(len(docs), bool)
+    used[0] = True
+    assert Index(docs).nearest(0, used, 4).tolist() == [1]
+
+
+def test_scores_are_bm25_over_all_terms():
+    rng = np.random.default_rng(3)
+    docs = [np.minimum(rng.zipf(1.4, rng.integers(5, 200)), 400).astype("<u4") for _ in range(60)]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = {t: sum(t in d for d in docs) for t in range(401)}
+    weigh = lambda t, d: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    want = [sum(weigh(t, d) for t in np.unique(docs[5])) for d in docs]
+    used = np.arange(n) == 5
+    want[5] = 0
+    assert Index(docs).nearest(5, used, 10).tolist() == np.argsort(-np.array(want), kind="stable")[:10].tolist()
