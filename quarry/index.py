@@ -15,7 +15,7 @@ from .operators import edges as E
 from .operators import graph as G
 from .operators import vector as V
 from .operators.cut import cut
-from .operators.fulltext import Index
+from .operators.fulltext import Index, gram_index
 from .sources import files as S
 from .sources import manifests as M
 from .streaming.watch import compare, counters
@@ -50,6 +50,9 @@ class Store:
     def index(self) -> Index:
         return Index(self["postings"], self["lengths"])
 
+    def grams(self) -> Index:
+        return Index(self["gram_postings"], self["gram_lengths"])
+
 
 def facts(files: DataFrame) -> dict[str, DataFrame]:
     """Extracted tables of files (file_path, language, text)."""
@@ -70,7 +73,8 @@ def derive(spark: SparkSession, base: dict[str, DataFrame], packages: DataFrame
     tests = symbols.select("file_path").distinct().filter(T.is_linked_test(F.col("file_path")))
     links = tests.select(F.col("file_path").alias("test_file_path"), T.tested_source(F.col("file_path")).alias("source_file_path"), F.lit("bidirectional").alias("link_direction")).filter("source_file_path IS NOT NULL")
     text = T.index_text(F.col("text"), F.col("name"), F.col("file_path"))
-    words = Index.build(real.select("id", "name", text.alias("text")), "id", {"name": T.tokens(F.col("name")), "text": T.tokens(F.col("text"))})
+    read, fields = real.select("id", "name", text.alias("text")), {"name": T.tokens(F.col("name")), "text": T.tokens(F.col("text"))}
+    words, grams = Index.build(read, "id", fields), gram_index(read, "id", fields)
     vectors = real.select("id", (embed if embed is not None else hash_embedding(64)(F.concat_ws(" ", "name", "text"))).alias("vector"))
     tables = dict(base) | {
         "resolved_imports": imports,
@@ -81,6 +85,8 @@ def derive(spark: SparkSession, base: dict[str, DataFrame], packages: DataFrame
         "test_links": links,
         "postings": words.postings,
         "lengths": words.lengths,
+        "gram_postings": grams.postings.drop("positions"),
+        "gram_lengths": grams.lengths,
         "vectors": vectors,
         "similarity_clusters": vectors.select("id", V.cluster_key(F.col("vector")).alias("cluster_key")),
         "symbol_packages": real.select("id", "file_path").join(owners, "file_path", "left").select("id", "package") if owners is not None else real.select("id", F.lit(None).cast("string").alias("package")),

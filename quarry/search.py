@@ -51,7 +51,7 @@ class Answer:
 
 def _keyword(store: Store, text: str, k: int) -> DataFrame:
     words = [w for w in text.lower().split() if w]
-    hits = FT.search(store.index(), " ".join(words), k)
+    hits = FT.search_partial(store.index(), store.grams(), " ".join(words), k).drop("tier")
     return small(hits.withColumnRenamed("doc", "id"))
 
 

@@ -54,6 +54,16 @@ def names(df, column="name"):
     return {r[column] for r in df.collect()}
 
 
+def test_keyword_step_finds_parts_of_words(workspace):
+    from quarry.search import _keyword
+
+    ids = {r.id: r.name for r in workspace.store["symbols"].select("id", "name").collect()}
+    hits = [ids[r.id] for r in _keyword(workspace.store, "elper", 5).orderBy("rank").collect()]
+    assert "helper" in hits
+    whole = [ids[r.id] for r in _keyword(workspace.store, "numbers", 50).orderBy("rank").collect()]
+    assert "addNumbers" in whole
+
+
 def test_symbols_and_stats(workspace):
     assert names(workspace.get_file_symbols("src/util.ts")) == {"addNumbers", "helper", "Config", "Base"}
     assert names(workspace.get_file_symbols("src/util.ts", exported_only=True)) == {"addNumbers", "Config", "Base"}
