@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, minhash, mixing, packing, toxicity
-from quarry.llm._common import release, shared_dir
+from quarry.llm._common import materialize, release, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +29,37 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_rows(docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows read from Parquet with a number of their own, _row, made of file and place in it."""
+    files = docs.select("_metadata.file_path").distinct().orderBy("file_path").collect()  # one row a file
+    known = docs.sparkSession.createDataFrame([(k, r.file_path) for k, r in enumerate(files)], "_file long, _path string")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(F.broadcast(known), "_path").withColumn("_row", F.shiftleft("_file", 40) + F.col("_at")).drop("_path", "_file", "_at")
+
+
+def _content(docs: DataFrame) -> DataFrame:
+    """Rows with a key of all their values, _key: the same wherever a row is stored."""
+    rest = F.to_json(F.struct(F.col("text").isNull().alias("_none"), *[c for c in docs.columns if c != "text"]))
+    return docs.withColumn("_key", F.md5(F.concat(F.md5(F.coalesce("text", F.lit(""))), rest)))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: five-word shingles, similarity 0.8 or more."""
     release(spark)
-    kept = minhash.near_duplicates(docs, k=5, share=80, of=100).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    rows = _numbered(docs)
+    found = minhash.near_duplicates(rows, "_row", k=5, share=80, of=100).select("_row", "component_id")
+    found = found.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_h")), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_row"))
+    kept = materialize(found.groupBy("component_id").agg(first.alias("_first")).select("_first._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it; those it does not take go."""
     release(spark)
-    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").cast("int").alias("_copies"))
-    rows = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_doc")))
+    rows = _content(docs)
+    taken = mixing.mix(rows, "_key").filter("copies > 0").groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies"))
+    rows = rows.join(taken, "_key").dropDuplicates(["_key"])  # of equal rows one stands for all
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -58,3 +58,34 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def stored(spark, rows, path):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_near_copies_go_by_row(spark, tmp_path):
+    long = [" ".join(f"w{k}{j}" for j in range(120)) for k in range(4)]
+    rows = [(1, long[0]), (7, long[0] + " more"), (7, long[1]), (None, long[2]), (None, long[1] + " more"), (3, long[2] + " more"), (None, long[3]), (None, None)]
+    docs = stored(spark, [(i, t, "en", "s", 0) for i, t in rows], f"{tmp_path}/docs")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {(1, long[0]), (7, long[1]), (3, long[2] + " more"), (None, long[3]), (None, None)}
+
+
+def test_mix_takes_by_row(spark, tmp_path):
+    from quarry.llm import mixing
+
+    rows = [(None if k % 3 else k % 5, f"a{k} " * (1 + k % 7), "en", f"s{k % 3}", 0) for k in range(240)]
+    rows += [(9, "same words here", "en", "s0", 0)] * 6
+    docs = stored(spark, rows, f"{tmp_path}/docs")
+    targets = {r.source_size: r.target for r in mixing.mix(docs).collect()}
+    sizes: dict = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    assert len(targets) == len(sizes) == 3
+    got: dict = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    for s, n in sizes.items():
+        assert abs(got.get(s, 0) - targets[n]) <= 7, (s, got, targets)
