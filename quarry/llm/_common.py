@@ -5,19 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-
-_written: dict[str, list[str]] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a temporary folder set.
+    Only where the session names none and runs on one machine (tests) is a temporary folder set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,11 +22,39 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="quarry-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Collects the tables that ``materialize`` writes while it is entered, so that whoever needs their
+    frames no longer can delete exactly those: other frames of the application keep theirs."""
+
+    _open: ClassVar[list[Tables]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        Tables._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Tables._open.remove(self)
+
+    def delete(self) -> None:
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
@@ -38,17 +63,28 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{what}-{uuid.uuid4().hex}"
+    for tables in Tables._open:
+        tables.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables of ``materialize``; call it when no frame that reads them is needed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+#: Bytes of a key of ``ranked`` over 16 bytes.
+RANKED = 25
+
+
+def ranked(rank: str, of: str) -> Column:
+    """A key that sorts by the long ``rank``, null last, and then by the 16 bytes ``of``: the least key of a
+    component names its least rank, which saves a join on the component."""
+    sign = F.col(rank).bitwiseXOR(F.lit(-(1 << 63)))
+    front = F.when(F.col(rank).isNull(), F.lit("01" + "00" * 8)).otherwise(F.concat(F.lit("00"), F.lpad(F.hex(sign), 16, "0")))
+    return F.concat(F.unhex(front), of)
+
+
+def rank_of(key: Column) -> Column:
+    """The rank in a key of ``ranked``."""
+    low = F.conv(F.hex(F.substring(key, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", low.cast("long"))
 
 
 def partitions(spark: SparkSession, amount: float, each: float) -> int:

@@ -8,7 +8,8 @@ recursively: intervals are halved until they are small, and every pair of interv
 directions, are provably further apart than eps is skipped. What remains is compared in double precision
 with the unturned vectors.
 
-A joined pair of blocks returns the number of links of each vector and a spanning forest of the links, at
+The sequence is cut into stripes of a few blocks, and a block is sent once to each stripe that holds blocks
+near it, however many those are. A joined pair of blocks returns the number of links of each vector and a spanning forest of the links, at
 most one edge per vector, so that a dense cluster never lists its pairs. Equal vectors form one class with
 a weight and are compared once.
 
@@ -20,7 +21,7 @@ one identifier count as links of each other. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import sqrt
+from math import sqrt, sumprod
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialize, partitions
+from ._common import RANKED, components, lean, materialize, partitions, rank_of, ranked
 
+#: How close to the threshold a product of unit vectors is settled by sums rounded once.
+CLOSE = 1e-12
 #: Vectors the directions are fitted on, leading directions with a grid, vectors of a block and of an
 #: interval that is compared outright.
 SAMPLE, GRID, BLOCK, LEAF = 2048, 3, 2048, 256
+#: Blocks of a stripe on average: what a task holds of one side.
+STRIPE = 8
 _CELLS = ["_c0", "_c1", "_c2"]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which rounds nothing, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows at length 1, scaled first so that no square overflows or vanishes."""
-    x = x / np.abs(x).max(1, keepdims=True)
+    """Rows at length 1."""
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Cosine of two scaled vectors with sums that are rounded once."""
+    a, b = a.tolist(), b.tolist()
+    return sumprod(a, b) / sqrt(sumprod(a, a) * sumprod(b, b))
+
+
 def directions(x: np.ndarray) -> np.ndarray:
     """Orthonormal columns, the directions of greatest variance first."""
     full = np.linalg.svd(x - x.mean(0), full_matrices=True)[2] if len(x) > 1 else np.eye(x.shape[1])
@@ -137,9 +153,10 @@ class Joiner:
         self.least = least
         self.reach = 2 - 2 * least + 1e-9  # squared distance, with room for rounding
 
-    def join(self, u: np.ndarray, wu: np.ndarray, v: np.ndarray, wv: np.ndarray, basis: np.ndarray | None, same: bool):
-        """(links of u's rows, links of v's rows, edges)."""
-        self.u, self.v, self.wu, self.wv, self.same = u, v, wu, wv, same
+    def join(self, x: np.ndarray, wu: np.ndarray, y: np.ndarray, wv: np.ndarray, basis: np.ndarray | None, same: bool, units: tuple | None = None):
+        """(links of x's rows, links of y's rows, edges). ``units``: both at length 1, if at hand."""
+        u, v = units or (unit(x), unit(y))
+        self.x, self.y, self.u, self.v, self.wu, self.wv, self.same = x, y, u, v, wu, wv, same
         self.pu = u if basis is None else u @ basis
         self.pv = self.pu if same else (v if basis is None else v @ basis)
         self.nu, self.nv, self.edges = np.zeros(len(u), np.int64), np.zeros(len(v), np.int64), []
@@ -176,7 +193,12 @@ class Joiner:
                 self._go(a, b, c, mid2)
                 self._go(a, b, mid2, d)
             return
-        m = self.u[a:b] @ self.v[c:d].T >= self.least
+        product = self.u[a:b] @ self.v[c:d].T
+        m = product >= self.least
+        near = np.abs(product - self.least) < CLOSE
+        if near.any():
+            for i, j in np.argwhere(near).tolist():
+                m[i, j] = cosine(*scaled(np.stack([self.x[a + i], self.y[c + j]]))) >= self.least
         if mirror:
             np.fill_diagonal(m, False)
         if not m.any():
@@ -188,27 +210,31 @@ class Joiner:
 
 
 def _joined(least: float, bases: dict[int, np.ndarray]):
-    """For each pair of blocks: (class, links) rows, and (class, class) rows of the forest."""
+    """For blocks dealt by stripe, a stripe's own ones first, each with the numbers of its partners among
+    those: (class, links) rows, and (class, class) rows of the forest."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joiner = Joiner(least)
+        joiner, stripe, own = Joiner(least), None, {}
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c: batch.column(c)[r]  # noqa: B023, E731
-                d, same = get("d").as_py(), get("a").as_py() == get("b").as_py()
-                side = []
-                for k in "ab":
-                    raw = get(f"ids_{k}").as_py()
-                    x = np.frombuffer(get(f"vectors_{k}").as_buffer(), float).reshape(-1, d)
-                    side.append(([raw[i : i + 16] for i in range(0, len(raw), 16)], unit(x), np.frombuffer(get(f"weights_{k}").as_buffer(), np.int64)))
-                (iu, u, wu), (iv, v, wv) = side
-                nu, nv, edges = joiner.join(u, wu, v, wv, bases.get(d), same)
-                out: list[tuple] = [(iu[k], None, int(nu[k])) for k in np.flatnonzero(nu)]
-                out += [(iv[k], None, int(nv[k])) for k in np.flatnonzero(nv)]
-                out += [(iu[i], iv[j], 0) for i, j in edges]
-                if out:
-                    x, y, n = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(n, pa.int64())], names=["x", "y", "n"])
+                if get("_stripe").as_py() != stripe:
+                    stripe, own = get("_stripe").as_py(), {}
+                d, number, raw = get("d").as_py(), get("block").as_py(), get("ids").as_py()
+                y = np.frombuffer(get("vectors").as_buffer(), float).reshape(-1, d)
+                block = ([raw[i : i + RANKED] for i in range(0, len(raw), RANKED)], y, unit(y), np.frombuffer(get("weights").as_buffer(), np.int64).copy())
+                if number >> 32 == stripe:
+                    own[number] = (block[0], y.copy(), *block[2:])
+                iv, y, v, wv = block
+                for other in get("_with").as_py():
+                    iu, x, u, wu = own[other]
+                    nu, nv, edges = joiner.join(x, wu, y, wv, bases.get(d), other == number, (u, v))
+                    out: list[tuple] = [(iu[k], None, int(nu[k])) for k in np.flatnonzero(nu)]
+                    out += [(iv[k], None, int(nv[k])) for k in np.flatnonzero(nv)]
+                    out += [(iu[i], iv[j], 0) for i, j in edges]
+                    if out:
+                        p, q, n = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()), pa.array(q, pa.binary()), pa.array(n, pa.int64())], names=["x", "y", "n"])
 
     return run
 
@@ -216,6 +242,7 @@ def _joined(least: float, bases: dict[int, np.ndarray]):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row per vector: ``id_col``, n_links, component_id, kept. Links have cosine >= ``least``."""
     spark = vectors.sparkSession
+    lean(spark)
     eps = sqrt(2 - 2 * least)
     v = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
     sound = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
@@ -223,7 +250,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     key = F.unhex(F.md5(F.concat(F.to_binary(F.hex(F.xxhash64("_v")), F.lit("hex")), F.to_binary(F.hex(F.xxhash64(F.lit(1), "_v")), F.lit("hex")))))
     v = v.withColumn("_cls", F.when(F.col("_ok"), key))
     classes = v.filter("_ok").groupBy("_cls").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_w"), F.any_value("_v").alias("_v"))
-    classes = materialize(classes.withColumn("_d", F.size("_v")), "classes")
+    classes = materialize(classes.withColumn("_d", F.size("_v")).withColumn("_key", ranked("_rep", "_cls")), "classes")
     n = classes.count()
 
     some = classes.orderBy(F.xxhash64("_cls")).limit(SAMPLE).select("_d", "_v").collect()
@@ -231,11 +258,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     for d in {r._d for r in some}:
         bases[d] = directions(unit(np.array([r._v for r in some if r._d == d], float)))
 
-    celled = classes.select("_cls", "_w", "_d", "_v").mapInArrow(
+    celled = classes.select(F.col("_key").alias("_cls"), "_w", "_d", "_v").mapInArrow(
         _cells(bases, eps), "_cls binary, _w long, _d int, _v array<double>, " + ", ".join(f"{c} int" for c in _CELLS) + ", _lead double"
     )
     order = ["_d", *_CELLS, "_lead", "_cls"]
-    dealt = celled.repartitionByRange(partitions(spark, n, 8 * BLOCK), *order).sortWithinPartitions(*order)
+    stripes = partitions(spark, n, STRIPE * BLOCK)
+    dealt = celled.repartitionByRange(stripes, *order).sortWithinPartitions(*order)
     blocks = materialize(
         dealt.mapInArrow(
             _blocks(BLOCK, bases),
@@ -255,17 +283,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         meta.withColumnRenamed("block", "a").join(near, ["d", *"xyz"]).filter((F.col("a") <= F.col("b")) & close)
         .select("a", "b").distinct()
     )
-    load = lambda k: blocks.select(F.col("block").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("ids", "weights", "vectors")], *(["d"] if k == "a" else []))
-    found = materialize(pairs.join(load("a"), "a").join(load("b"), "b").mapInArrow(_joined(least, bases), "x binary, y binary, n long"), "found")
+    # a partition of the sorted sequence is a stripe; a block goes once to each stripe that it is near to
+    to = pairs.groupBy(F.shiftright("a", 32).alias("_stripe"), F.col("b").alias("block")).agg(F.collect_list("a").alias("_with"))
+    sent = blocks.select("block", "d", "ids", "weights", "vectors").join(to, "block").withColumn("_far", F.shiftright("block", 32) != F.col("_stripe"))
+    sent = sent.repartition(stripes, "_stripe").sortWithinPartitions("_stripe", "_far", "block")
+    found = materialize(sent.mapInArrow(_joined(least, bases), "x binary, y binary, n long"), "found")
 
     counts = found.filter("y IS NULL").groupBy("x").agg(F.sum("n").alias("_n"))
     roots = components(found.filter("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-    of_class = classes.select("_cls", "_rep", "_w").join(roots, F.col("_cls") == F.col("node"), "left").join(counts, F.col("_cls") == F.col("x"), "left")
-    of_class = materialize(
-        of_class.select("_cls", "_rep", F.coalesce("root", "_cls").alias("_root"), (F.coalesce("_n", F.lit(0)) + F.col("_w") - 1).alias("n_links")), "counted"
-    )
-    lows = of_class.groupBy("_root").agg(F.min("_rep").alias("_least"))
-    result = materialize(of_class.join(lows, "_root").select("_cls", "n_links", "_least"), "members")
+    of_class = classes.select("_cls", "_key", "_w").join(roots, F.col("_key") == F.col("node"), "left").join(counts, F.col("_key") == F.col("x"), "left")
+    links = (F.coalesce("_n", F.lit(0)) + F.col("_w") - 1).alias("n_links")
+    result = materialize(of_class.select("_cls", links, rank_of(F.coalesce("root", "_key")).alias("_least")), "members")
     component = F.when(F.col("_cls").isNull(), F.col("_id")).otherwise(F.col("_least"))
     return (
         v.select("_id", "_cls").join(result, "_cls", "left")
