@@ -9,13 +9,14 @@ chance collisions, and what is not clearly below the threshold is confirmed on t
 Links are needed only as far as they join components, so pairs within a bucket are never listed. In each
 round every class is compared with one pivot of its buckets, the least under an order that changes by
 round, and confirmed links merge components. Buckets of a single component are done. After ``ROUNDS``
-rounds the classes of the buckets left are compared exhaustively across components, block against block:
-by signatures, then on the full sets in place, so that no link is lost however the rounds went and only
-links that join components are returned.
+rounds the classes of the buckets left are compared exhaustively across components, block against block.
+Signatures alone go first; only classes that stand in a pair near enough by signature and size are compared
+on their full sets, in place, so that no link is lost however the rounds went and only links that join
+components are returned. Rows of a common bucket are salted wherever they are joined.
 
 Nulls and empty texts have no shingles, size 0, and link with nothing; a text of fewer words than a
 shingle has one, the whole sequence. A null identifier yields to any other as component_id. Rows repeated
-with one identifier get the same component. Extra columns are ignored.
+with one identifier get the same component. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, lean, materialize, slices
+from ._common import components, lean, materialize, rank_of, ranked, slices
 
 BANDS, ROWS, BITS = 30, 5, 4
 #: Words of a signature (64 bits each), and how far below the threshold an estimate may lie: five of its
 #: standard deviations, so that a true link is turned away once in millions.
 WORDS = -(-BANDS * ROWS * BITS // 64)
 SLACK, ROUNDS = 0.15, 3
+#: Classes of a bucket that one task joins, and buckets that may hold more.
+HOT, MANY = 2000, 100_000
 #: Classes of a block, and shingles of all of them: what bounds the memory of a comparison.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Fixed odd multipliers of the word and shingle hashes.
@@ -235,72 +238,101 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return total[left, right].astype(np.int64)
 
 
+def _candidates(rows: list[tuple], key: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (numbers of rows) across the sides and components of a run of rows whose estimate reaches
+    ``least``. A pair that shares several buckets belongs to the first."""
+    bk, i, j = key
+    side = np.array([r[3] for r in rows])
+    number = {c: n for n, c in enumerate({r[4] for r in rows})}
+    comp = np.array([number[r[4]] for r in rows])
+    sig, bands = np.array([r[6] for r in rows], np.int64).view(np.uint64), np.array([r[7] for r in rows], np.int64)
+    left = np.flatnonzero(side == i)
+    right = np.flatnonzero(side == j) if i != j else left
+    mask, pairs = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS))), [np.zeros((2, 0), np.int64)]
+    most = BANDS * ROWS * (1 - 2.0**-BITS) * (1 - least)
+    for n, p in enumerate(left.tolist()):
+        others = right[n + 1 :] if i == j else right
+        others = others[comp[others] != comp[p]]
+        if not len(others):
+            continue
+        z = sig[others] ^ sig[p]
+        step = 1
+        while step < BITS:
+            z |= z >> np.uint64(step)
+            step *= 2
+        near = others[np.bitwise_count(z & mask).sum(1) <= most]
+        if len(near):
+            near = near[bands[p][(bands[near] == bands[p]).argmax(1)] == bk]
+            pairs.append(np.stack([np.full(len(near), p), near]))
+    x, y = np.concatenate(pairs, 1)
+    return x, y
+
+
+def _runs(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of each (_bk, _i, _j), which begin ``names``; batches are sorted by those."""
+    rows, key = [], None
+    for part in slices(batches):
+        for r in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+            if r[:3] != key:
+                if len(rows) > 1:
+                    yield key, rows
+                rows, key = [], r[:3]
+            rows.append(r)
+    if len(rows) > 1:
+        yield key, rows
+
+
+_ROW = ("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands")
+
+
+def _likely(least: float, share: int, of: int):
+    """Of each run, the rows that stand in a candidate pair whose sizes allow a link: by signatures alone."""
+    longs = pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), longs, longs)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _runs(batches, (*_ROW, "_size")):
+            x, y = _candidates(rows, key, least)
+            size = np.array([r[8] for r in rows])
+            fits = of * np.minimum(size[x], size[y]) >= share * np.maximum(size[x], size[y])
+            some = [rows[k] for k in np.unique(np.concatenate([x[fits], y[fits]])).tolist()]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], kind) for c, kind in enumerate(kinds)], names=list(_ROW))
+
+    return run
+
+
 def _across(least: float, share: int, of: int):
-    """Exhaustive comparison of a run of rows (_bk, _i, _j, ...) across blocks and components: pairs whose
-    estimate reaches ``least`` are compared on their full sets, and links that join components not yet
-    joined in the run are returned. A pair that shares several buckets belongs to the first."""
+    """Candidate pairs of each run compared on their full sets; links that join components not yet joined
+    in the run are returned."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, key = [], None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            bk, i, j = key
-            side, cls = [r[3] for r in rows], [r[5] for r in rows]
-            number = {c: n for n, c in enumerate({r[4] for r in rows})}
-            comp = np.array([number[r[4]] for r in rows])
-            sig, bands = np.array([r[6] for r in rows], np.int64).view(np.uint64), np.array([r[7] for r in rows], np.int64)
+        for key, rows in _runs(batches, (*_ROW, "_set")):
+            x, y = _candidates(rows, key, least)
             sets = [np.frombuffer(r[8], np.uint64) for r in rows]
-            left = np.array([k for k, s in enumerate(side) if s == i], np.int64)
-            right = np.array([k for k, s in enumerate(side) if s == j], np.int64) if i != j else left
-            mask, pairs = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS))), []
-            most = BANDS * ROWS * (1 - 2.0**-BITS) * (1 - least)
-            for n, p in enumerate(left.tolist()):
-                others = right[n + 1 :] if i == j else right
-                others = others[comp[others] != comp[p]]
-                if not len(others):
-                    continue
-                z = sig[others] ^ sig[p]
-                step = 1
-                while step < BITS:
-                    z |= z >> np.uint64(step)
-                    step *= 2
-                near = others[np.bitwise_count(z & mask).sum(1) <= most]
-                if len(near):
-                    near = near[bands[p][(bands[near] == bands[p]).argmax(1)] == bk]
-                    pairs.append(np.stack([np.full(len(near), p), near]))
-            if not pairs:
-                return
-            x, y = np.concatenate(pairs, 1)
             size = np.array([len(s) for s in sets])
+            fits = of * np.minimum(size[x], size[y]) >= share * np.maximum(size[x], size[y])
+            x, y = x[fits], y[fits]
+            if not len(x):
+                continue
             both = overlaps(sets, x, y)
             link = of * both >= share * (size[x] + size[y] - both)
-            top, out = list(range(len(number))), ([], [])
+            top, out = {r[4]: r[4] for r in rows}, ([], [])
 
-            def find(c: int) -> int:
+            def find(c: bytes, top=top) -> bytes:
                 while top[c] != c:
                     c = top[c]
                 return c
 
             for p, q in zip(x[link].tolist(), y[link].tolist(), strict=True):
-                c, d = find(int(comp[p])), find(int(comp[q]))
+                c, d = find(rows[p][4]), find(rows[q][4])
                 if c != d:
                     top[c] = d
-                    out[0].append(cls[p])
-                    out[1].append(cls[q])
+                    out[0].append(rows[p][5])
+                    out[1].append(rows[q][5])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["a", "b"])
 
-        names = ("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands", "_set")
-        for part in slices(batches):
-            for r in zip(*(part.column(c).to_pylist() for c in names), strict=True):
-                if r[:3] != key:
-                    yield from flush()
-                    rows, key = [], r[:3]
-                rows.append(r)
-        yield from flush()
-
     return run
 
 
@@ -313,26 +345,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sketches = materialize(text.mapInArrow(_sketch(k), "_id long, n_shingles long, _cls binary, _sig array<long>, _bands array<long>"), "sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("_cls").agg(F.min("_id").alias("_rep"), F.max("n_shingles").alias("_size"), F.any_value("_sig").alias("_sig"), F.any_value("_bands").alias("_bands"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes.withColumn("_key", ranked("_rep", "_cls")), "classes")
     links = _links(text, classes, k, share, of)
     roots = components(links, "links")
-    of_class = classes.select("_cls", "_rep").join(roots, F.col("_cls") == F.col("node"), "left").select("_cls", "_rep", F.coalesce("root", "_cls").alias("_root"))
-    least = of_class.groupBy("_root").agg(F.min("_rep").alias("_least"))
-    joined = materialize(of_class.join(least, "_root").select("_cls", "_least"), "members")
+    of_class = classes.select("_cls", "_key").join(roots, F.col("_key") == F.col("node"), "left")
+    joined = of_class.select("_cls", rank_of(F.coalesce("root", "_key")).alias("_least"))
     out = sketches.select("_id", "n_shingles", "_cls").join(joined, "_cls", "left")
     component = F.when(F.col("_cls").isNull(), F.col("_id")).otherwise(F.col("_least"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
+def _salted(entries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``entries`` joined with ``buckets`` (one row per _bk, with _salts): a bucket's rows go to as many
+    tasks as it has salts."""
+    spread = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts").cast("int") - 1))).drop("_salts")
+    salted = entries.withColumn("_salt", F.pmod(F.xxhash64("_cls"), F.col("_salts")).cast("int"))
+    return salted.join(spread, ["_bk", "_salt"]).drop("_salt")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(_bk, _cls, _salts) of the buckets that hold more than one class."""
+    entries = classes.select(F.col("_key").alias("_cls"), F.explode("_bands").alias("_bk"))
+    most = max(HOT, classes.count() * BANDS // MANY)  # so many buckets at most hold more, which bounds the broadcast
+    shared = materialize(entries.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared")
+    shared = shared.withColumn("_salts", F.ceil(F.col("_n") / most).cast("int"))
+    hot = F.broadcast(shared.filter("_salts > 1").select("_bk", "_salts"))
+    entries = entries.join(hot, "_bk", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    return materialize(_salted(entries, shared.select("_bk", "_salts")), "buckets")
+
+
 def _links(text: DataFrame, classes: DataFrame, k: int, share: int, of: int) -> DataFrame:
-    """Confirmed links (a, b) between classes that connect every component."""
+    """Confirmed links (a, b) between keys of classes that connect every component."""
     least = share / of - SLACK
-    entries = classes.select("_cls", F.explode("_bands").alias("_bk"))
-    shared = entries.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    members = materialize(entries.join(shared.select("_bk"), "_bk"), "buckets")
-    wanted = materialize(members.select("_cls").distinct(), "wanted")
-    sets = _full_sets(text, classes.join(wanted, "_cls", "left_semi"), wanted, k)
-    sigs = materialize(classes.join(wanted, "_cls", "left_semi").select("_cls", "_size", "_sig", "_bands"), "sigs")
+    members = _members(classes)
+    wanted = materialize(members.select(F.col("_cls").alias("_key")).distinct(), "wanted")
+    classes = materialize(classes.join(wanted, "_key", "left_semi"), "sigs")
+    sets = _full_sets(text, classes.select("_cls", "_key", "_rep"), k)
+    sigs = classes.select(F.col("_key").alias("_cls"), "_size", "_sig", "_bands")
     links = None
     for r in range(ROUNDS):
         order = F.xxhash64(F.col("_cls"), F.lit(r))
@@ -342,9 +391,10 @@ def _links(text: DataFrame, classes: DataFrame, k: int, share: int, of: int) ->
             active = _active(members, links)
             if active.isEmpty():
                 return links
-        lead = active.groupBy("_bk").agg(F.min(F.struct(order.alias("o"), F.col("_cls").alias("b"), F.col("_comp").alias("c"))).alias("_p"))
+        lead = F.min(F.struct(order.alias("o"), F.col("_cls").alias("b"), F.col("_comp").alias("c"))).alias("_p")
+        lead = active.groupBy("_bk").agg(lead, F.max("_salts").alias("_salts"))
         pairs = (
-            active.join(lead, "_bk").filter(F.col("_comp") != F.col("_p.c"))
+            _salted(active, lead).filter(F.col("_comp") != F.col("_p.c"))
             .groupBy(F.col("_cls").alias("a")).agg(F.min("_p").alias("_p")).select("a", F.col("_p.b").alias("b"))
         )
         sig = sigs.select("_cls", "_sig")
@@ -357,25 +407,30 @@ def _links(text: DataFrame, classes: DataFrame, k: int, share: int, of: int) ->
     active = _active(members, links)
     if active.isEmpty():
         return links
-    sizes = active.join(sigs.select("_cls", "_size"), "_cls").groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_all"))
+    sizes = active.join(sigs.select("_cls", "_size"), "_cls").groupBy("_bk").agg(F.max("_salts").alias("_salts"), F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_all"))
     n = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_all") / BLOCK_SHINGLES)).cast("int")
-    sized = active.join(sizes, "_bk").join(sigs.drop("_size"), "_cls").join(sets, "_cls")
-    sided = sized.withColumn("_side", F.pmod(F.xxhash64("_cls"), n).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), n - 1)))
-    sided = sided.withColumn("_i", F.least("_side", "_t")).withColumn("_j", F.greatest("_side", "_t"))
-    sided = sided.select("_bk", "_i", "_j", "_side", "_comp", "_cls", "_sig", "_bands", "_set").repartition("_bk", "_i", "_j").sortWithinPartitions("_bk", "_i", "_j")
-    return links.unionByName(materialize(sided.mapInArrow(_across(least, share, of), "a binary, b binary"), "across"))
+    sided = _salted(active, sizes.withColumn("_sides", n)).withColumn("_side", F.pmod(F.xxhash64("_cls", F.lit(7)), "_sides").cast("int"))
+    sided = sided.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_sides") - 1)))
+    sided = sided.select("_bk", F.least("_side", "_t").alias("_i"), F.greatest("_side", "_t").alias("_j"), "_side", "_comp", "_cls")
+    block, row = ["_bk", "_i", "_j"], ["_side", "_comp", "_cls", "_sig", "_bands"]
+    dealt = lambda rows: rows.repartition(*block).sortWithinPartitions(*block)
+    kinds = "_bk long, _i int, _j int, _side int, _comp binary, _cls binary, _sig array<long>, _bands array<long>"
+    rows = dealt(sided.join(sigs, "_cls").select(*block, *row, "_size"))
+    rows = materialize(rows.mapInArrow(_likely(least, share, of), kinds), "likely")
+    rows = dealt(rows.join(sets, "_cls").select(*block, *row, "_set"))
+    return links.unionByName(materialize(rows.mapInArrow(_across(least, share, of), "a binary, b binary"), "across"))
 
 
 def _active(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets whose classes are not yet of one component: (_bk, _cls, _comp)."""
+    """Buckets whose classes are not yet of one component: (_bk, _cls, _comp, _salts)."""
     roots = components(links, "round").select(F.col("node").alias("_cls"), "root")
-    now = members.select("_bk", "_cls").join(roots, "_cls", "left").select("_bk", "_cls", F.coalesce("root", "_cls").alias("_comp"))
-    open_ = now.groupBy("_bk").agg(F.min("_comp").alias("x"), F.max("_comp").alias("y")).filter("x != y").select("_bk")
-    return materialize(now.join(open_, "_bk"), "active")
+    now = members.join(roots, "_cls", "left").select("_bk", "_cls", "_salts", F.coalesce("root", "_cls").alias("_comp"))
+    open_ = now.groupBy("_bk").agg(F.min("_comp").alias("x"), F.max("_comp").alias("y"), F.max("_salts").alias("_salts")).filter("x != y")
+    return materialize(_salted(now, open_.select("_bk", "_salts")), "active")
 
 
-def _full_sets(text: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(_cls, _set) of the wanted classes, from a second pass over the texts. A filter of fixed size on
+def _full_sets(text: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(_cls, _set) of the keys of classes, from a second pass over the texts. A filter of fixed size on
     the identifiers of their first documents skips most other rows; the join on the class decides."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
     marks = classes.select(bit("_rep").alias("_b")).distinct().toPandas()["_b"].to_numpy(np.int64)
@@ -383,7 +438,8 @@ def _full_sets(text: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -
     bits[marks] = True
     packed_bits = np.packbits(bits, bitorder="little").tobytes()
     rows = text.withColumn("_bit", bit("_id")).mapInArrow(_sets(k, packed_bits), "_cls binary, _set binary")
-    return materialize(rows.join(wanted, "_cls", "left_semi").groupBy("_cls").agg(F.any_value("_set").alias("_set")), "sets")
+    rows = rows.join(classes.select("_cls", "_key"), "_cls").groupBy("_key").agg(F.any_value("_set").alias("_set"))
+    return materialize(rows.withColumnRenamed("_key", "_cls"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:

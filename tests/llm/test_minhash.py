@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import minhash
-from quarry.llm._common import components
+from quarry.llm._common import RANKED, components, rank_of, ranked
 from quarry.llm.minhash import Minima, Shingler, near_duplicates
 
 SCHEMA = "doc_id long, text string, n_shingles string, _cls int"
@@ -53,6 +54,7 @@ def corpus(rng, n=120):
 def test_against_all_pairs(spark, monkeypatch, k, share, of, rounds):
     monkeypatch.setattr(minhash, "ROUNDS", max(1, rounds))
     monkeypatch.setattr(minhash, "BLOCK", 512 if rounds else 3)
+    monkeypatch.setattr(minhash, "HOT", 2000 if rounds > 1 else 3)
     rng = np.random.default_rng(k + rounds)
     rows = [(int(i), t) for i, t in zip(rng.permutation(1000), corpus(rng), strict=False)]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
@@ -91,6 +93,15 @@ def test_estimate_is_near(spark):
     assert all(abs(r.j - r.e) < 0.13 for r in got.collect())
 
 
+def test_ranked_keys(spark):
+    ranks = [None, -(1 << 63), -1, 0, 7, (1 << 63) - 1]
+    rows = spark.createDataFrame([(r, bytes([k]) * 16) for k, r in enumerate(ranks)], "r long, c binary")
+    got = rows.select("r", ranked("r", "c").alias("k")).select("r", "k", rank_of(F.col("k")).alias("back")).collect()
+    assert all(r.r == r.back and len(r.k) == RANKED for r in got)
+    by = [r.r for r in sorted(got, key=lambda r: bytes(r.k))]
+    assert by == [*ranks[1:], None]
+
+
 @pytest.mark.parametrize("chunk", [1_000_000, 40])
 def test_components_of_a_long_chain(spark, chunk):
     rng = np.random.default_rng(0)
