@@ -21,9 +21,10 @@ def sample(rows: DataFrame, most: int, seed: int = 0, id_col: str = "_id") -> Da
 
 
 def with_text(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts of a sample; its bound makes the broadcast safe."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(picked), "_id")
+    """One text (the least) of each row of a sample, however often its identifier stands in ``docs``; the
+    sample's bound makes the broadcast safe."""
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    return texts.groupBy(*picked.columns).agg(F.min("_text").alias("_text"))
 
 
 class Trees:

@@ -1,14 +1,18 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are labelled rows of quality 1; the unlabelled set is web text whose labels are not
-looked at. The class prior is estimated from how a first classifier, positives against unlabelled, ranks
-rows it was not trained on: the least ratio of the two tail shares, with a margin for its error. Where
-that margin is wide, the share of positives among the labelled rows stands in. A small network over dense text statistics then minimises prior * R+(positives) + max(0, R-(unlabelled) - prior *
-R-(positives)); where the second term turns negative, its gradient is reversed instead.
-
-The fit sees at most ``MOST`` positives and ``MOST`` unlabelled rows, outside the held-out fold (hash
-samples); scoring covers every whole text. Nulls: a null text counts as empty, null identifiers are
-allowed. Without positives every score is 0.5. Repeated rows are scored each; extra columns are ignored.
+looked at. The class prior is estimated from how first classifiers, positives against unlabelled, rank
+rows that they were not trained on (cross-fitting over parts of the identifiers, so that a row which is in
+both sets is held back from both): the least ratio of the two tail shares, with a margin for its error. A
+small network over dense text statistics then minimises prior * R+(positives) + max(0, R-(unlabelled) -
+prior * R-(positives)); where the second term turns negative, a step of ``BACK`` of its reversed gradient
+is taken instead. The same is done at every size of the tables.
+
+The fit sees at most ``MOST`` positives and ``MOST_UNLABELLED`` unlabelled rows, outside the held-out fold
+(hash samples); scoring covers every whole text. Nulls: a null text counts as empty, null identifiers are
+allowed. Without positives (an empty table of labels among them) every score is 0.5. Repeated rows are
+scored each, and a repeated identifier counts once in the fit; extra columns are ignored; an empty table
+of documents gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from pyspark.sql import functions as F
 from ._common import crc_fold, lean, slices
 from ._training import Adam, labelled, sample, with_text
 
-MOST, HIDDEN, STEPS, BATCH, RATE = 6000, 16, 1500, 512, 0.01
+#: Positives and unlabelled rows that the fit may see.
+MOST, MOST_UNLABELLED = 6000, 6000
+HIDDEN, STEPS, BATCH, RATE = 16, 400, 512, 0.01
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-#: Error of the estimated prior above which the labelled share is used.
-WIDE = 0.08
+#: Parts of the cross-fitted prior, and the size of a step back.
+PARTS, BACK = 5, 0.1
 
 
 def features(text: str | None) -> list[float]:
@@ -109,7 +115,7 @@ def _train(net: Net, pos: np.ndarray, unl: np.ndarray, prior: float | None, rng:
             if negative >= 0:
                 s = np.concatenate([prior * (sp - 1) - prior * sp, su]) / BATCH
             else:
-                s = -np.concatenate([-prior * sp, su]) / BATCH
+                s = -BACK * np.concatenate([-prior * sp, su]) / BATCH
         adam.step([g + 1e-4 * w for g, w in zip(net.grads(x, s), net.w, strict=True)])
     return net
 
@@ -127,18 +133,25 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(qu[at] / qp[at], 0.02, 0.98))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, share: float | None = None, seed: int = 5) -> tuple[Net, float]:
-    """The network and its prior. ``share``: of positives among labelled rows, for small samples."""
+def cross_fit(pos: np.ndarray, unl: np.ndarray, part: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of both sets by classifiers that saw no row of the same part."""
+    both, out = np.vstack([pos, unl]), [np.zeros(len(pos)), np.zeros(len(unl))]
+    for k in range(PARTS):
+        p, u = part[0] != k, part[1] != k
+        net = Net.new(both, HIDDEN, rng)
+        if p.any() and u.any():
+            net = _train(net, pos[p], unl[u], None, rng)
+        for o, x, seen in zip(out, (pos, unl), (p, u), strict=True):
+            o[~seen] = net.out(x[~seen])
+    return out[0], out[1]
+
+
+def train(pos: np.ndarray, unl: np.ndarray, part: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5) -> tuple[Net, float]:
+    """The network and its prior. ``part``: the part of each row for the prior; rows in turn if not given."""
     rng = np.random.default_rng(seed)
-    pos, unl = rng.permutation(pos), rng.permutation(unl)
-    both = np.vstack([pos, unl])
-    a, b = max(1, len(pos) // 2), max(1, len(unl) // 2)
-    first = _train(Net.new(both, HIDDEN, rng), pos[:a], unl[:b], None, rng, STEPS // 2)
-    held = [x[n:] if n < len(x) else x for x, n in ((pos, a), (unl, b))]
-    prior = class_prior(*map(first.out, held))
-    if share is not None and margin(*map(len, held)) > WIDE:
-        prior = share
-    return _train(Net.new(both, HIDDEN, rng), pos, unl, prior, rng), prior
+    part = part or (np.arange(len(pos)) % PARTS, np.arange(len(unl)) % PARTS)
+    prior = class_prior(*cross_fit(pos, unl, part, rng))
+    return _train(Net.new(np.vstack([pos, unl]), HIDDEN, rng), pos, unl, prior, rng), prior
 
 
 def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,20 +160,22 @@ def _featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_y", "_x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> tuple[Net, float] | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST, most_unlabelled: int = MOST_UNLABELLED
+) -> tuple[Net, float] | None:
     """(network, estimated prior), or None without positives."""
     lean(docs.sparkSession)
     rows = labelled(labels, label, HELD_OUT, FOLDS)
-    n0, n1 = rows.agg(F.count_if(F.col("_y") == 0), F.count_if(F.col("_y") == 1)).first()
     pos = sample(rows.filter("_y = 1"), most)
     ids = docs.filter(F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT)).select(F.col(id_col).alias("_id"))
-    unl = sample(ids, most, seed=1).distinct().withColumn("_y", F.lit(0))
+    unl = sample(ids.distinct(), most_unlabelled, seed=1).withColumn("_y", F.lit(0))
     texts = with_text(docs, pos.unionByName(unl), id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_y", "_text")
-    got = texts.mapInArrow(_featurise, "_id long, _y int, _x array<double>").toPandas().sort_values(["_y", "_id"], kind="stable")
-    x, y = np.array(got._x.tolist()), got._y.to_numpy()
+    got = texts.mapInArrow(_featurise, "_id long, _y int, _x array<double>")
+    got = got.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(PARTS))).toPandas().sort_values(["_y", "_id"], kind="stable")
+    x, y, part = np.array(got._x.tolist()), got._y.to_numpy(), got._part.to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return None
-    return train(x[y == 1], x[y == 0], n1 / (n0 + n1) if n0 else None)
+    return train(x[y == 1], x[y == 0], (part[y == 1], part[y == 0]))
 
 
 def _score(net: Net | None):

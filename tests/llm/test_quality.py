@@ -1,6 +1,6 @@
 import numpy as np
 
-from quarry.llm.quality import class_prior, fit, quality, train
+from quarry.llm.quality import PARTS, class_prior, fit, quality, train
 
 DOCS = "doc_id long, text string, lang string, score string, _id int"
 
@@ -40,6 +40,29 @@ def test_cases(spark):
     assert quality(d.limit(0), none).count() == 0
 
 
+def test_one_path_at_every_size():
+    """The estimated prior serves small samples as large ones."""
+    for n in (100, 1000, 10_000):
+        rng = np.random.default_rng(n)
+        good = rng.random(n) < 0.85
+        x = np.where(good[:, None], rng.normal(1, 1, (n, 4)), rng.normal(-3, 1, (n, 4)))
+        trusted = good & (rng.random(n) < 0.35)
+        ids = np.arange(n)
+        net, prior = train(x[trusted], x, (ids[trusted] % PARTS, ids % PARTS))
+        assert abs(prior - good.mean()) < 0.12, (n, prior)
+        right = (net.out(x) > np.log(0.3 / 0.7)) == good
+        assert right[good].mean() > 0.95 and right[~good].mean() > 0.9, n
+
+
+def test_repeated_identifiers_count_once(spark):
+    docs, labels = corpus(200, 2)
+    many = spark.createDataFrame([(*r, "en", "clash", 1) for r in docs + docs[:1] * 500], DOCS)
+    once = spark.createDataFrame([(*r, "en", "clash", 1) for r in docs], DOCS)
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    a, b = ({r.doc_id: r.score for r in quality(d, y).collect()} for d in (many, once))
+    assert a == b
+
+
 def test_risk_and_prior():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (4000, 3))
