@@ -1,14 +1,18 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon of abusive words and word beginnings is learned from labelled rows by smoothed log-odds; the
-trees see, for each half of the sample, the lexicon of the other half. A document's features are the densities of both, how closely hits stand together and to words of address,
-and the rates of capitals, punctuation and obfuscation (also after undoing common obfuscations). Trees
-are fitted on one part of the sample and calibrated on the other.
+trees see, for each half of the sample, the lexicon of the other half. A document's features are the
+densities of both, how closely hits stand together and to words of address, and the rates of capitals,
+punctuation and obfuscation (also after undoing common obfuscations). Trees are fitted on the whole
+sample and calibrated on scores that trees of the other parts give each part (cross-fitting), alike at
+every size.
 
 The fit sees at most ``MOST`` labelled rows per class outside the held-out fold (a hash sample); scoring
-covers every whole text. Nulls: a null text counts as empty, null identifiers are scored as held out or
-not by the crc of the empty string. Without labels of both classes every score is 0. Repeated rows are
-scored each; extra columns are ignored.
+covers every whole text. A lexicon holds every term that enough labelled documents share. Nulls: a null
+text counts as empty, null identifiers are scored as held out or not by the crc of the empty string.
+Without labels of both classes every score is 0 and no row is dropped. Repeated rows are scored each, and
+a repeated identifier counts once in the fit; extra columns are ignored, or carried through whole by
+``clean_rows``; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from pyspark.sql import functions as F
 from ._common import crc_fold, lean, materialize, slices
 from ._training import Isotonic, Trees, labelled, sample, with_text
 
-#: Labelled rows per class that the fit may see, and entries a lexicon may have.
-MOST, MOST_TERMS = 4000, 4000
+#: Labelled rows per class that the fit may see, and parts of the calibration.
+MOST, PARTS = 4000, 4
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-#: Lengths of the word beginnings that are counted, documents that must hold a term, and its log-odds.
-STEMS, SUPPORT, ODDS = (4, 5, 6), 4, 2.5
+#: Lengths of the word beginnings that are counted, toxic documents that must hold a term (and the share of
+#: them that must), and its log-odds.
+STEMS, SUPPORT, SHARE, ODDS = (4, 5, 6), 4, 0.002, 2.5
 
 #: Words of address in the languages covered.
 ADDRESS = frozenset(
@@ -144,9 +149,8 @@ def lexicons(texts: DataFrame, sizes: dict[tuple[int, bool], int]) -> list[tuple
         p, q = (sum((F.col(f"n{y}{int(h)}") for h in halves), F.lit(0)) for y in (1, 0))
         n1, n0 = (sum(sizes.get((y, h), 0) for h in halves) for y in (1, 0))
         odds = F.log((p + 0.5) / (n1 + 1.0)) - F.log((q + 0.5) / (n0 + 1.0))
-        some = counts.filter(p >= SUPPORT).select("k", "t", p.alias("p"), odds.alias("o")).filter(F.col("o") >= ODDS)
-        best = [some.filter(F.col("k") == k).orderBy(F.desc("o"), F.desc("p"), "t").limit(MOST_TERMS).collect() for k in "ws"]
-        out.append(tuple({r.t: r.o for r in rows} for rows in best))
+        some = counts.filter(p >= max(SUPPORT, SHARE * n1)).select("k", "t", odds.alias("o")).filter(F.col("o") >= ODDS).collect()
+        out.append(tuple({r.t: r.o for r in some if r.k == k} for k in "ws"))
     return out
 
 
@@ -172,19 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     parts = {(r._y, r._half): r["count"] for r in texts.groupBy("_y", "_half").count().collect()}
     one, two, whole = lexicons(texts, parts)
     got = texts.mapInArrow(_featurise({True: two, False: one}), "_id long, _y int, _x array<double>")
-    p = got.withColumn("_cal", F.pmod(F.xxhash64(F.col("_id"), F.lit(12)), F.lit(3)) == 0).toPandas().sort_values("_id", kind="stable")
+    p = got.withColumn("_part", F.pmod(F.xxhash64(F.col("_id"), F.lit(12)), F.lit(PARTS))).toPandas().sort_values("_id", kind="stable")
     if p._y.nunique() < 2:
         return None
-    x, y = np.array(p._x.tolist()), p._y.to_numpy(float)
+    x, y, part = np.array(p._x.tolist()), p._y.to_numpy(float), p._part.to_numpy()
     seen = p._y.value_counts()
     w = np.array([sizes[int(v)] / seen[int(v)] for v in y])
     w *= len(w) / w.sum()
-    check = p._cal.to_numpy(bool)
-    train = ~check
-    if min(y[train].sum(), (1 - y[train]).sum(), y[check].sum(), (1 - y[check]).sum()) < 10:
-        train = check = np.ones(len(p), bool)  # too few rows to part them
-    trees = Trees().fit(x[train], y[train], w[train])
-    return Model(*whole, trees, Isotonic().fit(trees.predict(x[check]), y[check], w[check]))
+    raw = np.zeros(len(p))
+    for k in range(PARTS):
+        held = part == k
+        if held.any() and not held.all():
+            raw[held] = Trees().fit(x[~held], y[~held], w[~held]).predict(x[held])
+    return Model(*whole, Trees().fit(x, y, w), Isotonic().fit(raw, y, w))
 
 
 def _score(model: Model | None):
@@ -210,13 +214,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, as they are."""
+    """The rows of ``docs`` that the model does not call toxic, as they are: all columns, null and repeated
+    identifiers, null and empty texts (which score like a text without words) included."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(model.words, model.stems)
         for b in slices(batches):
-            s = model.scale.predict(model.trees.predict(f.many(b.column(b.schema.get_field_index(text_col)).to_pylist())))
+            text = b.column(0).flatten()[b.column(0).type.get_field_index(text_col)]
+            s = model.scale.predict(model.trees.predict(f.many(text.to_pylist())))
             yield b.filter(pa.array(s < THRESHOLD))
 
     lean(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema) if model else docs
+    if not model:
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_all"))
+    return rows.mapInArrow(run, rows.schema).select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])

@@ -52,6 +52,15 @@ def test_cases(spark):
     assert score(d.limit(0), model).count() == 0
 
 
+def test_one_path_at_every_size(spark):
+    """Few labels of a class are cross-fitted like many."""
+    for n in (100, 4000):
+        docs, labels = corpus(n, n)
+        d = spark.createDataFrame([(*r, "en", "clash", 1) for r in docs + docs[:1] * 50], DOCS)
+        got = {r.doc_id: r.predicted for r in toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+        assert np.mean([got[i] == y for i, y in labels]) > 0.93, n
+
+
 def test_learners():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
