@@ -4,14 +4,17 @@ The network reads windows of a text's UTF-8 bytes in both directions and labels
 language; the probabilities of a document's positions are pooled by their mean logarithm. Input weights
 are a table per byte value. It is trained in numpy by backpropagation through time.
 
-The fit sees at most ``MOST`` documents per language outside the held-out fold (a hash sample), of which
-each training step draws windows; predictions cover every position of every text. Nulls: a null text, or
-one without letters, is ``und`` with score 0; languages that are null are not learned. Without labelled
-rows every prediction is ``und``. Repeated rows are labelled each; extra columns are ignored.
+The fit sees ``DRAWN`` windows of each of at most ``MOST`` documents per language (a hash sample outside
+the held-out fold), of at most ``LANGUAGES`` languages, the most frequent ones; predictions cover every
+position of every text. Nulls: a null text, or one without letters, is ``und`` with score 0; languages
+that are null are not learned. Without labelled rows every prediction is ``und``. Repeated rows are
+labelled each, and a repeated identifier counts once a language in the fit; extra columns are ignored; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import crc_fold
+from ._common import crc_fold, lean, slices
 from ._training import Adam, with_text
 
 #: Bytes of a window, hidden units per direction, documents per language that the fit may see.
 WINDOW, HIDDEN, MOST = 64, 8, 400
+#: Windows of a document and languages that the fit may see.
+DRAWN, LANGUAGES = 24, 500
 STEPS, BATCH, RATE = 500, 192, 0.02
 FOLDS, HELD_OUT = 4, 2
 #: Windows that are read at once.
@@ -176,43 +181,66 @@ class Network:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, p, 0.0)
 
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 4) -> Network:
-    """Draws languages evenly, then a document of it, then a window of the document."""
+def draw(text: str | None, n: int, seed: int) -> list[bytes]:
+    """``n`` windows at random places of a text, or all of it where it is no longer than one."""
+    raw = (text or "").encode("utf-8", "replace")
+    if len(raw) <= WINDOW:
+        return [raw] if raw else []
+    return [raw[at : at + WINDOW] for at in np.random.default_rng(seed & 0xFFFFFFFF).integers(0, len(raw) - WINDOW + 1, n).tolist()]
+
+
+def train(windows: list[list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 4) -> Network:
+    """Draws languages evenly, then a document of it, then one of the document's windows."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     net = Network.new(names)
-    raws: list[list[np.ndarray]] = [[] for _ in names]
-    for t, s in zip(texts, langs, strict=True):
-        if t:
-            raws[names.index(s)].append(np.frombuffer(t.encode("utf-8", "replace"), np.uint8))
-    some = [k for k, r in enumerate(raws) if r]
+    of: list[list[list[np.ndarray]]] = [[] for _ in names]
+    at = {name: k for k, name in enumerate(names)}
+    for some, s in zip(windows, langs, strict=True):
+        if len(some):
+            of[at[s]].append([np.frombuffer(w, np.uint8) for w in some])
+    some = [k for k, r in enumerate(of) if r]
     adam = Adam(net.params(), RATE)
     for step in range(steps if some else 0):
         adam.rate = RATE * (1 - step / steps) + 1e-4
         y = np.array(some)[rng.integers(0, len(some), BATCH)]
         x = np.zeros((BATCH, WINDOW), np.uint8)
         for row, k in zip(x, y, strict=True):
-            r = raws[k][rng.integers(len(raws[k]))]
-            at = int(rng.integers(0, max(1, len(r) - WINDOW + 1)))
-            part = r[at : at + WINDOW]
+            doc = of[k][rng.integers(len(of[k]))]
+            part = doc[rng.integers(len(doc))]
             row[: len(part)] = part
         net.step(np.ascontiguousarray(x.T), y, adam)
     return net
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST) -> Network | None:
+def _draw(n: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, texts = b.column("_id").to_pylist(), b.column("_text").to_pylist()
+            got = [draw(t, n, zlib.crc32(str(i).encode())) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_y")), pa.array(got, pa.list_(pa.binary()))], names=["_id", "_y", "_windows"])
+
+    return run
+
+
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST, windows: int = DRAWN, languages: int = LANGUAGES
+) -> Network | None:
+    """A network from at most ``windows`` windows of each of at most ``most`` documents of each of the
+    ``languages`` most frequent languages; only windows reach the driver."""
+    lean(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_y")).distinct()
-    counts = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("_all"))  # a row per language
+    counts = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("_all")).orderBy(F.desc("_all"), "_y").limit(languages)
     share = F.pmod(F.xxhash64(F.col("_id"), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.join(counts, "_y").filter(share * F.col("_all") < 4 * most + 64).drop("_all")  # about four times what is taken
+    rows = rows.join(F.broadcast(counts), "_y").filter(share * F.col("_all") < 4 * most + 64).drop("_all")  # about four times what is taken
     order = Window.partitionBy("_y").orderBy(F.pmod(F.xxhash64(F.col("_id"), F.lit(9)), F.lit(1 << 30)), "_id")
     picked = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
-    got = with_text(docs, picked, id_col, text_col).select("_id", "_y", F.coalesce("_text", F.lit("")).alias("_text")).toPandas()
-    got = got.sort_values(["_y", "_id", "_text"], kind="stable")
+    texts = with_text(docs, picked, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_y", "_text")
+    got = texts.mapInArrow(_draw(windows), "_id long, _y string, _windows array<binary>").toPandas().sort_values(["_y", "_id"], kind="stable")
     if not len(got):
         return None
-    return train(got._text.tolist(), got._y.tolist())
+    return train(got._windows.tolist(), got._y.tolist())
 
 
 def _label(net: Network | None):

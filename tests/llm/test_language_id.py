@@ -1,6 +1,6 @@
 import numpy as np
 
-from quarry.llm.language_id import Network, fit, identify, train
+from quarry.llm.language_id import WINDOW, Network, draw, fit, identify, train
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, _id int"
 WORDS = {"xx": "aba bab abba baab", "yy": "cdc dcd ccdd ddcc", "zz": "éfé féf ééf"}
@@ -63,8 +63,54 @@ def test_held_out_accuracy_and_cases(spark):
     assert {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
 
 
+def plain_pass(net, windows):
+    """Log-probabilities by the equations of the network, a number at a time."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(cell, xs):
+        h, out = np.zeros(cell.u.shape[1]), []
+        size = len(h)
+        for x in xs:
+            a = cell.table[:, x].astype(float)
+            u = cell.u.astype(float) @ h
+            z = sig(a[:size] + u[:size])
+            r = sig(a[size : 2 * size] + u[size : 2 * size])
+            c = np.tanh(a[2 * size :] + r * u[2 * size :])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return out
+
+    got = []
+    for xs in windows:
+        both = [np.concatenate(p) for p in zip(states(net.forward, xs), states(net.backward, xs[::-1])[::-1], strict=True)]
+        logits = [net.w.astype(float) @ h + net.b[:, 0] for h in both]
+        got.append([v - np.log(np.exp(v).sum()) for v in logits])
+    return np.array(got)
+
+
+def test_forward_pass_and_pooling_against_a_plain_one():
+    rng = np.random.default_rng(3)
+    net = Network.new(["a", "b", "c"], hidden=4)
+    x = rng.integers(1, 255, (9, 6)).astype(np.uint8)
+    assert np.abs(net.log_probs(x).transpose(2, 0, 1) - plain_pass(net, x.T)).max() < 1e-4
+    long = "".join(rng.choice(list("abcdé "), 700))
+    raw = long.encode()
+    cut = [raw[at : at + WINDOW].ljust(WINDOW, b"\0") for at in range(0, len(raw), WINDOW)]
+    lp = plain_pass(net, [list(w) for w in cut])
+    mean = lp.reshape(-1, 3)[: len(raw)].mean(0)
+    (lang,), (p,) = net.predict([long])
+    assert lang == "abc"[mean.argmax()] and abs(p - (np.exp(mean) / np.exp(mean).sum()).max()) < 1e-3
+
+
+def test_windows():
+    text = "".join(chr(97 + k % 26) for k in range(500))
+    got = draw(text, 10, 1)
+    assert len(got) == 10 and all(len(w) == WINDOW and w.decode() in text for w in got) and got == draw(text, 10, 1)
+    assert draw("short", 10, 1) == [b"short"] and draw("", 10, 1) == draw(None, 10, 1) == []
+
+
 def test_training_is_reproducible():
     rng = np.random.default_rng(2)
-    t = texts("xx", 5, rng) + texts("yy", 5, rng)
+    t = [draw(x, 5, 0) for x in texts("xx", 5, rng) + texts("yy", 5, rng)]
     a, b = (train(t, ["xx"] * 5 + ["yy"] * 5, steps=20) for _ in range(2))
     assert all((p == q).all() for p, q in zip(a.params(), b.params(), strict=True))
