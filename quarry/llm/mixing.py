@@ -12,8 +12,8 @@ numbers derive from the source, the bucket and a seed. Documents meet by falling
 reruns agree however the input is partitioned, and the document left open at the end is a short one.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order), null identifiers
-are allowed. Documents of size 0 are never taken. Repeated rows are separate documents. Extra columns are
-ignored.
+are allowed. A document of size 0 adds no word to any total and has one copy. Repeated rows are separate
+documents. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -87,10 +87,55 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
+#: op2: by the whole normalised text. op3: all pairs of sound vectors, components by reachability. op8: all
+#: pairs that share a shingle, likewise. op10: all but the template's escape is written out; an escape adds
+#: one character to each control string, with or without backslashes in it.
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op3_embedding_join": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+        least AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+        FROM v JOIN least ON vec_id = least.x LEFT JOIN n ON vec_id = n.x""",
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+        link AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+        least AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN least ON doc_id = x""",
+    "op10_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        n AS (
+            SELECT *, 20 + length(role || text) + len(regexp_extract_all(role, '[<\[]\\*(?:s>|/s>|INST\]|/INST\])'))
+                + len(regexp_extract_all(text, '[<\[]\\*(?:s>|/s>|INST\]|/INST\])')) AS chars
+            FROM t),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                CAST(sum(chars) AS BIGINT) AS formatted_chars, string_agg(role, ',' ORDER BY turn, role, text) AS roles
+            FROM n GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+               regexp_full_match(roles, '(system,)?user(,assistant,user)*(,assistant)?') AS valid
+        FROM g""",
 }
