@@ -1,13 +1,18 @@
 """Lexical retrieval packing into fixed windows.
 
-Documents are tokenised, dealt into shards of bounded size by hash, and every shard builds a BM25
-inverted index of its own. A window starts from a seed document; the index returns the unused documents
-closest to it, which fill the window greedily. The document that crosses the window's end is cut there
-and its rest seeds the next window, so windows are full. What is left at the end of a shard is cut into
-windows whose lengths are powers of two, which need no padding.
+Documents are tokenised and dealt into shards by content: each gets a sketch of four min-hashes of its
+terms, rarer ones weighing more, documents are sorted by sketch over the whole corpus, and the sorted
+sequence is cut into shards of bounded size. Documents that share many terms thus tend to share a shard,
+and equal sketches (a hot text, a template) are cut like all others, by a hash and then by row. Every shard
+builds a BM25 inverted index of its own. A window starts from a seed document; the index returns the unused
+documents closest to it, which fill the window greedily. The document that crosses the window's end is cut
+there and its rest seeds the next window, so windows are full. What is left at the end of a shard is cut
+into windows whose lengths are powers of two, which need no padding.
 
 Nulls: a null text counts as empty and yields its end token alone; identifiers may be null. Rows
-repeated with the same identifier are packed each on its own. Extra columns are ignored.
+repeated with the same identifier are packed each on its own. Ties of a score go by the shard's order.
+Extra columns are ignored; an empty table gives an empty one. The cuts between shards come from a sample of
+the sketches, so another run may pack the same documents into other windows.
 """
 
 from __future__ import annotations
@@ -21,15 +26,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, slices
+from ._common import lean, materialize, slices
 
 WINDOW, END = 2048, 1
-#: Documents of a shard on average; documents and tokens at which a task closes an index and begins
-#: the next, should a shard turn out larger. Every document is indexed and packed either way.
-SHARD, MOST_DOCS, MOST_TOKENS = 2048, 8192, 16 << 20
+#: Documents of a shard on average, and partitions at most; a task closes an index and begins the next at
+#: twice as many documents, or that many tokens, should a partition hold more. Every document is indexed and packed either way.
+SHARD, MOST_PARTS, MOST_TOKENS = 2048, 20_000, 16 << 20
+#: Min-hashes of a sketch, 16 bits each.
+SKETCH = 4
 #: BM25 parameters, and the share of documents above which a term's weights are held as a dense row.
 K1, B, DENSE = 1.2, 0.75, 1 / 8
 
@@ -149,14 +157,34 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+@cache
+def _draws(size: int) -> np.ndarray:
+    """Exponential draws of every term for every min-hash: smaller for rarer terms (the identifiers of a
+    byte-pair vocabulary rise as frequency falls), so that those win more often."""
+    draws = -np.log(np.random.default_rng(17).random((SKETCH, size)))
+    return (draws / np.log(np.arange(size) + 2.0)).astype(np.float32)
+
+
+def sketch(ids: np.ndarray, size: int) -> int:
+    """Four min-hashes of a document's terms in one number, the first in front."""
+    out = 0
+    for draws in _draws(size):
+        out = out << 16 | int(ids[draws[ids].argmin()]) & 0xFFFF
+    return out - (1 << 63)
+
+
 def _tokenise(path: str | None, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path or default_tokenizer())
+        size = max(ids.tokenizer.get_vocab_size(), end + 1)
         tail = np.array([end], ids.kind).tobytes()
         for part in slices(batches, 500):
             got = [x + tail for x in ids.batch(part.column("_text").to_pylist())]
+            sketches = pa.array([sketch(np.frombuffer(x, ids.kind), size) for x in got], pa.int64())
             wide = pa.array([ids.kind == "<u4"] * part.num_rows)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_shard", "_h")), wide, pa.array(got, pa.binary())], names=["_id", "_shard", "_h", "_wide", "_ids"])
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("_id", "_h", "_row")), sketches, wide, pa.array(got, pa.binary())], names=["_id", "_h", "_row", "_sketch", "_wide", "_ids"]
+            )
 
     return run
 
@@ -188,7 +216,7 @@ class Index:
         """Up to k unused documents by falling score for all terms of the seed, ties in document order."""
         query = self.terms[seed]
         thick = self.dense[query]
-        score = self.rows[self.row[query[thick]]].sum(0, dtype=np.float64)
+        score = self.rows[self.row[query[thick]]].sum(0).astype(np.float64)
         spans = [slice(i, j) for i, j in zip(self.first[query[~thick]].tolist(), self.first[query[~thick] + 1].tolist(), strict=True)]
         if spans:
             score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
@@ -252,7 +280,8 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
 
 def _pack(window: int, most_docs: int, most_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, docs, tokens, sequence = None, [], [], 0, 0
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        ids, docs, tokens, sequence = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, docs, tokens, sequence
@@ -261,7 +290,7 @@ def _pack(window: int, most_docs: int, most_tokens: int):
                 offset = 0
                 for doc, start, n in pieces:
                     crc = zlib.crc32(docs[doc][start : start + n].tobytes())
-                    for col, v in zip(cols, (ids[doc], start, n, crc, len(docs[doc]), (shard << 32) + sequence, offset), strict=True):
+                    for col, v in zip(cols, (ids[doc], start, n, crc, len(docs[doc]), first + sequence, offset), strict=True):
                         col.append(v)
                     offset += n
                 sequence += 1
@@ -270,11 +299,9 @@ def _pack(window: int, most_docs: int, most_tokens: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in slices(batches, 500):
-            for s, i, wide, raw in zip(*(b.column(c).to_pylist() for c in ("_shard", "_id", "_wide", "_ids")), strict=True):
-                if s != shard or len(docs) >= most_docs or tokens >= most_tokens:
+            for i, wide, raw in zip(*(b.column(c).to_pylist() for c in ("_id", "_wide", "_ids")), strict=True):
+                if len(docs) >= most_docs or tokens >= most_tokens:
                     yield from flush()
-                    sequence = sequence if s == shard else 0
-                    shard = s
                 d = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
                 ids.append(i)
                 docs.append(d)
@@ -296,10 +323,11 @@ def pack(
     """One row per piece (SCHEMA). ``tokenizer`` is the path of a tokenizers file on every executor."""
     spark = docs.sparkSession
     lean(spark)
-    shards = docs.count() // shard_docs + 1
-    h = F.xxhash64(id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.pmod(h, F.lit(shards)).cast("long").alias("_shard"), h.alias("_h"), F.col(text_col).alias("_text"))
-    tokens = rows.mapInArrow(_tokenise(tokenizer, end), "_id long, _shard long, _h long, _wide boolean, _ids binary")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
-    dealt = tokens.repartition(n, "_shard").sortWithinPartitions("_shard", "_h", "_id")
-    return dealt.mapInArrow(_pack(window, MOST_DOCS, MOST_TOKENS), SCHEMA).withColumnRenamed("doc_id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    tokens = rows.mapInArrow(_tokenise(tokenizer, end), "_id long, _h long, _row long, _sketch long, _wide boolean, _ids binary")
+    tokens = materialize(tokens, "tokens")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tokens.count() // shard_docs + 1, MOST_PARTS))
+    by = ["_sketch", "_h", "_row"]
+    dealt = tokens.repartitionByRange(n, *by).sortWithinPartitions(*by).select("_id", "_wide", "_ids")
+    return dealt.mapInArrow(_pack(window, 2 * shard_docs, MOST_TOKENS), SCHEMA).withColumnRenamed("doc_id", id_col)

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm.packing import Ids, Index, default_tokenizer, pack, pack_shard
+from quarry.llm.packing import Ids, Index, default_tokenizer, pack, pack_shard, sketch
 
 SCHEMA = "doc_id long, text string, start string, _h int"
 TEXTS = ["The quick, brown fox. " * 400, "", None, "a", "don't <|endoftext|> stop now é é İ ΑΣ", "x" * 20_000, "fox and dog\n\n\tand 1234 ..."]
@@ -78,3 +78,28 @@ def test_scores_are_bm25_over_all_terms():
     used = np.arange(n) == 5
     want[5] = 0
     assert Index(docs).nearest(5, used, 10).tolist() == np.argsort(-np.array(want), kind="stable")[:10].tolist()
+
+
+def test_sketches_bring_like_documents_together():
+    """Documents of a topic stand closer in the order of sketches than chance would have them."""
+    rng = np.random.default_rng(4)
+    topics = [rng.integers(300, 40_000, 150) for _ in range(16)]
+    of = rng.integers(0, 16, 640)
+    docs = [np.concatenate([rng.choice(topics[k], 120), rng.integers(0, 300, 80)]).astype("<u2") for k in of]
+    order = np.argsort([sketch(d, 49_408) for d in docs], kind="stable")
+    shard = np.empty(640, int)
+    shard[order] = np.arange(640) // 80
+    together = np.mean([(shard[of == k] == s).mean() for k, s in zip(of, shard, strict=True)])
+    assert together > 0.3  # by chance an eighth
+    assert sketch(docs[0], 49_408) == sketch(rng.permutation(docs[0]), 49_408)
+
+
+def test_equal_documents_are_dealt_out(spark):
+    """A text that most rows hold does not go to one partition."""
+    rows = [(k % 3, "the same words " * 20) for k in range(900)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
+    got = pack(docs, shard_docs=100).collect()
+    per = {}
+    for r in got:
+        per[r.sequence_id >> 32] = per.get(r.sequence_id >> 32, 0) + 1
+    assert len(per) >= 6 and sum(r.length for r in got) == 900 * len(ids(rows[0][1]))
