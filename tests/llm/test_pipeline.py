@@ -89,3 +89,57 @@ def test_mix_takes_by_row(spark, tmp_path):
         got[r.source] = got.get(r.source, 0) + len(r.text.split())
     for s, n in sizes.items():
         assert abs(got.get(s, 0) - targets[n]) <= 7, (s, got, targets)
+
+
+CLASH = "_all string, _row long, _key string, _copies int, _copy int, _kept int, _doc long, _metadata string, `a.b` string, _h long"
+
+
+def clashing(spark, rows, path):
+    """Documents with columns named like those that the stages use."""
+    kind = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
+    spark.createDataFrame([(i, t, "en", f"s{k % 2}", 0, "x", 1, "y", 2, 7, 3, 4, "z", "w", k) for k, (i, t) in enumerate(rows)], kind).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_extra_columns_and_repeated_identifiers(spark, folder, tmp_path):
+    long = [" ".join(f"w{k}{j}" for j in range(120)) for k in range(3)]
+    rows = [(1, long[0]), (1, long[0]), (1, long[1]), (2, long[1] + " more"), (None, long[2]), (None, None), (5, ""), (5, None)]
+    docs = clashing(spark, rows, f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        got = out.collect()
+        assert {(r._all, r._copy, r._metadata, r["a.b"]) for r in got} <= {("x", 7, "z", "w")}, name
+        texts = sorted((r.text or "") for r in got)
+        if name == "toxicity":
+            assert len(got) == len(rows)
+        elif name == "exact_dedup":
+            assert texts == sorted(["", long[0], long[1], long[1] + " more", long[2]])
+        elif name == "minhash":
+            assert texts == sorted([long[0], long[0], long[1], long[2], "", "", ""][1:]) or texts == sorted([long[0], long[1], long[2], "", "", ""])
+        else:
+            sizes = {}
+            for r in got:
+                sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
+            whole = {s: sum(len((t or "").split()) for k, (_, t) in enumerate(rows) if f"s{k % 2}" == s) for s in sizes}
+            assert sizes["s0"] <= 3 * whole["s0"] + 120 and abs(sum(sizes.values()) - sum(whole.values())) <= 240
+    assert corpus_pipeline.pack_windows(spark, docs, folder).select("doc_id", "start").distinct().count() >= 4
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    docs = clashing(spark, [(1, "a")], f"{tmp_path}/one").limit(0)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
+def test_stages_delete_only_their_own_tables(spark, folder, tmp_path):
+    from quarry.llm import minhash
+
+    docs = stored(spark, [(k, f"some text {k}", "en", "s", 0) for k in range(20)], f"{tmp_path}/docs")
+    held = minhash.near_duplicates(docs)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, docs, folder).count()
+    assert held.count() == 20
