@@ -18,12 +18,15 @@ from .operators import graph as G
 from .operators import ranking as K
 from .operators import relational as R
 from .operators import vector as V
+from .operators.cut import cut
 from .search import Answer, Settings, assemble, search
 from .sources.files import normalise
 
 
 #: Answers kept for repeated searches.
 ANSWERS = 64
+#: Rows appended to a table between two cuts of its lineage.
+APPENDS = 16
 
 
 class Workspace:
@@ -32,6 +35,7 @@ class Workspace:
     def __init__(self, store: Store, roots: list[str] | None = None, settings: Settings | None = None):
         self.store, self.roots, self.settings = store, roots or [], settings or Settings()
         self._answers: OrderedDict[tuple, Answer] = OrderedDict()
+        self._appended: dict[str, int] = {}
         self.metrics = Metrics()
 
     # Search.
@@ -49,9 +53,14 @@ class Workspace:
         self._append("search_runs", {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "query": query, "query_limit": limit, "exported_only": exported_only})
         return out
 
-    def explain_search(self, query: str, limit: int = 10, exported_only: bool = False) -> DataFrame:
-        """Hits with every signal that made their score."""
-        return search(self.store, query, limit, exported_only, self.settings, context=False).hits
+    def explain_search(self, query: str, limit: int = 10, exported_only: bool = False, verbose: bool = True) -> DataFrame:
+        """Hits with every signal that made their score, or only those that changed some score."""
+        hits = search(self.store, query, limit, exported_only, self.settings, context=False).hits
+        if verbose:
+            return hits
+        rows = hits.collect()  # at most ``limit`` rows
+        idle = [c for c in hits.columns if c.endswith("_boost") and not any(r[c] for r in rows)]
+        return hits.drop(*idle)
 
     def hydrate_symbols(self, ids: list[str], mode: str = "default"):
         return assemble(self.store, ids, self.settings.budget, full=mode == "full")
@@ -64,7 +73,9 @@ class Workspace:
     def _append(self, name: str, row: dict) -> None:
         t = self.store[name]
         new = self.store.spark.createDataFrame([tuple(row.get(c) for c in t.columns)], t.schema)
-        self.store.tables[name] = t.unionByName(new)
+        self._appended[name] = self._appended.get(name, 0) + 1
+        both = t.unionByName(new)
+        self.store.tables[name] = cut(both) if self._appended[name] % APPENDS == 0 else both
 
     # Definitions and references.
 
@@ -86,6 +97,10 @@ class Workspace:
         who = self.store["symbols"].select(F.col("id").alias("src"), "name", "kind", "file_path", "start_line")
         return hits.join(who, "src")
 
+    def similar_paths(self, file_path: str) -> DataFrame:
+        """Files named like one that is not indexed."""
+        return R.similar_paths(self.store["symbols"].filter("kind = 'file'"), self._path(file_path))
+
     def get_file_symbols(self, file_path: str, exported_only: bool = False) -> DataFrame:
         return R.in_file(self.store["symbols"].filter("kind <> 'file'"), self._path(file_path), exported_only).drop("text")
 
@@ -155,12 +170,24 @@ class Workspace:
 
     # Summaries.
 
-    def summarize_file(self, file_path: str, include_signatures: bool = True) -> DataFrame:
-        """Symbols of a file by kind: count, exported, first signatures."""
+    def summarize_file(self, file_path: str, include_signatures: bool = True, verbose: bool = False) -> DataFrame:
+        """Symbols of a file by kind: count, exported, the file's purpose, signatures of what is exported
+        (with ``verbose`` of all)."""
         rows = R.in_file(self.store["symbols"].filter("kind <> 'file'"), self._path(file_path))
-        sig = F.array_sort(F.collect_list(T.signature(F.col("text"), 3, 100))).alias("signatures")
+        sig = F.array_sort(F.collect_list(F.when(F.col("exported") | F.lit(verbose), T.signature(F.col("text"), 1, 100)))).alias("signatures")
         counts = [F.count(F.lit(1)).alias("n"), F.count_if("exported").alias("exported")]
-        return rows.groupBy("kind").agg(*counts, *([sig] if include_signatures else [])).orderBy("kind")
+        by_kind = rows.groupBy("file_path", "kind").agg(*counts, *([sig] if include_signatures else []))
+        return by_kind.join(R.summaries(rows).select("file_path", "purpose"), "file_path").drop("file_path").orderBy("kind")
+
+    def render_summary(self, file_path: str) -> str:
+        """The summary of a file as Markdown."""
+        rows = self.summarize_file(file_path).collect()  # a row per kind
+        if not rows:
+            return f"No indexed symbols found for `{file_path}`."
+        out = [f"## {file_path}", "", f"**Purpose:** {rows[0].purpose}", f"**Exports:** {sum(r.exported for r in rows)} of {sum(r.n for r in rows)} symbols", ""]
+        for r in rows:
+            out += [f"### {r.kind} ({r.n})", *(f"- `{s}`" for s in r.signatures)]
+        return "\n".join(out)
 
     def get_module_summary(self, file_path: str, group_by_kind: bool = True) -> DataFrame:
         rows = R.in_file(self.store["symbols"].filter("kind <> 'file'"), self._path(file_path), True).select("kind", "name", T.signature(F.col("text")).alias("signature"), "start_line")
@@ -189,11 +216,10 @@ class Workspace:
     # The index.
 
     def refresh_index(self, files: Iterable[str] | None = None) -> dict[str, int]:
-        for f in files or ():
-            self._path(f)  # rejects paths outside the workspace
+        some = None if files is None else [self._path(f) for f in files]  # rejects paths outside the workspace
         began = time.time()
         self._answers.clear()
-        self.store, done = index.refresh(self.store, self.roots)
+        self.store, done = index.refresh(self.store, self.roots, some)
         row = {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "files_scanned": done["scanned"], "files_indexed": done["indexed"], "files_unchanged": done["unchanged"], "files_deleted": done["deleted"]}
         self.metrics.observe("index", time.time() - began)
         self._append("index_runs", row)
@@ -207,7 +233,17 @@ class Workspace:
     def get_index_stats(self) -> dict:
         s, e = self.store["symbols"], self.store["edges"]
         last = R.latest(self.store["index_runs"], ["started_at"]).head()
-        return {"symbols": s.filter("kind <> 'file'").count(), "files": s.filter("kind = 'file'").count(), "edges": e.count(), "last_run": last.asDict() if last else None}
+        of = lambda name, key: {r[key]: r.n for r in R.counted(self.store[name], key).collect()}
+        return {
+            "symbols": s.filter("kind <> 'file'").count(), "files": s.filter("kind = 'file'").count(), "edges": e.count(), "last_run": last.asDict() if last else None,
+            "last_updated": R.last_updated(self.store["file_fingerprints"], "mtime_ns"), "todos": of("todos", "kind"), "packages": of("packages", "repository_id"),
+        }
+
+    def list_packages(self, repository_id: str | None = None) -> DataFrame:
+        return R.matching(self.store["packages"], repository_id=repository_id).orderBy("manifest_path")
+
+    def list_repositories(self) -> DataFrame:
+        return self.store["repositories"].orderBy("root_path")
 
 
 def open_workspace(spark, roots: list[str], settings: Settings | None = None) -> Workspace:

@@ -8,22 +8,15 @@ import re
 from .model import Symbol
 from .scan import Lines, match
 
-# Decorators by the part they mark.
+# Decorators by the type they have.
 _DECORATORS = {
     "component": "Component Input Output HostListener HostBinding",
     "injectable": "Injectable Inject Optional Self",
     "module": "NgModule Module",
-    "directive": "Directive",
-    "pipe": "Pipe",
+    "directive": "Directive Pipe",
     "controller": "Controller",
-    "get": "Get Options Head All",
-    "post": "Post",
-    "put": "Put",
-    "delete": "Delete",
-    "patch": "Patch",
-    "param": "Param Headers Session Ip Req Res",
-    "body": "Body",
-    "query": "Query",
+    "get": "Get Post Put Delete Patch Options Head All",
+    "param": "Param Body Query Headers Session Ip Req Res",
 }
 DECORATORS = {n: kind for kind, names in _DECORATORS.items() for n in names.split()}
 
@@ -84,8 +77,8 @@ def parse_doc(raw: str) -> dict:
     return out
 
 
-def decorators(source: str, code: str, symbols: list[Symbol], lines: Lines) -> list[tuple[str, str, str | None, int, str]]:
-    """(symbol, name, arguments, line, type) of decorators before classes and functions."""
+def decorators(source: str, code: str, symbols: list[Symbol], lines: Lines) -> list[tuple[int, str, str | None, int, str]]:
+    """(start of the symbol, name, arguments, line, type) of decorators before classes and functions."""
     starts = {s.start: s for s in reversed(symbols) if s.kind in ("class", "function")}
     out, held = [], []
     for m in re.finditer(r"@([A-Za-z_$][\w.$]*)", code):
@@ -101,6 +94,6 @@ def decorators(source: str, code: str, symbols: list[Symbol], lines: Lines) -> l
             continue
         s = starts.get(lines.byte(at))
         if s is not None:
-            out += [(s.name, n, a, s.start_line - 1, DECORATORS.get(n.rpartition(".")[2], "unknown")) for n, a in held]
+            out += [(s.start, n, a, s.start_line - 1, DECORATORS.get(n.rpartition(".")[2], "unknown")) for n, a in held]
         held = []
     return out

@@ -30,10 +30,11 @@ def _types(text: str) -> list[str]:
 
 _TS = re.compile(
     rf"(?m)^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-    rf"(?:(?P<fn>function)\s*\*?\s*(?P<fname>{_ID})|(?P<cls>class)\s+(?P<cname>{_ID})|(?P<iface>interface)\s+(?P<iname>{_ID})|(?P<type>type)\s+(?P<tname>{_ID})\s*(?:<[^=]*>)?\s*="
+    rf"(?:(?P<fn>function)\s*\*?\s*(?P<fname>{_ID})|(?P<cls>class)\s+(?!extends\b|implements\b)(?P<cname>{_ID})|(?P<iface>interface)\s+(?P<iname>{_ID})|(?P<type>type)\s+(?P<tname>{_ID})\s*(?:<[^=]*>)?\s*="
     rf"|(?:const\s+)?(?P<enum>enum)\s+(?P<ename>{_ID})|(?P<const>const|let|var)\s+(?P<vname>{_ID})\s*(?::[^=;]+)?=(?!=))"
 )
 _METHOD = re.compile(rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?(?P<name>#?{_ID})\s*(?:<[^>(]*>)?\((?=[^;]*\{{)")
+_ARROW = re.compile(rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?:(?:public|private|protected|static|readonly|override)\s+)*(?P<name>#?{_ID})\s*(?::[^=;\n]+)?=\s*(?:async\s*)?(?:\([^()]*\)\s*(?::[^=;]+?)?|{_ID}\s*)=>")
 _NOT_METHODS = frozenset("if for while switch catch function return constructor super new await typeof".split())
 _IMPORT = re.compile(r"(?m)^[ \t]*(?P<verb>import|export)\s+(?:type\s+)?(?P<what>[\w$*{}\s,]+?)\s*from\s*(?P<q>['\"])")
 
@@ -76,6 +77,12 @@ def typescript(source: str, script: bool = False) -> Extracted:
             spans.append((at, stop, m["name"], "function"))
             if not script:
                 _ts_types(out, code[at:stop], m["name"], "function")
+        for m in _ARROW.finditer(code, opens + 1, end):  # members that hold functions
+            at = m.start() + len(m[0]) - len(m[0].lstrip())
+            if not _depth(code, at, opens + 1):
+                stop = statement_end(code, m.end())
+                _add(out, lines, base, m["name"], "function", False, at, stop)
+                spans.append((at, stop, m["name"], "function"))
     _ts_imports(out, source, code)
     out.symbols.sort(key=lambda s: (s.start, -s.end))
     out.patterns = framework_calls(source, code, lines)
@@ -191,6 +198,15 @@ def rust(source: str) -> Extracted:
 _GO = re.compile(rf"(?m)^(?:func\s+(?:(?P<recv>\([^)]*\))\s*)?(?P<fn>{_ID})|type\s+(?P<type>{_ID})\s+(?:\[[^\]]*\]\s*)?(?P<what>struct|interface|[^\s({{]+))")
 
 
+_GO_TYPE = re.compile(rf"(?:(?<=\()|^|;)[ \t]*(?P<type>{_ID})[ \t]+(?:\[[^\]]*\][ \t]*)?(?:=[ \t]*)?(?P<what>struct\b|interface\b|[^\s({{]+)", re.M)
+
+
+def _open(code: str, start: int, at: int, pair: str) -> bool:
+    """Whether a bracket that opens after ``start`` is still open at a place."""
+    part = code[start:at]
+    return part.count(pair[0]) > part.count(pair[1])
+
+
 def go(source: str) -> Extracted:
     code, _ = blank(source, "go")
     lines, out = Lines(source), Extracted()
@@ -202,6 +218,15 @@ def go(source: str) -> Extracted:
             kind = {"struct": "struct", "interface": "interface"}.get(m["what"], "type_alias")
             end = body_end(code, m.end()) if kind != "type_alias" else statement_end(code, m.end())
         _add(out, lines, 0, name, kind, name[:1].isupper(), m.start(), end)
+    for group in re.finditer(r"(?m)^type\s*\(", code):  # several types in one declaration
+        opens, close = group.end(), match(code, group.end() - 1)
+        for m in _GO_TYPE.finditer(code, opens, close):
+            if any(_open(code, opens, m.start("type"), pair) for pair in ("{}", "()")):
+                continue
+            kind = m["what"] if m["what"] in ("struct", "interface") else "type_alias"
+            end = body_end(code, m.end()) if kind != "type_alias" else statement_end(code, m.end())
+            _add(out, lines, 0, m["type"], kind, m["type"][:1].isupper(), m.start("type"), min(end, close))
+    out.symbols.sort(key=lambda s: (s.start, -s.end))
     for m in re.finditer(r"(?m)^import\s*(?:\((?P<many>[^)]*)\)|(?P<alias>[\w.]+\s+)?\")", code):
         text = source[m.start("many") : m.end("many")] if m["many"] is not None else source[m.start() : source.find("\n", m.start()) if "\n" in source[m.start() :] else len(source)].removeprefix("import")
         for a, path in re.findall(r"(?m)^\s*([\w.]+\s+)?\"([^\"]+)\"", text):

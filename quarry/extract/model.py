@@ -31,5 +31,5 @@ class Extracted:
     flows: list[tuple[str, str, str, int]] = field(default_factory=list)  # (owner, name, reads or writes, line)
     todos: list[tuple[str, str, int, str | None]] = field(default_factory=list)  # (kind, text, line, symbol)
     docs: list[dict] = field(default_factory=list)
-    decorators: list[tuple[str, str, str | None, int, str]] = field(default_factory=list)  # (symbol, name, arguments, line, type)
+    decorators: list[tuple[int, str, str | None, int, str]] = field(default_factory=list)  # (start of symbol, name, arguments, line, type)
     patterns: list[dict] = field(default_factory=list)

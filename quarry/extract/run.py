@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import symbol_id
+from ..operators.relational import first_per
 from .languages import extract
 
+#: Names of the tables' columns.
 SCHEMA = (
     "file_path string, language string, "
     "symbols array<struct<id string, name string, kind string, exported boolean, start_byte int, end_byte int, start_line int, end_line int, text string>>, "
@@ -27,14 +29,13 @@ def row(path: str, language: str, text: str) -> dict:
     """Everything of one file; the file itself is a symbol, blank symbols are not."""
     e, raw = extract(text, language), text.encode()
     own = {"id": symbol_id(path, "FILE_ROOT", 0), "name": path, "kind": "file", "exported": True, "start_byte": 0, "end_byte": len(raw), "start_line": 1, "end_line": text.count("\n") + 1, "text": text}
-    syms, by_start, by_name = [own], {}, {}
+    syms, by_start = [own], {}
     for s in e.symbols:
         body = raw[s.start : s.end].decode(errors="replace")
         if body.strip():
             i = symbol_id(path, s.name, 0 if s.exported else s.start)
             syms.append({"id": i, "name": s.name, "kind": s.kind, "exported": s.exported, "start_byte": s.start, "end_byte": s.end, "start_line": s.start_line, "end_line": s.end_line, "text": body})
             by_start[s.start] = i
-            by_name.setdefault(s.name, i)
     return {
         "file_path": path, "language": language, "symbols": syms,
         "imports": [{"name": i.name, "source": i.source, "alias": i.alias, "seq": k} for k, i in enumerate(e.imports)],
@@ -42,7 +43,7 @@ def row(path: str, language: str, text: str) -> dict:
         "flows": [{"owner": o, "target": t, "flow": f, "line": n} for o, t, f, n in e.flows],
         "todos": [{"kind": k, "text": t, "line": n, "symbol": s} for k, t, n, s in e.todos],
         "docs": [{"id": by_start.get(d["start"]), "raw_text": d["raw_text"], "summary": d["summary"], "params_json": d["params_json"], "returns_text": d["returns"], "examples_json": json.dumps(d["examples"])} for d in e.docs],
-        "decorators": [{"id": by_name.get(s), "name": n, "arguments": a, "line": line, "type": t} for s, n, a, line, t in e.decorators],
+        "decorators": [{"id": by_start.get(s), "name": n, "arguments": a, "line": line, "type": t} for s, n, a, line, t in e.decorators],
         "patterns": e.patterns,
     }
 
@@ -75,7 +76,7 @@ def tables(nested: DataFrame) -> dict[str, DataFrame]:
     found = part("patterns")
     place = F.concat_ws(":", "file_path", "line", "column", F.monotonically_increasing_id())
     return {
-        "symbols": symbols.dropDuplicates(["id"]),
+        "symbols": first_per(symbols, ["id"], [F.desc("start_byte"), F.desc("end_byte")], 1),  # of one id the last
         "imports": part("imports"),
         "types": part("types"),
         "flows": part("flows"),

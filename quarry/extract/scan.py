@@ -25,7 +25,29 @@ def blank(source: str, language: str) -> tuple[str, list[tuple[int, int]]]:
             return re.sub(r"[^\n]", " ", s)
         return s[0] + re.sub(r"[^\n]", " ", s[1:-1]) + s[-1] if len(s) > 1 else s
 
-    return (_RUST if language == "rust" else _C).sub(hide, source), comments
+    if language != "rust":
+        return _C.sub(hide, source), comments
+    out, at = [], 0
+    while (m := _RUST.search(source, at)) is not None:
+        end = _nested_end(source, m.start()) if m[0].startswith("/*") else m.end()
+        out.append(source[at : m.start()])
+        if m[0].startswith("/*"):
+            comments.append((m.start(), end))
+            out.append(re.sub(r"[^\n]", " ", source[m.start() : end]))
+        else:
+            out.append(hide(m))
+        at = max(end, m.start() + 1)
+    return "".join([*out, source[at:]]), comments
+
+
+def _nested_end(source: str, at: int) -> int:
+    """End of a block comment that may hold others."""
+    depth = 0
+    for m in re.compile(r"/\*|\*/").finditer(source, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return len(source)
 
 
 class Lines:

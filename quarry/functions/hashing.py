@@ -34,30 +34,49 @@ def symbol_ids(path: Column, name: Column, start: Column, exported: Column) -> C
     return _symbol_ids(path, name, F.when(exported, 0).otherwise(start))
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    """``fnv1a`` of many words at once, a byte position at a time."""
+    raws = [w.encode() for w in words]
+    sizes = np.array([len(r) for r in raws])
+    order = np.argsort(-sizes, kind="stable")
+    longest = int(sizes.max(initial=0))
+    matrix = np.frombuffer(b"".join(raws[k].ljust(longest, b"\0") for k in order), np.uint8).reshape(len(raws), longest) if longest else np.zeros((len(raws), 0), np.uint8)
+    h = np.full(len(raws), _START, np.uint64)
+    for at in range(longest):
+        n = int(np.searchsorted(-sizes[order], -at, side="left"))  # words longer than ``at`` come first
+        h[:n] = (h[:n] ^ matrix[:n, at]) * np.uint64(_STEP)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _embedded(rows: list[list[str]], dim: int) -> np.ndarray:
+    """Signed counts of hashed words per row, at length 1."""
+    sizes = [len(r) for r in rows]
+    codes, words = pd.factorize(np.array([w for r in rows for w in r], object))
+    h = _hashes(list(words))
+    place, sign = (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    v = np.bincount(row * dim + place[codes], sign[codes], len(rows) * dim).reshape(len(rows), dim)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n > 0, n, 1.0)
+
+
 def embed(text: str, dim: int = 64) -> list[float]:
-    """Signed counts of hashed tokens, at length 1."""
-    dim = max(8, dim)
-    v = np.zeros(dim)
-    word = ""
-    for c in f"{text} ":
-        if c.isalnum() or c in "_$":
-            word += c
-        elif word:
-            h = fnv1a(word.encode())
-            v[h % dim] += -1.0 if h >> 63 else 1.0
-            word = ""
-    n = float(np.sqrt((v * v).sum()))
-    return (v / n if n else v).tolist()
+    """Signed counts of hashed words, at length 1."""
+    words = "".join(c if c.isalnum() or c in "_$" else " " for c in text).split()
+    return _embedded([words], max(8, dim))[0].tolist()
 
 
 def hash_embedding(dim: int = 64):
-    """Column function: text to its hash embedding."""
+    """Column function: text to its hash embedding. Words are cut in SQL; a batch hashes each once."""
+    dim = max(8, dim)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([embed(t or "", dim) for t in text])
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series(list(_embedded([list(w) if w is not None else [] for w in words], dim)))
 
-    return run
+    return lambda text: run(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}_$]+)"), F.lit(1)))
 
 
 def cache_key(model: str, text: Column) -> Column:

@@ -47,6 +47,29 @@ def parse_controls(query: str) -> Controls:
     return out
 
 
+def controls(c: Column) -> Column:
+    """``parse_controls`` as a column: struct(text, id, file, path, lang, kind, package)."""
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    key = lambda w: F.lower(F.trim(F.substring_index(w, ":", 1)))
+    value = lambda w: F.regexp_replace(F.trim(F.substring(w, F.instr(w, ":") + 1, F.lit(1 << 20))), "^\"+|\"+$|^'+|'+$", "")
+    known = lambda w: F.contains(w, F.lit(":")) & key(w).isin(*_NAMES) & (value(w) != "")
+    last_of = lambda keys: value(F.get(F.reverse(F.filter(words, lambda w: known(w) & key(w).isin(*keys))), F.lit(0)))
+    out = [F.array_join(F.filter(words, lambda w: ~known(w)), " ").alias("text")]
+    for name in ("id", "file", "path", "lang", "kind", "package"):
+        last = last_of([k for k, n in _NAMES.items() if n == name])
+        if name == "lang":
+            langs = F.create_map(*[F.lit(x) for kv in _LANGS.items() for x in kv])
+            last = F.coalesce(F.element_at(langs, F.lower(last)), F.lower(last))
+        out.append(last.alias(name))
+    return F.struct(*out)
+
+
+def decomposed(c: Column) -> Column:
+    """``decompose`` as a column: parts between ' and ', and between ' & ' within those."""
+    cut = lambda x, at: F.filter(F.transform(F.split(x, at), lambda p: F.trim(p)), lambda p: p != "")
+    return F.flatten(F.transform(cut(F.trim(c), "(?i) and "), lambda p: cut(p, " & ")))
+
+
 def intent(c: Column) -> Column:
     """Name of the first intent whose words a query holds, or null."""
     q = F.lower(F.trim(c))

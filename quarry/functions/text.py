@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -43,6 +44,22 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(split_identifiers(c)), r"[ \t\n\x0c\r]+"), lambda t: t != "")
 
 
+def code_words(text: str) -> list[str]:
+    """``tokens`` of one string."""
+    out = re.sub(r"::|->|[_./\\:\-\"\s]", " ", re.sub(r"([()])", r" \1 ", text))
+    out = re.sub(r"(?<=[A-UW-Za-uw-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ", out)
+    for k in range(len(out) - 1, 0, -1):
+        a, b, after = out[k - 1], out[k], out[k + 1 : k + 2]
+        if (a.islower() and b.isupper()) or (a.isupper() and b.isupper() and after.islower()):
+            out = out[:k] + " " + out[k:]
+    return out.lower().split()
+
+
+def plain_words(text: str) -> list[str]:
+    """``plain_tokens`` of one string."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def plain_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits, for prose."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
@@ -184,9 +201,12 @@ def is_linked_test(path: Column) -> Column:
     return low.rlike(r"\.(test|spec)\.|_test\.(rs|ts|tsx|js)$|/(test|tests|__tests__|spec)/")
 
 
-def is_diverse_test(path: Column, name: Column) -> Column:
+def is_diverse_test(path: Column) -> Column:
     """Test items as kind diversification sees them."""
-    return F.lower(path).contains("test") | F.lower(name).startswith("test")
+    out = F.lit(False)
+    for part in (".test.", ".spec.", "/tests/", "/__tests__/"):
+        out = out | F.contains(path, F.lit(part))
+    return out
 
 
 def tested_source(path: Column) -> Column:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
-#: Upper bounds of the histograms in seconds: searches and index runs.
-BOUNDS = {"search": (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0), "index": (0.001, 0.01, 0.1, 1.0, 10.0, 60.0, 300.0, 600.0)}
+# Upper bounds of the histograms in seconds.
+BOUNDS = {
+    "search": (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0),
+    "index": (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 60.0, 300.0, 600.0),
+}
 
 
 class Metrics:

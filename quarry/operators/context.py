@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,17 @@ SHARES = {"root": 0.7, "extra": 0.2, "expanded": 0.1}
 
 def within_budget(items: DataFrame, budget: int, order: list, tokens: str = "tokens", by: list[str] | None = None) -> DataFrame:
     """Items while the running sum of tokens is below the budget; the item that passes it is the last.
-    ``total`` is the sum up to each."""
+    ``total`` is the sum up to each. ``order``: names of columns, ascending.
+
+    Over a whole table (no ``by``) at most ``budget`` items with tokens are of interest, so a top-k comes
+    first and no task ever sorts the table.
+    """
+    if not by:
+        place = F.struct(*order)
+        some = items.filter(F.col(tokens) > 0).select(place.alias("_at"), F.col(tokens).alias("_n")).orderBy("_at").limit(budget)
+        run = F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        last = some.withColumn("_sum", run).filter(F.col("_sum") >= budget).agg(F.min("_at").alias("_last"))
+        items = items.join(F.broadcast(last), F.col("_last").isNull() | (place <= F.col("_last"))).drop("_last")  # one row
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return items.withColumn("total", F.sum(tokens).over(w)).filter(F.col("total") - F.col(tokens) < budget)
 
@@ -64,15 +74,33 @@ class Item:
     docstring: str | None = None
 
 
-def pack(items: list[Item], budget: int, counter: Callable[[str], int] = count_tokens) -> list[Item]:
+def auto_include(related: list[tuple[Item, str]], seen: set[str], budget: int, counter: Callable[[str], int] = count_tokens) -> list[Item]:
+    """Types and parents that roots lead to, as far as a budget goes: of each root, in order, what it
+    refers to by type or reference, then what it extends or implements. ``related``: (item, edge type) of
+    each root's edges, root by root. An item that does not fit is passed over."""
+    out, seen = [], set(seen)
+    for kinds in (("type", "reference"), ("extends", "implements")):
+        for item, kind in related:
+            n = counter(item.text)
+            if kind in kinds and item.id not in seen and n <= budget:
+                budget -= n
+                seen.add(item.id)
+                out.append(item)
+    return out
+
+
+def pack(items: list[Item], budget: int, counter: Callable[[str], int] = count_tokens, relevance: Callable[[str], float] | None = None) -> list[Item]:
     """Greedy packing by role: each role has its share of the budget and gets its first item whatever its
-    size; the item that passes the share is the last of the role."""
+    size; the item that passes the share is the last of the role. With ``relevance`` of a line, an item
+    longer than what is left keeps its first, last and most relevant lines."""
     out = []
     for role, share in SHARES.items():
         left, first = budget * share, True
         for item in (i for i in items if i.role == role):
             if not first and left <= 0:
                 break
+            if relevance is not None and counter(item.text) > left > 0:
+                item = replace(item, text=smart_truncate(item.text, int(left), relevance, counter=counter))
             out.append(item)
             left -= counter(item.text)
             first = False

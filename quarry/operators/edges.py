@@ -12,11 +12,12 @@ from .relational import first_per
 
 
 def evidence(rows: DataFrame, lines: int = 5) -> DataFrame:
-    """Where a target stands in texts: rows (id, text, target, start_line) give (id, target, line_no, n,
-    total, first_line), the lines with most occurrences first."""
-    each = rows.select("id", "target", "start_line", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = F.size(F.filter(F.regexp_extract_all("line", F.lit(f"({T.IDENTIFIER})"), F.lit(1)), lambda x: x == F.col("target")))
-    hits = each.select("id", "target", (F.col("start_line") + F.col("pos")).cast("long").alias("line_no"), n.cast("long").alias("n")).filter("n > 0")
+    """Where targets stand in texts: rows (id, text, targets, start_line) give (id, target, line_no, n,
+    total, first_line), the lines with most occurrences first. Each text is read once, for all targets."""
+    each = rows.select("id", "targets", "start_line", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = F.filter(F.regexp_extract_all("line", F.lit(f"({T.IDENTIFIER})"), F.lit(1)), lambda x: F.array_contains(F.col("targets"), x))
+    hits = each.select("id", (F.col("start_line") + F.col("pos")).cast("long").alias("line_no"), F.explode(found).alias("target"))
+    hits = hits.groupBy("id", "target", "line_no").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("id", "target")
     hits = hits.withColumn("total", F.sum("n").over(w)).withColumn("first_line", F.min("line_no").over(w))
     return first_per(hits, ["id", "target"], [F.desc("n"), "line_no"], lines)
@@ -119,7 +120,8 @@ def build(symbols: DataFrame, found: DataFrame, imports: DataFrame | None = None
 def with_evidence(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with evidence_count and at_line, evidence rows) from the texts of their sources."""
     lines = symbols.select("id", "text", "start_line")
-    rows = edges.filter(~F.col("type").isin("reads", "writes")).select(F.col("src").alias("id"), "target").distinct().join(lines, "id")
+    named = edges.filter(~F.col("type").isin("reads", "writes")).groupBy(F.col("src").alias("id")).agg(F.collect_set("target").alias("targets"))
+    rows = named.join(lines, "id")
     ev = evidence(rows)
     tops = ev.groupBy(F.col("id").alias("src"), "target").agg(F.first("total").alias("evidence_count"), F.first("first_line").alias("at_line"))
     out = edges.join(tops, ["src", "target"], "left").fillna(1, ["evidence_count"])

@@ -31,7 +31,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: f
     v = vertices if kind_col is None else vertices.filter(F.col(kind_col) != "file")
     v = v.select(F.col(id_col).alias("id")).distinct()
     e = edges.select("src", "dst")
-    e = e.distinct() if dedupe else e
+    e = cut(e.distinct() if dedupe else e)  # read several times below
     e = e.join(v.select(F.col("id").alias("src")), "src", "left_semi").join(v.select(F.col("id").alias("dst")), "dst", "left_semi")
     v = cut(v)
     n = v.count()
@@ -131,22 +131,44 @@ def boost(count: Column) -> Column:
     return F.least(F.greatest(1 + F.log1p(count) * 0.25, F.lit(1.0)), F.lit(1.75))
 
 
-def expand_context(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 20, most: int = 50, kinds: dict[str, float] | None = None, resolutions: dict[str, float] | None = None) -> DataFrame:
-    """(id, score): neighbours of scored seeds (id, score) along edges, the best score of each."""
+def expand_context(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 20, most: int = 50, explored: int = 100, known: DataFrame | None = None, kinds: dict[str, float] | None = None, resolutions: dict[str, float] | None = None) -> DataFrame:
+    """(id, score): what seeds (id) lead to along edges, the best score of each: 1 / level, times the
+    pulls of type and resolution, confidence and evidence. Each node's first ``per_node`` edges count, by
+    type and other end; no further node is opened once ``explored`` are found. ``known``: ids that may be
+    found.
+
+    The frontier is joined before its edges are ranked. What comes of a level is bounded by the nodes
+    opened, ``per_node`` edges each, so the walk itself is on the driver.
+    """
     from ..functions.lexicon import EDGE_PULL, RESOLUTION_PULL
 
     pull = _lookup(F.col("type"), kinds or EDGE_PULL, 1.0)
     held = _lookup(F.col("resolution"), resolutions or RESOLUTION_PULL, 0.8)
     w = Window.partitionBy("src").orderBy("type", "dst")
-    e = edges.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_node)
-    e = e.select("src", "dst", (F.lit(0.8) * F.col("confidence") * pull * boost(F.col("evidence_count")) * held).alias("pull"))
-    front, out = seeds.select(F.col("id").alias("src"), "score"), None
-    for _ in range(depth):
-        now = front.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("score") * F.col("pull")).alias("score"))
-        out = now if out is None else out.unionByName(now)
-        front = now.select(F.col("id").alias("src"), "score")
-    best = out.join(seeds.select("id"), "id", "left_anti").groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
-    return best.orderBy(F.desc("score"), "id").limit(most)
+    kind, spark = seeds.schema["id"].dataType.simpleString(), seeds.sparkSession
+    front = [r.id for r in seeds.select("id").collect()]
+    opened, best = set(front), {}
+    for level in range(1, depth + 1):
+        if not front or len(best) >= explored:
+            break
+        at = spark.createDataFrame([(i,) for i in front], f"src {kind}")
+        e = edges.join(F.broadcast(at), "src").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_node)
+        e = e if known is None else e.join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+        score = F.col("confidence") * pull * boost(F.col("evidence_count")) * held / level
+        out: dict = {}
+        for r in e.select("src", "dst", "_n", score.alias("score")).orderBy("src", "_n").collect():
+            out.setdefault(r.src, []).append((r.dst, r.score))
+        now, front = front, []
+        for i in now:
+            if len(best) >= explored:
+                break
+            for to, s in out.get(i, ()):
+                if to not in best and to not in opened:
+                    opened.add(to)
+                    front.append(to)
+                best[to] = max(s, best.get(to, s))
+    top = sorted(((i, round(s, 6)) for i, s in best.items()), key=lambda x: (-x[1], x[0]))[:most]
+    return spark.createDataFrame(top, f"id {kind}, score double")
 
 
 def _lookup(c: Column, values: dict[str, float], other: float) -> Column:

@@ -161,13 +161,13 @@ def selection_scores(selections: DataFrame, query: str | None, now: Column, rate
     """(id, selections): sum over chosen results of 1 / ln(position + 2), fading by the day. Columns:
     query, id, position, created_at (seconds); ``now`` in seconds."""
     s = selections if query is None else selections.filter(F.col("query") == query)
-    age = (now - F.col("created_at")) / 86400.0
+    age = F.greatest((now - F.col("created_at")) / 86400.0, F.lit(0.0))
     return s.groupBy("id").agg(F.sum(1 / F.log(F.col("position") + 2.0) * F.exp(-rate * age)).alias("selections"))
 
 
 def affinity_scores(affinity: DataFrame, now: Column, rate: float = 0.05) -> DataFrame:
     """(file_path, affinity): views and twice the edits, fading by the day."""
-    age = (now - F.col("last_accessed_at")) / 86400.0
+    age = F.greatest((now - F.col("last_accessed_at")) / 86400.0, F.lit(0.0))
     return affinity.select("file_path", ((F.col("view_count") + 2 * F.col("edit_count")) * F.exp(-rate * age)).alias("affinity"))
 
 
@@ -235,7 +235,7 @@ def by_file(hits: DataFrame, limit: int) -> DataFrame:
 def by_kind(hits: DataFrame, limit: int) -> DataFrame:
     """If more than ``limit``: the best definition, the best other and the best test first, then all
     else by rank."""
-    cls = F.when(T.is_diverse_test(F.col("file_path"), F.col("name")), 2).when(F.col("kind").isin(*DEFINITION_KINDS), 0).otherwise(1)
+    cls = F.when(T.is_diverse_test(F.col("file_path")), 2).when(F.col("kind").isin(*DEFINITION_KINDS), 0).otherwise(1)
     rows = hits.withColumn("_cls", cls).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy()))
     first = F.row_number().over(Window.partitionBy("_cls").orderBy("rank")) == 1
     lead = F.when(F.col("_total") <= limit, 3).when(first, F.col("_cls")).otherwise(3)
@@ -260,9 +260,10 @@ def neighbours(hits: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int
     return with_rank(both.orderBy(*order(both)).limit(limit))
 
 
-def rerank(hits: DataFrame, query: str, texts: DataFrame, scorer: Callable[[str, str], float] | None = None, top: int = 20, weight: float = 0.3) -> DataFrame:
+def rerank(hits: DataFrame, query: str, texts: DataFrame, scorer: Callable[[str, str], float] | None = None, top: int = 20, weight: float = 0.3, judged_before: dict | None = None) -> DataFrame:
     """Blends 0.7 of the score with 3 times a reader's judgement (0 to 1) of the first hits' texts, of
-    three hits and more. The default judge is the share of query words that a text holds."""
+    three hits and more. The default judge is the share of query words that a text holds. A scorer reads
+    a pair of query and text once: ``judged_before`` keeps what it said."""
     judged = with_rank(hits, name="_r")
     if judged.limit(3).count() < 3:
         return judged.drop("_r").withColumn("rerank_score", F.lit(None).cast("double"))
@@ -273,8 +274,13 @@ def rerank(hits: DataFrame, query: str, texts: DataFrame, scorer: Callable[[str,
         s = F.size(F.array_intersect(held, F.array(*map(F.lit, words)))) / F.lit(max(1, len(words)))
         scored = first.withColumn("rerank_score", s)
     else:
-        judge = F.udf(lambda t: float(scorer(query, t or "")), "double")  # at most ``top`` rows
-        scored = first.withColumn("rerank_score", judge("_t"))
+        known, rows = judged_before if judged_before is not None else {}, []
+        for r in first.select("id", "_t").collect():  # at most ``top`` rows
+            text = r._t or ""
+            if (query, text) not in known:
+                known[query, text] = float(scorer(query, text))
+            rows.append((r.id, known[query, text]))
+        scored = hits.sparkSession.createDataFrame(rows, hits.select("id").schema.add("rerank_score", "double"))
     out = judged.join(scored.select("id", "rerank_score"), "id", "left")
     blend = (1 - weight) * F.col("score") + weight * 10 * F.col("rerank_score")
     return out.withColumn("score", F.round(F.when(F.col("rerank_score").isNull(), F.col("score")).otherwise(blend), 6)).drop("_r")

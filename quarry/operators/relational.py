@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..functions.lexicon import RESOLUTION_RANK
 from .graph import _lookup
 
@@ -104,6 +105,86 @@ def longest_prefix(files: DataFrame, roots: DataFrame, path: str = "file_path",
     return files.join(best, path, "left").withColumn("root_key", F.col("_b._key")).withColumn("root_path", F.col("_b._root")).drop("_b")
 
 
+# Counts, listings and summaries.
+
+
+def counted(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): rows of each key."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def recent(selections: DataFrame, limit: int = 25) -> DataFrame:
+    """The last selections, the newest first."""
+    return selections.orderBy(F.desc("created_at"), "id", "query", "position").limit(limit)
+
+
+def most_touched(affinity: DataFrame, limit: int = 10) -> DataFrame:
+    """(file_path, touched): files by views and twice their edits."""
+    touched = (F.col("view_count") + 2 * F.col("edit_count")).alias("touched")
+    return affinity.select("file_path", touched).orderBy(F.desc("touched"), "file_path").limit(limit)
+
+
+def metrics_of(ids: DataFrame, metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """Metrics of ids, 0 where there are none."""
+    return ids.select("id").join(metrics.select("id", *columns), "id", "left").fillna(0, columns)
+
+
+def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, documented): whether each symbol has documentation."""
+    has = docs.select("id").distinct().withColumn("documented", F.lit(True))
+    return symbols.select("id").join(has, "id", "left").fillna(False, ["documented"])
+
+
+def shared_clusters(clusters: DataFrame) -> DataFrame:
+    """(cluster_key, n, first_id) of the keys that several symbols have."""
+    rows = clusters.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return rows.filter("n > 1")
+
+
+def cache_size(cache: DataFrame) -> DataFrame:
+    """(entries, bytes) of an embedding cache."""
+    return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.size("embedding") * 4), F.lit(0)).cast("long").alias("bytes"))
+
+
+def kinds(symbols: DataFrame) -> DataFrame:
+    """(kind, n, n_exported)."""
+    return symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("exported").alias("n_exported"))
+
+
+def index_counts(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(symbols, edges, files): one row."""
+    s = symbols.agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("file_path").alias("files"))
+    return s.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"))).select("symbols", "edges", "files")  # one row each
+
+
+def last_updated(symbols: DataFrame, column: str = "updated_at"):
+    """When a symbol was last written, or None."""
+    return symbols.agg(F.max(column)).first()[0] if column in symbols.columns else None
+
+
+def summaries(symbols: DataFrame) -> DataFrame:
+    """(file_path, n, export_ratio, purpose) of each file. The purpose names how much is exported, then
+    whether there are types, functions and classes."""
+    n, exported = F.count(F.lit(1)), F.count_if("exported")
+    has = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)) > 0
+    share = F.when(exported / n > 0.8, "module").when(exported > 0, "mixed-exports").otherwise("internal")
+    tags = [share, F.when(has("interface", "type"), "type-defs"), F.when(has("function", "method"), "functions"), F.when(has("class"), "classes")]
+    return symbols.groupBy("file_path").agg(n.alias("n"), F.round(exported / n, 6).alias("export_ratio"), F.concat_ws(" | ", *tags).alias("purpose"))
+
+
+def signatures(symbols: DataFrame) -> DataFrame:
+    """(file_path, kind, n, first_name, least_signature) of what files export, by kind."""
+    rows = symbols.filter("exported").withColumn("sig", T.signature(F.col("text")))
+    return rows.groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"), F.min("sig").alias("least_signature"))
+
+
+def similar_paths(files: DataFrame, path: str, limit: int = 5) -> DataFrame:
+    """(file_path): known files that are named like one that is not there."""
+    name = path.rpartition("/")[2].lower()
+    hit = files.select("file_path").distinct().withColumn("_d", F.levenshtein(F.lower(F.element_at(F.split("file_path", "/"), -1)), F.lit(name)))
+    return hit.filter(F.col("_d") <= max(2, len(name) // 3)).orderBy("_d", "file_path").limit(limit).select("file_path")
+
+
 # Mutations: each returns the table as it is afterwards.
 
 

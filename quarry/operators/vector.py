@@ -28,10 +28,12 @@ def similarity(distance: Column, clamp: bool = True) -> Column:
     return 1 / (1 + (F.greatest(distance, F.lit(0.0)) if clamp else distance))
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "vector", where: Column | None = None) -> DataFrame:
-    """(rank, id, distance) of the k nearest rows, ties by id; ``where`` filters before."""
+def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_col: str = "vector", where: Column | None = None, digits: int | None = None) -> DataFrame:
+    """(rank, id, distance) of the k nearest rows, ties by id; ``where`` filters before. Distances are
+    rounded where ``digits`` is given."""
     rows = vectors if where is None else vectors.filter(where)
-    d = F.round(squared_l2(F.col(vec_col), literal(query)), 6)
+    d = squared_l2(F.col(vec_col), literal(query))
+    d = d if digits is None else F.round(d, digits)
     top = rows.filter(F.size(vec_col) == len(query)).select(F.col(id_col).alias("id"), d.alias("distance")).orderBy("distance", "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")).cast("long")).select("rank", "id", "distance")
 
@@ -43,10 +45,11 @@ def vector_of(vectors: DataFrame, value, id_col: str = "id", vec_col: str = "vec
     return list(got[0])
 
 
-def similar(vectors: DataFrame, query: list[float], limit: int = 20, threshold: float = 0.5, self_id=None, **cols) -> DataFrame:
+def similar(vectors: DataFrame, query: list[float], limit: int = 20, threshold: float = 0.5, self_id=None, digits: int | None = None, **cols) -> DataFrame:
     """(id, similarity) above a threshold, of the 2 * limit nearest. ``self_id`` leaves one row out."""
     limit = min(max(limit, 1), 100)
-    hits = knn(vectors, query, 2 * limit, **cols).withColumn("similarity", F.round(similarity(F.col("distance")), 6))
+    s = similarity(F.col("distance"))
+    hits = knn(vectors, query, 2 * limit, digits=digits, **cols).withColumn("similarity", s if digits is None else F.round(s, digits))
     hits = hits.filter(F.col("similarity") >= threshold)
     if self_id is not None:
         hits = hits.filter(F.col("id") != self_id)

@@ -56,13 +56,12 @@ def _(spark, d):
 
 @query("kind_counts", with_(SYMBOLS) + "SELECT kind, count(*) AS n, count(*) FILTER (exported) AS n_exported FROM symbols GROUP BY kind")
 def _(spark, d):
-    return symbols(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("exported").alias("n_exported"))
+    return R.kinds(symbols(spark, d))
 
 
 @query("index_stats", with_(SYMBOLS, EDGES) + "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT file_path) FROM symbols) AS files")
 def _(spark, d):
-    s = symbols(spark, d).agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("file_path").alias("files"))
-    return s.crossJoin(edges(spark, d).agg(F.count(F.lit(1)).alias("edges"))).select("symbols", "edges", "files")  # one row each
+    return R.index_counts(symbols(spark, d), edges(spark, d))
 
 
 @query("latest_run", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -72,28 +71,20 @@ def _(spark, d):
 
 @query("cache_stats", "SELECT count(*) AS entries, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings")
 def _(spark, d):
-    return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.size("embedding") * 4).cast("long").alias("bytes"))
+    return R.cache_size(table(spark, d, "embeddings"))
 
 
 @query(
     "file_summary",
     with_(SYMBOLS)
-    + """SELECT file_path, count(*) AS n, round(avg(CASE WHEN exported THEN 1.0E0 ELSE 0.0E0 END), 6) AS export_ratio,
-        CASE WHEN count(*) FILTER (kind IN ('class', 'struct')) * 2 > count(*) THEN 'types'
-             WHEN count(*) FILTER (kind = 'function') * 2 > count(*) THEN 'functions'
-             WHEN count(*) FILTER (kind = 'const') * 2 > count(*) THEN 'constants' ELSE 'mixed' END AS purpose
+    + """SELECT file_path, count(*) AS n, round(count(*) FILTER (exported) / count(*), 6) AS export_ratio,
+        concat_ws(' | ', CASE WHEN count(*) FILTER (exported) / count(*) > 0.8 THEN 'module' WHEN count(*) FILTER (exported) > 0 THEN 'mixed-exports' ELSE 'internal' END,
+          CASE WHEN count(*) FILTER (kind IN ('interface', 'type')) > 0 THEN 'type-defs' END, CASE WHEN count(*) FILTER (kind IN ('function', 'method')) > 0 THEN 'functions' END,
+          CASE WHEN count(*) FILTER (kind = 'class') > 0 THEN 'classes' END) AS purpose
       FROM symbols GROUP BY file_path""",
 )
 def _(spark, d):
-    return file_summary(symbols(spark, d))
-
-
-def file_summary(s):
-    """Symbols of each file, the share exported and what the file is mostly made of."""
-    n = F.count(F.lit(1))
-    of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)) * 2 > n
-    purpose = F.when(of("class", "struct"), "types").when(of("function"), "functions").when(of("const"), "constants").otherwise("mixed")
-    return s.groupBy("file_path").agg(n.alias("n"), F.round(F.avg(F.when(F.col("exported"), 1.0).otherwise(0.0)), 6).alias("export_ratio"), purpose.alias("purpose"))
+    return R.summaries(symbols(spark, d))
 
 
 @query(
@@ -104,8 +95,7 @@ def file_summary(s):
       FROM symbols WHERE exported GROUP BY file_path, kind""",
 )
 def _(spark, d):
-    rows = symbols(spark, d).filter("exported").withColumn("sig", T.signature(F.col("text")))
-    return rows.groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"), F.min("sig").alias("least_signature"))
+    return R.signatures(symbols(spark, d))
 
 
 @query(

@@ -83,12 +83,12 @@ def _(spark, d):
 
 @query("selection_counts", with_(SELECTIONS) + "SELECT id, count(*) AS n FROM selections GROUP BY id")
 def _(spark, d):
-    return selections(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return R.counted(selections(spark, d), "id")
 
 
 @query("recent_selections", with_(SELECTIONS) + "SELECT query, id, position, created_at FROM selections ORDER BY created_at DESC, id, query, position LIMIT 25")
 def _(spark, d):
-    return selections(spark, d).orderBy(F.desc("created_at"), "id", "query", "position").limit(25)
+    return R.recent(selections(spark, d), 25)
 
 
 @query("affinity_counters", with_(AFFINITY) + "SELECT file_path, view_count, edit_count FROM affinity")
@@ -99,20 +99,19 @@ def _(spark, d):
 
 @query("affinity_top_files", with_(AFFINITY) + "SELECT file_path, view_count + 2 * edit_count AS touched FROM affinity ORDER BY touched DESC, file_path LIMIT 10")
 def _(spark, d):
-    return affinity(spark, d).select("file_path", (F.col("view_count") + 2 * F.col("edit_count")).alias("touched")).orderBy(F.desc("touched"), "file_path").limit(10)
+    return R.most_touched(affinity(spark, d), 10)
 
 
-@query("metric_lookup", with_(SYMBOLS, EDGES) + ", deg AS (SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY src) SELECT c.c, coalesce(out_degree, 0) AS out_degree FROM (SELECT 'c' || c_custkey AS c FROM customer WHERE c_custkey % 10 = 0) c LEFT JOIN deg ON deg.id = c.c")
+@query("metric_lookup", with_(SYMBOLS, EDGES) + ", deg AS (SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY src) SELECT c.c, coalesce(out_degree, 0) AS out_degree FROM (SELECT 'c' || c_custkey AS c FROM customer) c LEFT JOIN deg ON deg.id = c.c")
 def _(spark, d):
-    deg = edges(spark, d).groupBy(F.col("src").alias("c")).agg(F.count(F.lit(1)).alias("out_degree"))
-    some = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("c"))
-    return some.join(deg, "c", "left").fillna(0, ["out_degree"])
+    deg = R.counted(edges(spark, d).withColumnRenamed("src", "id"), "id").withColumnRenamed("n", "out_degree")
+    ids = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return R.metrics_of(ids, deg, ["out_degree"]).withColumnRenamed("id", "c")
 
 
 @query("docstring_flags", with_(SYMBOLS) + "SELECT s.id, l.doc_id IS NOT NULL AS documented FROM symbols s LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = s.id")
 def _(spark, d):
-    docs = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit(True).alias("_d"))
-    return symbols(spark, d).select("id").join(docs, "id", "left").select("id", F.coalesce("_d", F.lit(False)).alias("documented"))
+    return R.documented(symbols(spark, d), table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id")))
 
 
 @query("control_filters", with_(_RANKED) + "SELECT id, rank FROM ranked WHERE lower(language) = 'en' AND kind IN ('class', 'struct') AND contains(file_path, 'src1') AND exported")
@@ -121,7 +120,7 @@ def _(spark, d):
     return K.controlled(K.with_rank(_hits(spark, d)), c, exported_only=True).select("id", "rank")
 
 
-@query("definition_bias", with_(_HITS) + "SELECT id, CASE WHEN lower(name) = 'the' THEN 10.0E0 WHEN contains(lower(name), 'the') THEN 1.0E0 ELSE 0.0E0 END AS bias FROM hits WHERE kind <> 'nothing'")
+@query("definition_bias", with_(_HITS) + "SELECT id, CASE WHEN kind = 'variable' THEN 0.0E0 WHEN lower(name) = 'the' THEN 10.0E0 WHEN contains(lower(name), 'the') THEN 1.0E0 ELSE 0.0E0 END AS bias FROM hits")
 def _(spark, d):
     return _hits(spark, d).select("id", K.definition_bias("The").alias("bias"))
 
@@ -167,10 +166,9 @@ def _(spark, d):
     return hit.select("id", "name", "file_path").orderBy("name", "id").limit(50)
 
 
-@query("cluster_keys_shared", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label HAVING count(*) > 1")
+@query("cluster_keys_shared", "SELECT label AS cluster_key, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label HAVING count(*) > 1")
 def _(spark, d):
-    v = table(spark, d, "embeddings")
-    return v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id")).filter("n > 1")
+    return R.shared_clusters(table(spark, d, "embeddings").select(F.col("label").alias("cluster_key"), F.col("vec_id").alias("id")))
 
 
 @query("embedding_cache_trim", "SELECT vec_id FROM embeddings WHERE vec_id > (SELECT quantile_disc(vec_id, 0.1) FROM embeddings)")

@@ -11,12 +11,13 @@ from ..operators import context as C
 from ..operators import fulltext as FT
 from ..operators import graph as G
 from ..operators import ranking as K
-
 from ..operators import vector as V
+from ..operators.cut import cut, small
 from ..session import table
 from ..streaming import watch as W
 from .bindings import AFFINITY, CLUSTERS, EDGES, NOW, SELECTIONS, SYMBOLS, TREE, affinity, clusters, edges, query, selections, symbols, tree, vectors, with_
-from .text_queries import _DOCS, _bm25_sql, _slim
+from . import stored
+from .text_queries import _DOCS, _bm25_sql
 
 # Vectors.
 
@@ -32,19 +33,19 @@ def _knn(where: str = "true", k: int = 20) -> str:
 @query("knn_l2", f"WITH {_DIST} {_knn()}")
 def _(spark, d):
     v = vectors(spark, d)
-    return V.knn(v, V.vector_of(v, 7), 20)
+    return V.knn(v, V.vector_of(v, 7), 20, digits=6)
 
 
 @query("knn_filtered", f"WITH {_DIST} {_knn('label IN (1, 2)', 10)}")
 def _(spark, d):
     v = vectors(spark, d)
-    return V.knn(v, V.vector_of(v, 7), 10, where=F.col("label").isin(1, 2))
+    return V.knn(v, V.vector_of(v, 7), 10, digits=6, where=F.col("label").isin(1, 2))
 
 
 @query("similar_above_threshold", f"WITH {_DIST}, k AS ({_knn('true', 40)}) SELECT id, round(1 / (1 + greatest(distance, 0.0E0)), 6) AS similarity FROM k WHERE round(1 / (1 + greatest(distance, 0.0E0)), 6) >= 0.38 AND id <> 7 ORDER BY similarity DESC, id LIMIT 20")
 def _(spark, d):
     v = vectors(spark, d)
-    return V.similar(v, V.vector_of(v, 7), 20, 0.38, self_id=7)
+    return V.similar(v, V.vector_of(v, 7), 20, 0.38, self_id=7, digits=6)
 
 
 _KEYS = "keys AS (SELECT vec_id AS id, array_to_string(list_transform(range(16), lambda g: substr('0123456789abcdef', 1 + CAST(list_sum(list_transform(range(4), lambda b: CASE WHEN embedding[64 - g * 4 - b] >= 0 THEN [8, 4, 2, 1][b + 1] ELSE 0 END)) AS INTEGER), 1)), '') AS cluster_key FROM embeddings)"
@@ -55,11 +56,11 @@ def _(spark, d):
     return vectors(spark, d).select("id", V.cluster_key(F.col("vector")).alias("cluster_key"))
 
 
-@query("lsh_cluster_members", "WITH k AS (SELECT vec_id AS id, embedding[1] >= 0 AS a, embedding[2] >= 0 AS b FROM embeddings) SELECT id, a, b FROM k WHERE (a, b) = (SELECT (a, b) FROM k WHERE id = 7) AND id <> 7")
+@query("lsh_cluster_members", "WITH k AS (SELECT vec_id AS id, list_transform(embedding[1:3], lambda x: x >= 0) AS k FROM embeddings) SELECT id FROM k WHERE k = (SELECT k FROM k WHERE id = 7) AND id <> 7 ORDER BY id LIMIT 20")
 def _(spark, d):
-    """Rows that share the first two sign bits of a row: a short key, so that there are members."""
-    k = vectors(spark, d).select("id", (F.col("vector")[0] >= 0).alias("a"), (F.col("vector")[1] >= 0).alias("b"))
-    return k.join(k.filter("id = 7").select("a", "b"), ["a", "b"]).filter("id <> 7").select("id", "a", "b")
+    """Rows of a row's cluster, by the first three components: a short key, so that there are members."""
+    short = vectors(spark, d).select("id", F.slice("vector", 1, 3).alias("vector"))
+    return V.cluster_members(short, 7, 20).select("id")
 
 
 @query("hash_embed_documents")
@@ -79,7 +80,7 @@ def _(spark, d):
 
 def _walk(spark, d) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges for PageRank: customers and suppliers, linked both ways."""
-    e = edges(spark, d).select("src", "dst", "type")
+    e = cut(edges(spark, d).select("src", "dst", "type"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
     return both.select(F.col("src").alias("id")).distinct(), both
 
@@ -187,18 +188,24 @@ def _(spark, d):
     return G.callers(edges(spark, d), "p3")
 
 
-_PULL = "0.8E0 * confidence * CASE type WHEN 'extends' THEN 1.5E0 WHEN 'call' THEN 1.0E0 ELSE 0.8E0 END * least(greatest(1 + ln(1 + evidence_count) * 0.25E0, 1.0E0), 1.75E0) * CASE resolution WHEN 'local' THEN 1.0E0 WHEN 'import' THEN 0.9E0 ELSE 0.8E0 END"
+_PULL = "confidence * CASE type WHEN 'extends' THEN 1.5E0 WHEN 'call' THEN 1.0E0 ELSE 0.8E0 END * least(greatest(1 + ln(1 + evidence_count) * 0.25E0, 1.0E0), 1.75E0) * CASE resolution WHEN 'local' THEN 1.0E0 WHEN 'import' THEN 0.9E0 ELSE 0.8E0 END"
 
 
 @query(
     "context_expansion_scored",
     with_(EDGES)
-    + f""", e AS (SELECT src, dst, {_PULL} AS pull FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY type, dst) <= 20)
-      SELECT dst AS id, round(max(score * pull), 6) AS score FROM e JOIN (VALUES ('c1', 1.0E0), ('c2', 0.5E0), ('c4', 0.25E0)) s(id, score) ON src = s.id GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 50""",
+    + f""", b AS (SELECT src, dst, type, confidence, evidence_count, resolution FROM edges UNION ALL SELECT dst, src, type, confidence, evidence_count, resolution FROM edges),
+      e AS (SELECT src, dst, {_PULL} AS pull FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY type, dst) <= 4),
+      s(id) AS (VALUES ('c1'), ('c2'), ('c4')), one AS (SELECT dst AS id, max(pull) AS score FROM e JOIN s ON src = s.id GROUP BY dst),
+      two AS (SELECT dst AS id, max(pull / 2) AS score FROM e JOIN one ON src = one.id WHERE one.id NOT IN (SELECT id FROM s) GROUP BY dst)
+      SELECT id, round(max(score), 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50""",
 )
 def _(spark, d):
-    seeds = spark.createDataFrame([("c1", 1.0), ("c2", 0.5), ("c4", 0.25)], "id string, score double")
-    return G.expand_context(edges(spark, d), seeds, depth=1)
+    """Two levels from three nodes, over edges both ways."""
+    e = edges(spark, d)
+    rest = ["type", "confidence", "evidence_count", "resolution"]
+    both = e.select("src", "dst", *rest).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+    return G.expand_context(both, spark.createDataFrame([("c1",), ("c2",), ("c4",)], "id string"), depth=2, per_node=4)
 
 
 # Fusion and ranking.
@@ -209,9 +216,9 @@ _LISTS = f"""{_DOCS}, {_bm25_sql(["idiot", "moron", "the"])}, kw AS (SELECT row_
 
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
     terms = ["idiot", "moron", "the"]
-    kw = FT.ranked(FT.bm25(_slim(spark, d, terms), terms), 40).withColumnRenamed("doc", "id")
+    kw = FT.ranked(FT.bm25(stored.words(spark, d), terms), 40, digits=6).withColumnRenamed("doc", "id")
     v = vectors(spark, d)
-    return kw, V.knn(v, V.vector_of(v, 7), 40)
+    return small(kw), small(V.knn(v, V.vector_of(v, 7), 40, digits=6))
 
 
 @query("rrf_fusion", f"WITH {_LISTS} SELECT id, round(sum(1.0E0 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM kw UNION ALL SELECT id, rank FROM vec) GROUP BY id")
@@ -261,12 +268,16 @@ def _(spark, d):
 
 
 def _hits(spark, d) -> DataFrame:
-    """A hundred symbols with a score by their number."""
-    s = symbols(spark, d).filter("start_byte < 100").drop("text", "n_chars")
-    return s.withColumn("score", F.round(1 / (F.col("start_byte") + 1.0), 6))
+    """The hundred longest symbols, scored by their length; some are tests, some define nothing."""
+    n = F.col("start_byte")
+    s = symbols(spark, d).withColumn("score", F.round(F.col("n_chars") / 30000.0, 5)).orderBy(F.desc("score"), "id").limit(100)
+    s = s.withColumn("kind", F.when(n % 5 == 0, "variable").otherwise(F.col("kind")))
+    s = s.withColumn("file_path", F.when(n % 7 == 0, F.regexp_replace("file_path", "/f", "/tests/f")).otherwise(F.col("file_path")))
+    return small(s.drop("text", "n_chars"))
 
 
-_HITS = SYMBOLS + ", hits AS (SELECT id, file_path, language, kind, name, exported, start_byte, round(1 / (start_byte + 1.0E0), 6) AS score FROM symbols WHERE start_byte < 100)"
+_HITS = SYMBOLS + """, hits AS (SELECT id, CASE WHEN start_byte % 7 = 0 THEN regexp_replace(file_path, '/f', '/tests/f') ELSE file_path END AS file_path, language,
+    CASE WHEN start_byte % 5 = 0 THEN 'variable' ELSE kind END AS kind, name, exported, start_byte, round(n_chars / 30000.0E0, 5) AS score FROM symbols ORDER BY score DESC, id LIMIT 100)"""
 
 
 @query("popularity_boost", with_(_HITS) + "SELECT id, round((start_byte % 17) / 16.0E0 * 0.05E0, 6) AS popularity_boost, round(score + round((start_byte % 17) / 16.0E0 * 0.05E0, 6), 6) AS score FROM hits")
@@ -314,7 +325,7 @@ def _(spark, d):
 
 
 @query("diversify_by_kind", with_(_RANKED) + """SELECT id, r AS rank FROM (SELECT id, row_number() OVER (ORDER BY lead, rank) AS r FROM (SELECT id, rank, CASE WHEN row_number() OVER (PARTITION BY c ORDER BY rank) = 1 THEN c ELSE 3 END AS lead
-    FROM (SELECT *, CASE WHEN starts_with(lower(name), 'test') THEN 2 ELSE 0 END AS c FROM ranked))) WHERE r <= 10""")
+    FROM (SELECT *, CASE WHEN contains(file_path, '.test.') OR contains(file_path, '.spec.') OR contains(file_path, '/tests/') OR contains(file_path, '/__tests__/') THEN 2 WHEN kind = 'variable' THEN 1 ELSE 0 END AS c FROM ranked))) WHERE r <= 10""")
 def _(spark, d):
     return K.by_kind(K.with_rank(_hits(spark, d)), 10).select("id", "rank")
 
@@ -339,10 +350,10 @@ def _(spark, d):
 @query(
     "token_budget_context",
     r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS tokens FROM documents),
-      r AS (SELECT doc_id, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM t WHERE doc_id < 200) SELECT doc_id, tokens, total FROM r WHERE total - tokens < 8192""",
+      r AS (SELECT doc_id, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM t) SELECT doc_id, tokens, total FROM r WHERE total - tokens < 8192""",
 )
 def _(spark, d):
-    items = table(spark, d, "documents").filter("doc_id < 200").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
+    items = table(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
     return C.within_budget(items, 8192, order=["doc_id"]).select("doc_id", "tokens", "total")
 
 
@@ -390,22 +401,20 @@ def _(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search over the documents: BM25, hash-embedding neighbours and link popularity, fused, at
-    most three hits of a source, ten in all."""
-    asked = "the clown and the moron"
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    terms = sorted(set(asked.split()))
-    kw = FT.ranked(FT.bm25(_slim(spark, d, terms), terms), 40).withColumnRenamed("doc", "id")
+    most three hits of a source, ten in all. Postings, vectors and ranks are stored; each list is short and
+    held once."""
     from ..functions.hashing import embed
 
-    vec = V.knn(docs.select(F.col("doc_id").alias("id"), hash_embedding(64)(F.col("text")).alias("vector")), embed(asked), 40)
-    links = docs.select(F.concat(F.lit("s"), "source").alias("src"), F.col("doc_id").cast("string").alias("dst"), F.lit("call").alias("type"))
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
-    both = links.unionByName(back)
-    ranks = G.pagerank(both.select(F.col("src").alias("id")).distinct(), both, rounds=5, kind_col=None)
-    ranks = ranks.withColumn("id", F.col("id").try_cast("long")).filter("id IS NOT NULL")
-    graph = K.graph_list(kw, ranks)
-    fused = K.rrf([(kw, 1.0), (vec, 1.0), (graph, 0.5)]).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file_path")), "id")
-    top = K.by_file(K.with_rank(fused), 10)
+    asked = "the clown and the moron"
+    terms = sorted(set(asked.split()))
+    kw = small(FT.ranked(FT.bm25(stored.words(spark, d), terms), 40, digits=6).withColumnRenamed("doc", "id"))
+    vec = small(V.knn(stored.document_vectors(spark, d), embed(asked), 40, digits=6))
+    listed = [r.id for r in kw.select("id").collect()]  # local rows
+    graph = small(K.graph_list(kw, stored.document_ranks(spark, d).filter(F.col("id").isin(*listed))))
+    fused = small(K.rrf([(kw, 1.0), (vec, 1.0), (graph, 0.5)]))
+    ids = [r.id for r in fused.select("id").collect()]  # at most 80
+    docs = table(spark, d, "documents").filter(F.col("doc_id").isin(*ids)).select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"))
+    top = K.by_file(K.with_rank(fused.join(docs, "id")), 10)
     for name, df in (("kw_rank", kw), ("vec_rank", vec), ("graph_rank", graph)):
         top = top.join(df.select("id", F.col("rank").alias(name)), "id", "left")
     return top.select("rank", F.col("id").alias("doc_id"), "score", "kw_rank", "vec_rank", "graph_rank").orderBy("rank")
@@ -418,8 +427,8 @@ query("hybrid_search_e2e")(flagship)
 def _(spark, d):
     """Every signal of a weighted search, hit by hit."""
     kw, vec = _lists(spark, d)
-    base = K.weighted(kw, vec).withColumn("id", F.col("id").cast("string"))
-    hits = base.join(symbols(spark, d).select("id", "name", "kind", "file_path", "exported", "language"), "id")
+    base = small(K.weighted(kw, vec).withColumn("id", F.col("id").cast("string")))
+    hits = base.join(F.broadcast(base.select("id")), "id").join(symbols(spark, d).select("id", "name", "kind", "file_path", "exported", "language"), "id")
     hits = K.score_hits(hits, "the idiot moron", None)
     hits = K.selected(hits, K.selection_scores(selections(spark, d), None, F.lit(float(NOW))))
     return K.with_rank(hits).filter("rank <= 20")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.lexicon import ACRONYMS, CALL_STOP, CODE_STRONG, CODE_WEAK, INTENTS, NAME_STOP, SYNONYMS
 from ..operators import fulltext as FT
 from ..session import table
+from . import stored
 from .bindings import query
 
 # The splitter for engines without look-around: pairs of characters, captured and put back apart.
@@ -58,13 +59,13 @@ _TOK = r"unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1))"
 
 @query(
     "stem_tokens",
-    rf"""WITH t AS (SELECT DISTINCT {_TOK} AS token FROM documents WHERE lang = 'en'),
+    rf"""WITH t AS (SELECT DISTINCT {_TOK} AS token FROM documents),
       s AS (SELECT token, CASE WHEN length(token) > 5 AND token LIKE '%ing' THEN regexp_replace(token, '(ing)+$', '') WHEN length(token) > 4 AND token LIKE '%ed' THEN regexp_replace(token, '(ed)+$', '')
         WHEN length(token) > 4 AND token LIKE '%es' THEN regexp_replace(token, '(es)+$', '') WHEN length(token) > 3 AND token LIKE '%s' THEN regexp_replace(token, 's+$', '') END AS stem FROM t)
       SELECT token, CASE WHEN length(stem) >= 3 THEN stem END AS stem FROM s""",
 )
 def _(spark, d):
-    tok = table(spark, d, "documents").filter("lang = 'en'").select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).distinct()
+    tok = table(spark, d, "documents").select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).distinct()
     return tok.select("token", T.stem(F.col("token")).alias("stem"))
 
 
@@ -123,7 +124,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.edges import evidence
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("the").alias("target"), F.lit(1).alias("start_line"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array(F.lit("the")).alias("targets"), F.lit(1).alias("start_line"))
     e = evidence(docs)
     return e.select(F.col("id").alias("doc_id"), "line_no", "n", "total", "first_line")
 
@@ -133,21 +134,31 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.usage_line(F.col("text"), F.lit("and")).alias("line"))
 
 
-@query("todo_scan", r"SELECT doc_id, no AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents) WHERE regexp_matches(line, '(?i)\b(todo|fixme|licensed|key)\b')")
+@query(
+    "todo_scan",
+    """SELECT 'd' || doc_id || '.ts' AS file_path, CASE WHEN doc_id % 2 = 0 THEN 'todo' ELSE 'fixme' END AS kind, 'check ' || lang || ' ' || doc_id AS text, CAST(doc_id % 3 AS INTEGER) AS line, 'f' || doc_id AS symbol
+      FROM documents WHERE lang IS NOT NULL""",
+)
 def _(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter(F.col("line").rlike(r"(?i)\b(todo|fixme|licensed|key)\b")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    """Tasks of one source file per document: blank lines, a comment, a function."""
+    from ..extract.run import extract_files
+
+    i = F.col("doc_id").cast("string")
+    word = F.when(F.col("doc_id") % 2 == 0, "TODO: ").otherwise("FIXME ")
+    text = F.concat(F.repeat(F.lit("\n"), (F.col("doc_id") % 3).cast("int")), F.lit("// "), word, F.lit("check "), "lang", F.lit(" "), i, F.lit("\nfunction f"), i, F.lit("() { return 1; }\n"))
+    files = table(spark, d, "documents").filter("lang IS NOT NULL").select(F.concat(F.lit("d"), i, F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), text.alias("text"))
+    return extract_files(files).select("file_path", F.inline("todos"))
 
 
 @query(
     "line_relevance",
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE lang = 'en'),
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
       w AS (SELECT doc_id, no, lower(line) AS low, string_split(regexp_replace(lower(line), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ') AS ws FROM l)
       SELECT doc_id, no AS line_no, CASE WHEN contains(low, 'the and') THEN 1.0E0 ELSE 0.0E0 END + CASE WHEN list_contains(ws, 'the') THEN 2.0E0 ELSE 0.0E0 END + CASE WHEN list_contains(ws, 'and') THEN 2.0E0 ELSE 0.0E0 END
         + CASE WHEN regexp_matches(low, '\b(fn|function|class|struct|interface|impl|trait|enum|def)\b') THEN 0.5E0 ELSE 0.0E0 END + CASE WHEN regexp_matches(low, '\b(return|pub|export)\b') THEN 0.3E0 ELSE 0.0E0 END AS relevance FROM w""",
 )
 def _(spark, d):
-    lines = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), T.line_relevance(F.col("line"), "the and").alias("relevance"))
 
 
@@ -188,17 +199,23 @@ def _(spark, d):
     return _chat(spark, d).select("conv_id", "turn", Q.looks_like_code(F.col("text")).alias("is_code"))
 
 
-@query("query_decompose", "SELECT item_id, part FROM (SELECT item_id, trim(unnest(regexp_split_to_array(text, '(?i) and '))) AS part FROM benchmark) WHERE part <> ''")
+@query("query_decompose", "SELECT item_id, part FROM (SELECT item_id, trim(unnest(string_split(p, ' & '))) AS part FROM (SELECT item_id, trim(unnest(regexp_split_to_array(text || ' AND a & b', '(?i) and '))) AS p FROM benchmark)) WHERE part <> ''")
 def _(spark, d):
-    parts = F.transform(F.split("text", "(?i) and "), lambda x: F.trim(x))
-    return table(spark, d, "benchmark").select("item_id", F.explode(parts).alias("part")).filter("part <> ''")
+    text = F.concat("text", F.lit(" AND a & b"))
+    return table(spark, d, "benchmark").select("item_id", F.explode(Q.decomposed(text)).alias("part"))
 
 
-@query("query_controls", "SELECT item_id, word FROM (SELECT item_id, unnest(string_split(text || ' lang:' || CASE WHEN item_id % 2 = 0 THEN 'ts' ELSE 'rust' END, ' ')) AS word FROM benchmark) WHERE contains(word, ':')")
+@query(
+    "query_controls",
+    """SELECT item_id, text || ' other:x' AS text, CASE WHEN item_id % 2 = 0 THEN 'typescript' ELSE 'rust' END AS lang, 'class,struct' AS kind, 'src/f' || item_id AS path, 'pkg' || item_id AS package
+      FROM (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS text FROM benchmark)""",
+)
 def _(spark, d):
-    """The words of a query that are controls."""
-    text = F.concat("text", F.lit(" lang:"), F.when(F.col("item_id") % 2 == 0, "ts").otherwise("rust"))
-    return table(spark, d, "benchmark").select("item_id", F.explode(F.split(text, " ")).alias("word")).filter(F.contains("word", F.lit(":")))
+    """Queries of the benchmark's texts with controls around them, an unknown one among them."""
+    i = F.col("item_id").cast("string")
+    text = F.concat(F.lit("language:js kind:class,struct "), "text", F.lit(" lang:"), F.when(F.col("item_id") % 2 == 0, "TS").otherwise("rust"), F.lit(' path:"src/f'), i, F.lit('" pkg:pkg'), i, F.lit(" other:x"))
+    c = table(spark, d, "benchmark").select("item_id", Q.controls(text).alias("c"))
+    return c.select("item_id", "c.text", "c.lang", "c.kind", "c.path", "c.package")
 
 
 # Full text: BM25 over the documents.
@@ -215,13 +232,9 @@ def _ranked_sql(limit: int, source: str = "SELECT doc_id, round(raw, 6) AS score
     return f"SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id AS doc, score FROM ({source}) ORDER BY score DESC, doc_id LIMIT {limit}"
 
 
-def _slim(spark, d, terms):
-    return FT.Index.slim(table(spark, d, "documents").select("doc_id", "text"), "doc_id", T.plain_tokens(F.col("text")), terms)
-
-
 @query("bm25_single", f"WITH {_DOCS}, {_bm25_sql(['stupid'])} {_ranked_sql(20)}")
 def _(spark, d):
-    return FT.ranked(FT.bm25(_slim(spark, d, ["stupid"]), ["stupid"]), 20)
+    return FT.ranked(FT.bm25(stored.words(spark, d), ["stupid"]), 20, digits=6)
 
 
 _TERMS = ["the", "and", "idiot", "moron"]
@@ -229,18 +242,22 @@ _TERMS = ["the", "and", "idiot", "moron"]
 
 @query("bm25_multi_boosted", f"WITH {_DOCS}, {_bm25_sql(_TERMS, '2.0E0')} {_ranked_sql(50)}")
 def _(spark, d):
-    return FT.ranked(FT.bm25(_slim(spark, d, _TERMS), _TERMS, {"text": 2.0}), 50)
+    return FT.ranked(FT.bm25(stored.words(spark, d), _TERMS, {"text": 2.0}), 50, digits=6)
 
 
 @query(
     "bm25_phrase",
-    rf"""WITH {_DOCS}, {_bm25_sql(['of', 'the'])}, f AS (SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}]+)', 1), ' ') || ' ', ' of the '))
-      {_ranked_sql(20, 'SELECT doc_id, round(raw, 6) AS score FROM b WHERE doc_id IN (SELECT doc_id FROM f)')}""",
+    rf"""WITH {_DOCS}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}]+)', 1) AS w FROM documents),
+      f AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM w),
+      df AS (SELECT term, count(DISTINCT doc_id) AS df FROM t WHERE term IN ('of', 'the', 'idiot') GROUP BY term), i AS (SELECT term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM df, s),
+      c AS (SELECT doc_id, tf, (SELECT sum(idf) FROM i WHERE term IN ('of', 'the')) AS idf FROM f WHERE tf > 0
+            UNION ALL SELECT doc_id, count(*), any_value(idf) FROM t JOIN i USING (term) WHERE term = 'idiot' GROUP BY doc_id),
+      b AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS raw FROM c JOIN l USING (doc_id), s GROUP BY doc_id)
+      {_ranked_sql(40)}""",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    index = FT.Index.build(docs, "doc_id", {"text": F.filter(T.plain_tokens(F.col("text")), lambda t: t != "")})
-    return FT.search(index, '"of the"', 20, {"text": 1.0})
+    """A phrase or a word: documents that hold either, by the weight of both."""
+    return FT.search(stored.words(spark, d), '"of the" idiot', 40, {"text": 1.0}, digits=6)
 
 
 @query(
@@ -249,12 +266,21 @@ def _(spark, d):
       {_ranked_sql(20, 'SELECT doc_id, round(raw, 6) AS score FROM b WHERE doc_id IN (SELECT doc_id FROM m) AND doc_id NOT IN (SELECT doc_id FROM x)')}""",
 )
 def _(spark, d):
-    index = _slim(spark, d, ["idiot", "moron", "clown"])
-    return FT.search(index, "+idiot moron -clown", 20, {"text": 1.0})
+    return FT.search(stored.words(spark, d), "+idiot moron -clown", 20, {"text": 1.0}, digits=6)
 
 
-@query("bm25_ngram_fallback")
+@query(
+    "bm25_ngram_fallback",
+    r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1))) AS word FROM documents),
+      g AS (SELECT doc_id, word, CASE WHEN length(word) < 3 THEN 1 ELSE greatest(length(word) - 2, 0) + greatest(length(word) - 3, 0) + greatest(length(word) - 4, 0) END AS n FROM w),
+      l AS (SELECT d.doc_id, coalesce(sum(n), 0) AS n FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id), s AS (SELECT count(*) AS n_docs, avg(n) AS mean FROM l),
+      q AS (SELECT doc_id, p AS term, sum(len(list_filter(range(1, length(word) - length(p) + 2), lambda i: substr(word, i, length(p)) = p))) AS tf FROM g, unnest(['mor', 'oro', 'moro']) AS x(p) WHERE contains(word, p) GROUP BY doc_id, p),
+      df AS (SELECT term, count(*) AS df FROM q GROUP BY term),
+      b AS (SELECT doc_id AS doc, round(0.35E0 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN df USING (term) JOIN l USING (doc_id), s GROUP BY doc_id)
+      SELECT row_number() OVER (ORDER BY score DESC, doc) AS rank, doc, score, 1 AS tier FROM b ORDER BY score DESC, doc LIMIT 20""",
+)
 def _(spark, d):
+    """A part of a word that stands nowhere by itself: all hits come from the n-grams."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    terms = T.plain_tokens(F.col("text"))
-    return FT.search_partial(FT.Index.build(docs, "doc_id", {"text": terms}), FT.gram_index(docs, "doc_id", {"text": F.array_distinct(terms)}), "moro", 20)
+    grams = FT.Index.slim_grams(docs, "doc_id", F.array_distinct(T.plain_tokens(F.col("text"))), FT.pieces("moro"))
+    return FT.search_partial(stored.words(spark, d), grams, "moro", 20, digits=6)

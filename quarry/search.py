@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,8 @@ class Settings:
     write_code: object = None  # callback of hypothetical code: (query, language) -> str
     scorer: object = None  # callback of a reranker: (query, text) -> 0..1
     rerank: bool = False
-    now: int = 0
+    now: float | None = None  # seconds that feedback is aged to; the clock if not given
+    judged: dict = field(default_factory=dict)  # what the scorer said of pairs of query and text
 
 
 @dataclass
@@ -51,7 +53,7 @@ class Answer:
 
 def _keyword(store: Store, text: str, k: int) -> DataFrame:
     words = [w for w in text.lower().split() if w]
-    hits = FT.search_partial(store.index(), store.grams(), " ".join(words), k).drop("tier")
+    hits = FT.search_partial(store.index(), store.grams(), " ".join(words), k, analyze=T.code_words, digits=6).drop("tier")
     return small(hits.withColumnRenamed("doc", "id"))
 
 
@@ -113,11 +115,12 @@ def search(store: Store, query: str, limit: int = 5, exported_only: bool = False
     hits = K.controlled(K.unique(hits), controls, exported_only)
     hits = small(K.docstrings(hits, store["docstrings"]))
     if settings.learning:
-        hits = K.selected(hits, K.selection_scores(store["query_selections"], asked.strip().lower(), F.lit(float(settings.now))))
-        hits = K.familiar(hits, K.affinity_scores(store["user_file_affinity"], F.lit(float(settings.now))))
+        now = F.lit(float(time.time() if settings.now is None else settings.now))
+        hits = K.selected(hits, K.selection_scores(store["query_selections"], asked.strip().lower(), now))
+        hits = K.familiar(hits, K.affinity_scores(store["user_file_affinity"], now))
     hits = small(K.same_package(small(hits), store["symbol_packages"], intent, _package(store, controls.package)))
     if settings.rerank:
-        hits = K.rerank(hits, asked, symbols.select("id", "text"), settings.scorer)
+        hits = K.rerank(hits, asked, symbols.select("id", "text"), settings.scorer, judged_before=settings.judged)
     hits = small(K.with_rank(hits.drop("rank")).join(store["similarity_clusters"], "id", "left"))
     pool = 4 * limit
     hits = small(K.by_kind(small(K.by_cluster(K.by_file(hits, pool), pool)), limit))
@@ -137,12 +140,13 @@ def _answer(store: Store, query: str, intent: str | None, hits: DataFrame, setti
     if not context:
         return Answer(query, intent, hits)
     rows = hits.select("rank", "id").collect()  # at most ``limit`` rows
-    items = assemble(store, [r.id for r in sorted(rows)], settings.budget)
+    items = assemble(store, [r.id for r in sorted(rows)], settings.budget, query=Q.parse_controls(query).text)
     return Answer(query, intent, hits, C.render(items), items)
 
 
-def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = False, examples: int = 5, related: int = 50) -> list[C.Item]:
-    """Items of a context: the symbols, examples of their use, and what they lead to."""
+def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = False, examples: int = 5, related: int = 50, query: str = "") -> list[C.Item]:
+    """Items of a context: the symbols, examples of their use, the types and parents they name, and what
+    they lead to. Of an item too long for what is left of its share, the lines nearest to ``query`` stay."""
     if not ids:
         return []
     place = {i: k for k, i in enumerate(ids)}
@@ -152,7 +156,7 @@ def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = Fals
     cap = F.when(F.col("kind") == "file", C.head_tail(F.col("text"), C.FILE_LINES)).otherwise(C.head_tail(F.col("text"), C.FULL_LINES if full else C.LINES, 50 if not full else 15))
     cols = ["id", "name", "kind", "file_path", cap.alias("text")]
     roots = symbols.filter(F.col("id").isin(*ids)).select(*cols).withColumn("rank", rank)
-    near = small(G.expand_context(store["edges"], seeds, most=related))
+    near = small(G.expand_context(store["edges"], seeds, most=related, known=symbols))
     around = symbols.join(near, "id").select(*cols, F.row_number().over(_by_score()).alias("rank"))
     empty = roots.limit(0)
     rows = C.ordered(roots, empty, around).join(store["similarity_clusters"], "id", "left")
@@ -161,7 +165,26 @@ def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = Fals
     items = [C.Item(r.id, r.name, r.kind, r.file_path, r.text, "root" if r.tier == 0 else "expanded", docstring=r.summary) for r in got]
     uses = R.first_per(store["usage_examples"].filter(F.col("to_id").isin(*ids)), ["to_id"], ["type", "file_path", "line"], examples).collect()
     items += [C.Item(f"usage:{u.to_id}:{k}", u.type, "usage", u.file_path, u.snippet, "extra") for k, u in enumerate(sorted(uses, key=lambda u: (place[u.to_id], u.type, u.file_path)))]
-    return C.pack(items, budget)
+    items = _with_types(store, ids, items, symbols.select(*cols), budget // 10)
+    return C.pack(items, budget, relevance=_relevance(query) if query else None)
+
+
+def _with_types(store: Store, ids: list[str], items: list[C.Item], symbols: DataFrame, budget: int) -> list[C.Item]:
+    """Items with the types and parents that the first ones name, as far as a budget goes."""
+    place = {i: k for k, i in enumerate(ids)}
+    e = store["edges"].filter(F.col("src").isin(*ids) & F.col("type").isin("type", "reference", "extends", "implements"))
+    e = R.first_per(e, ["src"], ["type", "dst"], 20).select("src", F.col("type").alias("_type"), F.col("dst").alias("id"))
+    rows = e.join(symbols, "id").collect()  # at most 20 a root
+    found = [(C.Item(r.id, r.name, r.kind, r.file_path, r.text, "extra"), r._type) for r in sorted(rows, key=lambda r: (place[r.src], r._type, r.id))]
+    more = C.auto_include(found, {i.id for i in items if i.role == "root"}, budget)
+    taken = {i.id for i in more}
+    return [i for i in items if i.id not in taken or i.role == "root"] + more
+
+
+def _relevance(query: str):
+    """How near a line is to a query: the words they share, by twos, and the query itself."""
+    words, whole = set(T.code_words(query)), query.lower()
+    return lambda line: 2.0 * len(words & set(T.code_words(line))) + (1.0 if whole in line.lower() else 0.0)
 
 
 def _by_score():

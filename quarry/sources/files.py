@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +34,36 @@ def eligible(path: Column, node_modules: bool = False) -> Column:
     return language(path).isNotNull() & ~inside & ~F.contains(path, F.lit(".test."))
 
 
-def scan(spark: SparkSession, roots: list[str], base: str | None = None, node_modules: bool = False, content: bool = True) -> DataFrame:
-    """(file_path, language, mtime_ns, size_bytes[, text]) of the sources below the roots, each file once.
+def scan(spark: SparkSession, roots: list[str], base: str | None = None, node_modules: bool = False, content: bool = True, paths: list[str] | None = None, excluded: Iterable[str] = ()) -> DataFrame:
+    """(file_path, path, language, mtime_ns, size_bytes[, text]) of the sources below the roots, each file
+    once; ``path`` is where Spark reads it.
 
-    Without ``content`` only listings are read. Files that are not UTF-8 have no text and are left out.
+    Without ``content`` only listings are read, with ``paths`` only those files. ``excluded``: small globs
+    of files to leave out. Files that are not UTF-8 have no text and are left out.
     """
     base = base or roots[0]
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots if paths is None else paths)
     path = relative(F.col("path"), base)
+    for pattern in excluded:
+        raw = raw.filter(~path.rlike(glob_regex(pattern)))
     rows = raw.withColumn("file_path", path).filter(eligible(F.col("file_path"), node_modules)).dropDuplicates(["file_path"]) if len(roots) > 1 else raw.withColumn("file_path", path).filter(eligible(F.col("file_path"), node_modules))
     stamp = (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")
-    cols = ["file_path", language(F.col("file_path")).alias("language"), stamp, F.col("length").alias("size_bytes")]
+    cols = ["file_path", "path", language(F.col("file_path")).alias("language"), stamp, F.col("length").alias("size_bytes")]
     if not content:
         return rows.select(*cols)
     return rows.filter(F.is_valid_utf8(F.col("content"))).select(*cols, F.col("content").cast("string").alias("text"))
 
 
+def glob_regex(pattern: str) -> str:
+    """Regular expression of a small glob: ** for any directories, * within one, a trailing / for a
+    directory and all below."""
+    p = pattern.replace("\\", "/")
+    out = ""
+    for k, part in enumerate(re.split(r"(\*\*/?|\*|\?)", p)):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part)) if k % 2 else re.escape(part)
+    return ("(^|/)" if not p.startswith(("/", "*")) else "^") + out + (".*" if p.endswith("/") else "(/.*)?$")
+
+
 def only(files: DataFrame, paths: list[str]) -> DataFrame:
     """Some files, and all below some directories."""
     hit = F.lit(False)

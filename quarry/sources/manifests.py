@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import longest_prefix
+from .files import glob_regex, relative
 
 # Manifest files and the kinds of package they describe.
 MANIFESTS = {"package.json": "npm", "Cargo.toml": "cargo", "go.mod": "go", "pom.xml": "maven", "pyproject.toml": "python", "requirements.txt": "python"}
@@ -19,16 +20,6 @@ MANIFESTS = {"package.json": "npm", "Cargo.toml": "cargo", "go.mod": "go", "pom.
 VENDOR = "node_modules target .git dist build vendor .venv venv env .env __pycache__ .next .nuxt out .output .turbo .cache".split()
 
 
-def glob_regex(pattern: str) -> str:
-    """Regular expression of a small glob: ** for any directories, * within one, a trailing / for a
-    directory and all below."""
-    p = pattern.replace("\\", "/")
-    out = ""
-    for k, part in enumerate(re.split(r"(\*\*/?|\*|\?)", p)):
-        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part)) if k % 2 else re.escape(part)
-    return ("(^|/)" if not p.startswith(("/", "*")) else "^") + out + (".*" if p.endswith("/") else "(/.*)?$")
-
-
 def discover(files: DataFrame, excluded: Iterable[str] = ()) -> DataFrame:
     """Manifests among files (file_path, text), outside vendor and hidden directories, in order."""
     parts = F.split("file_path", "/")
@@ -100,12 +91,11 @@ def of_files(files: DataFrame, pkgs: DataFrame) -> DataFrame:
     return out.select("file_path", F.col("root_key").alias("package"))
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    """All manifests and repository settings below a root: (file_path, text)."""
-    from .files import relative
-
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = relative(F.col("path"), root)
+def read(spark: SparkSession, roots: str | list[str], base: str | None = None) -> DataFrame:
+    """All manifests and repository settings below roots, each once: (file_path, text)."""
+    roots = [roots] if isinstance(roots, str) else roots
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).dropDuplicates(["path"])
+    path = relative(F.col("path"), base or roots[0])
     name = F.element_at(F.split(path, "/"), -1)
     rows = raw.withColumn("file_path", path).filter(name.isin(*MANIFESTS) | F.col("file_path").endswith(".git/config"))
     return rows.filter(F.is_valid_utf8(F.col("content"))).select("file_path", F.col("content").cast("string").alias("text"))

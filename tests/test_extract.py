@@ -38,7 +38,8 @@ def test_typescript():
     assert {("add", "Foo"), ("add", "Bar"), ("add", "Baz"), ("run", "Query"), ("T1", "Foo")} <= set(e.types)
     assert {("add", "z", "writes"), ("add", "helper", "reads"), ("run", "y", "writes"), ("run", "add", "reads")} <= {f[:3] for f in e.flows}
     assert [(t[0], t[1], t[3]) for t in e.todos] == [("todo", "fix this", "K")]
-    assert [(d[0], d[1], d[4]) for d in e.decorators] == [("K", "Component", "component"), ("run", "Get", "get")]
+    at = {s.start: s.name for s in e.symbols}
+    assert [(at[d[0]], d[1], d[4]) for d in e.decorators] == [("K", "Component", "component"), ("run", "Get", "get")]
     assert [d["symbol"] for d in e.docs] == ["add"]
     assert [(p["kind"], p["http_method"], p["path"], p["name"], p["handler"], p["parent_chain"]) for p in e.patterns] == [
         ("route", "GET", "/hi", None, "hello", "Elysia"), ("plugin", None, None, "cors", None, "Elysia"), ("state", None, None, "n", None, "Elysia"),
@@ -93,3 +94,32 @@ def test_paths():
     for bad in ("", "../x", "/other/x", "a/../../x", "a\0b", "/wx/y"):
         with pytest.raises(PathError):
             normalise(bad, "/w")
+
+
+def test_decorators_go_to_their_own_symbol():
+    from quarry.extract.run import row
+
+    text = "export class A {\n  @Post('/a')\n  run() { return 1 }\n}\nexport class B {\n  @Pipe()\n  run() { return 2 }\n}\n"
+    got = row("x.ts", "typescript", text)
+    at = {s["id"]: s["start_line"] for s in got["symbols"]}
+    runs = sorted(s["start_line"] for s in got["symbols"] if s["name"] == "run")
+    assert sorted((at[d["id"]], d["name"], d["type"]) for d in got["decorators"]) == [(runs[0], "Post", "get"), (runs[1], "Pipe", "directive")]
+
+
+def test_grouped_anonymous_and_nested():
+    assert found("package x\ntype (\n\tA struct {\n\t\tB int\n\t}\n\tc = string\n\tD interface{ M(x int) }\n)\ntype E struct{}\n", "go") == {
+        ("A", "struct", True), ("c", "type_alias", False), ("D", "interface", True), ("E", "struct", True),
+    }
+    assert found("export default class extends X { a() { return 1 } }\n", "typescript") == set()
+    members = "class Y {\n  go = async (x: number): Promise<void> => { x }\n  private n = 3;\n  run(): void { }\n}\n"
+    assert found(members, "typescript") == {("Y", "class", False), ("go", "function", False), ("run", "function", False)}
+    assert found('/* a /* b */ fn hidden() {} */\nfn seen() { let s = "/*"; }\nfn also() {}\n', "rust") == {("seen", "function", False), ("also", "function", False)}
+
+
+def test_last_symbol_of_an_id_wins(spark):
+    from quarry.extract.run import extract_files, tables
+
+    text = "class A:\n    def run(self):\n        return 1\n\nclass B:\n    def run(self):\n        return 2\n"
+    files = spark.createDataFrame([("a.py", "python", text)], "file_path string, language string, text string")
+    (got,) = tables(extract_files(files))["symbols"].filter("name = 'run'").collect()
+    assert "return 2" in got.text

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import query as Q
+from quarry.functions import text as T
 from quarry.operators import context as C
 from quarry.operators import edges as E
 from quarry.operators import fulltext as FT
@@ -51,7 +53,7 @@ HIT = "id string, score double, name string, kind string, file_path string, expo
 
 
 def hits(spark, n=9):
-    return frame(spark, HIT, *[(f"i{k}", 1.0 / (k + 1), f"n{k}", ("function", "class", "const")[k % 3], f"f{k % 2}.ts" if k else "tests/a.ts", k % 2 == 0, "rust") for k in range(n)])
+    return frame(spark, HIT, *[(f"i{k}", 1.0 / (k + 1), f"n{k}", ("function", "class", "const")[k % 3], f"f{k % 2}.ts" if k else "x/tests/a.ts", k % 2 == 0, "rust") for k in range(n)])
 
 
 def test_signals(spark):
@@ -90,15 +92,83 @@ def test_fulltext(spark):
     assert {r.doc for r in FT.search(index, '"fox red"', 5, one).collect()} == {"2"}
     assert {r.doc for r in FT.search(index, "fox -red", 5, one).collect()} == set()
     assert {r.doc for r in FT.search(index, "red NOT blue", 5, one).collect()} == {"1", "2"}
-    assert FT.search(index, '((" - AND :', 5, one).count() == 0
-    q = FT.parse('+a b -c "d e" name:f x AND y')
-    assert q.must == ["a", "x", "y"] and q.should == ["b"] and q.never == ["c"] and q.phrases == [["d", "e"]] and q.fields == [("name", "f")]
+    assert FT.search(index, '((" - AND :', 5, one).count() == 0 and FT.search(index, "-fox", 5, one).count() == 0
+    assert {r.doc for r in FT.search(index, '"fox red" blue', 5, one).collect()} == {"2", "3"}  # any clause will do
+    assert {r.doc for r in FT.search(index, '+"fox red" blue', 5, one).collect()} == {"2"}
+    assert {r.doc for r in FT.search(index, 'fox -"fox red"', 5, one).collect()} == {"1"}
+    assert {r.doc for r in FT.search(index, "title:red blue", 5, one).collect()} == {"3"}
+    c = FT.Clause
+    want = [c(("a",), None, "must"), c(("b",)), c(("c",), None, "never"), c(("d", "e")), c(("f",), "name"), c(("x",), None, "must"), c(("y",), None, "must")]
+    assert FT.parse('+a b -c "d e" name:f x AND y') == want
+    assert FT.parse('"parse_file" readHTTP', T.code_words) == [c(("parse", "file")), c(("read", "http"))]
     words = frame(spark, "id string, t array<string>", ("1", ["controller"]), ("2", ["troll"]), ("3", ["tro"]))
     i, g = FT.Index.build(words, "id", {"text": F.col("t")}), FT.gram_index(words, "id", {"text": F.col("t")})
     got = {r.doc: r.tier for r in FT.search_partial(i, g, "troll", 5).collect()}
     assert got["2"] == 0 and got["1"] == 1
 
 
+def test_small_vectors_keep_their_order(spark):
+    v = frame(spark, "id string, vector array<double>", ("a", [0.0, 2e-4]), ("b", [0.0, 1e-4]))
+    assert [r.id for r in V.knn(v, [0.0, 0.0], 5).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_context_expansion(spark):
+    ddl = "src string, dst string, type string, confidence double, evidence_count int, resolution string"
+    e = frame(spark, ddl, ("a", "b", "call", 1.0, 0, "local"), ("a", "c", "extends", 0.5, 0, "import"), ("b", "d", "reference", 1.0, 1, "odd"), ("d", "z", "call", 1.0, 0, "local"), ("b", "a", "call", 1.0, 0, "local"))
+    got = {r.id: r.score for r in G.expand_context(e, frame(spark, "id string", ("a",))).collect()}
+    boost = 1 + 0.25 * 0.6931471805599453
+    assert got == {"b": 1.0, "c": round(1.5 * 0.5 * 0.9, 6), "d": round(0.5 * 0.8 * 0.8 * boost, 6), "a": 0.5}
+    assert G.expand_context(e, frame(spark, "id string", ("a",)), explored=2).count() == 2
+    some = frame(spark, "id string", ("b",), ("d",))
+    assert {r.id for r in G.expand_context(e, frame(spark, "id string", ("a",)), known=some).collect()} == {"b", "d"}
+
+
+def test_budget_of_a_whole_table(spark):
+    items = frame(spark, "id int, tokens long", *[(k, (k * 7) % 5) for k in range(50)])
+    for budget in (1, 9, 30, 10_000):
+        got = [(r.id, r.total) for r in C.within_budget(items, budget, ["id"]).orderBy("id").collect()]
+        want, total = [], 0
+        for k in range(50):
+            if total < budget:
+                want.append((k, total + (k * 7) % 5))
+            total += (k * 7) % 5
+        assert got == want, budget
+
+
+def test_queries_as_columns(spark):
+    asked = ["lang:ts kind:class,struct find it", "path:'a b' pkg:x x:y", "", " id:7  file:f.ts lang:rust language:JS", "kind: and", "a AND b & c and ", "one & two"]
+    rows = frame(spark, "q string", *[(q,) for q in asked]).select("q", Q.controls(F.col("q")).alias("c"), Q.decomposed(F.col("q")).alias("parts")).collect()
+    for r in rows:
+        c = Q.parse_controls(r.q)
+        assert (r.c.text, r.c.id, r.c.file, r.c.path, r.c.lang, r.c.kind, r.c.package) == (c.text, c.id, c.file, c.path, c.lang, c.kind, c.package), r.q
+        assert r.parts == Q.decompose(r.q), r.q
+
+
+def test_words_of_one_string(spark):
+    texts = ["parseHTTPFile foo_bar v1", "server2 A.b::C->d (x)", "éÉa ß9b", "", 'say "quoted words"', "aBC D-e"]
+    rows = frame(spark, "t string", *[(t,) for t in texts]).select("t", T.tokens(F.col("t")).alias("code"), T.plain_tokens(F.col("t")).alias("plain")).collect()
+    for r in rows:
+        assert r.plain == T.plain_words(r.t) and ('"' in r.t or r.code == T.code_words(r.t)), r.t
+
+
+def test_auto_include():
+    item = lambda i, n: C.Item(i, i, "class", "f", " ".join(["w"] * n))
+    related = [(item("p", 3), "extends"), (item("t", 4), "type"), (item("u", 9), "reference"), (item("t", 4), "type"), (item("s", 1), "type")]
+    assert [i.id for i in C.auto_include(related, {"s"}, 8)] == ["t", "p"]
+    long = C.Item("l", "l", "function", "f", "\n".join(f"line {k}" + (" needle" if k == 30 else "") for k in range(60)))
+    assert "needle" in C.pack([long], 60, relevance=lambda x: "needle" in x)[0].text
+
+
+def test_rerank_remembers(spark):
+    h, asked = hits(spark), []
+    texts = frame(spark, "id string, text string", ("i3", "alpha beta"), ("i1", "alpha"))
+    known: dict = {}
+    for _ in range(2):
+        out = K.rerank(h, "alpha", texts, lambda q, t: asked.append(t) or 0.5, judged_before=known)
+        assert out.count() == 9
+    assert len(asked) == len(set(asked)) == 3
+
+
 def test_vectors(spark):
     v = frame(spark, "id string, vector array<float>", ("id1", [1.0, 0.0, 0.0]), ("id2", [0.0, 1.0, 0.0]), ("bad", [1.0]))
     assert [r.id for r in V.knn(v, [0.9, 0.1, 0.0], 5).orderBy("rank").collect()] == ["id1", "id2"]

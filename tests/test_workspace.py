@@ -133,11 +133,24 @@ def test_packages(workspace):
 
 
 def test_feedback(workspace):
+    """With default settings: the clock ages what was selected, and scores stay finite."""
     target = workspace.get_definition("helper").first().id
-    workspace.settings.now = 1000
-    workspace.report_selection(" Add numbers ", target, 0, now=1000)
-    boosted = {r.id: r.learning_boost for r in workspace.explain_search("add numbers", 20).collect()}
-    assert boosted.get(target, 0) > 0
+    workspace.report_selection(" Add numbers ", target, 0)
+    workspace.report_selection("add numbers", target, 1, now=int(time.time()) + 10**6)  # a clock that runs ahead
+    rows = workspace.explain_search("add numbers", 20).collect()
+    boosted = {r.id: r.learning_boost for r in rows}
+    assert 0 < boosted.get(target, 0) < 1 and all(r.score < 1e3 for r in rows)
+    assert "affinity_boost" not in workspace.explain_search("add numbers", 20, verbose=False).columns
+
+
+def test_listings_and_summaries(workspace):
+    assert names(workspace.list_packages()) == {"inner", "outer"} and workspace.list_repositories().count() == 0
+    assert names(workspace.similar_paths("src/utils.ts"), "file_path") >= {"src/util.ts"}
+    kinds = {r.kind: r for r in workspace.summarize_file("src/util.ts").collect()}
+    assert kinds["interface"].purpose == "mixed-exports | type-defs | functions" and len(kinds["function"].signatures) == 1
+    assert len({r.kind: r for r in workspace.summarize_file("src/util.ts", verbose=True).collect()}["function"].signatures) == 2
+    assert "**Purpose:** mixed-exports" in workspace.render_summary("src/util.ts")
+    assert "No indexed symbols" in workspace.render_summary("none.ts")
 
 
 def test_refresh(workspace, spark):
@@ -145,8 +158,28 @@ def test_refresh(workspace, spark):
     os.remove(f"{root}/src/geometry.rs")
     with open(f"{root}/src/fresh.ts", "w") as f:
         f.write("export function freshOne() { return addNumbers(3, 4); }\n")
+    with open(f"{root}/src/later.ts", "w") as f:
+        f.write("export function laterOne() { return 1; }\n")
+    with open(f"{root}/pkg/package.json", "w") as f:
+        f.write('{"name": "renamed", "version": "2.0.0"}')
     time.sleep(0.01)
-    done = workspace.refresh_index()
-    assert done == {"scanned": 5, "indexed": 1, "unchanged": 4, "deleted": 1}
+    before = {n: workspace.store[n].count() for n in ("query_selections", "embedding_cache")}
+    done = workspace.refresh_index(["src/fresh.ts", "src/geometry.rs"])  # nothing else is looked at
+    assert done == {"scanned": 1, "indexed": 1, "unchanged": 0, "deleted": 1}
     assert workspace.get_definition("freshOne").count() == 1 and workspace.get_definition("norm").count() == 0
+    assert workspace.get_definition("laterOne").count() == 0 and workspace.get_definition("addNumbers").count() == 1
+    assert workspace.store["query_selections"].count() == before["query_selections"] > 0
+    assert workspace.store["search_runs"].count() > 0 and workspace.store["index_runs"].count() == 1
+    assert names(workspace.list_packages()) == {"renamed", "outer"}
+    assert workspace.store["embedding_cache"].count() == before["embedding_cache"] + 1  # only the new text was embedded
+    done = workspace.refresh_index()
+    assert done == {"scanned": 6, "indexed": 1, "unchanged": 5, "deleted": 0}
     assert "freshOne" in names(workspace.get_call_hierarchy("addNumbers", "callers"), "src_name")
+    assert "laterOne" in names(workspace.search_code("laterOne", 5).hits)
+    store = workspace.store
+    assert store["vectors"].count() == store["vectors"].select("id").distinct().count() == store["symbols"].filter("kind <> 'file'").count()
+    same = dict(store.tables)
+    assert workspace.refresh_index()["indexed"] == 0
+    assert all(workspace.store.tables[n] is same[n] for n in ("edges", "symbol_metrics", "postings"))  # nothing is derived again
+    with pytest.raises(PathError):
+        workspace.refresh_index(["../x.ts"])
