@@ -18,9 +18,11 @@ from .operators import graph as G
 from .operators import ranking as K
 from .operators import relational as R
 from .operators import vector as V
+from .operators.context import render
 from .operators.cut import cut
 from .search import Answer, Settings, assemble, search
-from .sources.files import normalise
+from .sources.files import normalise, scan
+from .streaming import watch as W
 
 
 #: Answers kept for repeated searches.
@@ -91,6 +93,11 @@ class Workspace:
     def get_definition(self, symbol_name: str, file: str | None = None, limit: int = 10) -> DataFrame:
         return self._roots(symbol_name, file, limit)
 
+    def show_definition(self, symbol_name: str, file: str | None = None, limit: int = 10) -> str:
+        """Definitions of a name, examples of their use and what they lead to, as Markdown."""
+        ids = [r.id for r in self._roots(symbol_name, file, limit).select("id").collect()]  # at most ``limit``
+        return render(assemble(self.store, ids, self.settings.budget))
+
     def find_references(self, symbol_name: str, file: str | None = None, reference_type: str = "all", limit: int = 200) -> DataFrame:
         types = None if reference_type == "all" else [reference_type]
         hits = G.references(self.store["edges"], self._roots(symbol_name, file).select("id"), types, limit)
@@ -225,6 +232,23 @@ class Workspace:
         self._append("index_runs", row)
         return done
 
+    def watch(self, rounds: int, interval: float = 0.25, least: float = 5.0, **kw) -> list[dict[str, int]]:
+        """Looks for changes so many times and refreshes after each, at most every ``least`` seconds; a
+        failed refresh is tried again. Returns what each refresh did."""
+        return W.watch(lambda: cut(scan(self.store.spark, self.roots, content=False)), lambda _: self.refresh_index(), rounds, interval, least, **kw)
+
+    def follow_selections(self, folder: str, checkpoint: str) -> None:
+        """Takes up the selections that arrive in a folder as JSON lines, each file once."""
+        schema = self.store["query_selections"].schema.simpleString()[len("struct<") : -1].replace(":", " ")
+
+        def each(rows: DataFrame, _: int) -> None:
+            q = F.lower(F.trim("query"))
+            new = cut(rows.withColumn("query", q).withColumn("query_normalized", q))
+            self.store.tables["query_selections"] = self.store["query_selections"].unionByName(new)
+            self._answers.clear()
+
+        W.arrivals(self.store.spark, folder, schema, each, checkpoint).awaitTermination()
+
     def clear(self) -> None:
         """Empties every table."""
         self._answers.clear()

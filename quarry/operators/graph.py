@@ -38,7 +38,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: f
     if not n:
         return v.withColumn("pagerank", F.lit(0.0))
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
+    links = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share"))
+    # dealt by source once: the rounds join on it and shuffle only ranks and what they pass on
+    links = cut(links.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src"))
     base = (1 - damping) / n
     ranks = v.withColumn("pagerank", F.lit(1.0 / n))
     for k in range(1, rounds + 1):

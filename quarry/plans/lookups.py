@@ -14,63 +14,63 @@ _HEAD = "id, name, kind, file_path, exported"
 
 
 @query("symbol_point_lookup", with_(SYMBOLS) + f"SELECT {_HEAD} FROM symbols WHERE id IN ('7', '42', '99')")
-def _(spark, d):
+def symbol_point_lookup(spark, d):
     return R.by_id(symbols(spark, d), ["7", "42", "99"]).select(*HEAD)
 
 
 @query("symbol_exact_name", with_(SYMBOLS) + f"SELECT {_HEAD} FROM symbols WHERE name = 'The' ORDER BY exported DESC, file_path, start_byte, id LIMIT 10")
-def _(spark, d):
+def symbol_exact_name(spark, d):
     return R.named(symbols(spark, d), "The").select(*HEAD)
 
 
 @query("file_symbols_header", with_(SYMBOLS) + f"SELECT {_HEAD} FROM symbols WHERE file_path = 'src3/en/f3.ts' AND exported")
-def _(spark, d):
+def file_symbols_header(spark, d):
     return R.in_file(symbols(spark, d), "src3/en/f3.ts", exported_only=True).select(*HEAD)
 
 
 @query("file_symbols_full", with_(SYMBOLS) + f"SELECT {_HEAD}, text FROM symbols WHERE file_path = 'src3/en/f3.ts'")
-def _(spark, d):
+def file_symbols_full(spark, d):
     return R.in_file(symbols(spark, d), "src3/en/f3.ts").select(*HEAD, "text")
 
 
 @query("substring_search", with_(SYMBOLS) + f"SELECT {_HEAD} FROM symbols WHERE contains(text, 'idiot') ORDER BY exported DESC, file_path, start_byte, id LIMIT 50")
-def _(spark, d):
+def substring_search(spark, d):
     return R.containing(symbols(spark, d), "idiot").select(*HEAD)
 
 
 @query("name_substring_search", with_(SYMBOLS) + f"SELECT {_HEAD} FROM symbols WHERE contains(name, 'ha') ORDER BY exported DESC, file_path, start_byte, id LIMIT 50")
-def _(spark, d):
+def name_substring_search(spark, d):
     return R.containing(symbols(spark, d), "ha", "name").select(*HEAD)
 
 
 @query("prefix_search", with_(SYMBOLS) + f"SELECT {_HEAD} FROM symbols WHERE starts_with(lower(name), 'th') ORDER BY exported DESC, file_path, start_byte, id LIMIT 50")
-def _(spark, d):
+def prefix_search(spark, d):
     return R.prefixed(symbols(spark, d), "Th").select(*HEAD)
 
 
 @query("dynamic_filter_search", "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE starts_with(lower(p_brand), 'brand#1') AND p_size IN (5, 10, 15, 20)")
-def _(spark, d):
+def dynamic_filter_search(spark, d):
     hit = R.matching(table(spark, d, "part"), p_brand__prefix="Brand#1", p_size__in=[5, 10, 15, 20], p_name__contains=None)
     return hit.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 
 @query("kind_counts", with_(SYMBOLS) + "SELECT kind, count(*) AS n, count(*) FILTER (exported) AS n_exported FROM symbols GROUP BY kind")
-def _(spark, d):
+def kind_counts(spark, d):
     return R.kinds(symbols(spark, d))
 
 
 @query("index_stats", with_(SYMBOLS, EDGES) + "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT file_path) FROM symbols) AS files")
-def _(spark, d):
+def index_stats(spark, d):
     return R.index_counts(symbols(spark, d), edges(spark, d))
 
 
 @query("latest_run", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
-def _(spark, d):
+def latest_run(spark, d):
     return R.latest(table(spark, d, "events"), ["ts", "event_id"]).select("event_id", "event_type")
 
 
 @query("cache_stats", "SELECT count(*) AS entries, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings")
-def _(spark, d):
+def cache_stats(spark, d):
     return R.cache_size(table(spark, d, "embeddings"))
 
 
@@ -83,7 +83,7 @@ def _(spark, d):
           CASE WHEN count(*) FILTER (kind = 'class') > 0 THEN 'classes' END) AS purpose
       FROM symbols GROUP BY file_path""",
 )
-def _(spark, d):
+def file_summary(spark, d):
     return R.summaries(symbols(spark, d))
 
 
@@ -94,7 +94,7 @@ def _(spark, d):
         min(substr(array_to_string(list_filter(list_transform(string_split(text, chr(10))[1:3], lambda x: trim(x)), lambda x: x <> ''), ' '), 1, 200)) AS least_signature
       FROM symbols WHERE exported GROUP BY file_path, kind""",
 )
-def _(spark, d):
+def module_summary_grouped(spark, d):
     return R.signatures(symbols(spark, d))
 
 
@@ -109,7 +109,7 @@ def _(spark, d):
         max(confidence) AS confidence, max(evidence_count) AS evidence_count, arg_max(resolution, rk * 1000000000000000000 - seq) AS resolution, max(rk) AS resolution_rank
       FROM k GROUP BY src, dst, type""",
 )
-def _(spark, d):
+def edge_upsert_merge(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     n = F.col("l_linenumber")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -132,7 +132,7 @@ def _(spark, d):
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
       SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, dst, type ORDER BY count DESC, at_file, at_line) <= 3""",
 )
-def _(spark, d):
+def evidence_top3(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"),
@@ -142,23 +142,23 @@ def _(spark, d):
 
 
 @query("unclustered_symbols", with_(SYMBOLS, CLUSTERS) + f"SELECT {_HEAD} FROM symbols WHERE id NOT IN (SELECT id FROM clusters) ORDER BY start_byte DESC, id LIMIT 1000")
-def _(spark, d):
+def unclustered_symbols(spark, d):
     return R.unclustered(symbols(spark, d), clusters(spark, d), newest="start_byte").select(*HEAD)
 
 
 @query("cluster_members", with_(SYMBOLS, CLUSTERS) + f"SELECT {_HEAD} FROM symbols WHERE id IN (SELECT id FROM clusters WHERE cluster_key = 'k3') ORDER BY name, file_path, kind, id LIMIT 20")
-def _(spark, d):
+def cluster_members(spark, d):
     return R.in_cluster(symbols(spark, d), clusters(spark, d), "k3").select(*HEAD)
 
 
 @query("orphan_edge_drop", "SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT vec_id FROM embeddings)")
-def _(spark, d):
+def orphan_edge_drop(spark, d):
     kept = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     return R.cascade(kept, table(spark, d, "labels"), ["doc_id"])
 
 
 @query("edges_from_capped", with_(EDGES) + "SELECT src, dst, type FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY type, dst) <= 5")
-def _(spark, d):
+def edges_from_capped(spark, d):
     e = edges(spark, d)
     return R.first_per(e, ["src"], ["type", "dst"], 5).select("src", "dst", "type")
 
@@ -169,14 +169,14 @@ def _(spark, d):
       new AS (SELECT user_id, event_id, event_type FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
       SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new""",
 )
-def _(spark, d):
+def upsert_latest(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     old = R.first_per(e.filter("event_id % 2 = 0"), ["user_id"], [F.desc("event_id")], 1)
     return R.upsert(old, e.filter("event_id % 2 = 1 AND user_id % 3 = 0"), ["user_id"], "event_id")
 
 
 @query("delete_by_file", with_(SYMBOLS) + "SELECT id, file_path FROM symbols WHERE file_path NOT LIKE 'src1/%'")
-def _(spark, d):
+def delete_by_file(spark, d):
     s = symbols(spark, d).select("id", "file_path")
     gone = s.filter(F.col("file_path").startswith("src1/")).select("file_path")
     return R.delete_files({"symbols": s}, gone)["symbols"]
@@ -189,7 +189,7 @@ def _(spark, d):
       m AS (SELECT page_id, file_path, root FROM p JOIN r ON root <> '' AND starts_with(file_path, root || '/') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(root) DESC) = 1)
       SELECT p.page_id, p.file_path, m.root AS root_path FROM p LEFT JOIN m USING (page_id)""",
 )
-def _(spark, d):
+def longest_prefix_package(spark, d):
     pages = table(spark, d, "pages")
     files = pages.select("page_id", F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), "/$", "").alias("file_path"))
     roots = files.select(F.regexp_extract("file_path", "^[^/]+", 0).alias("root")).union(files.filter("page_id % 3 = 0").select(F.regexp_extract("file_path", "^[^/]+/[^/]+", 0)))
@@ -204,7 +204,7 @@ def _(spark, d):
       SELECT page_id, test, CASE page_id % 6 WHEN 0 THEN 'src/a' || page_id || '.ts' WHEN 1 THEN 'src/b' || page_id || '.rs' WHEN 2 THEN 'pkg/c' || page_id || '.py'
         WHEN 3 THEN 'pkg/d' || page_id || '.js' WHEN 4 THEN 'x/e' || page_id || '.ts' END AS source, page_id % 6 <> 5 AS is_test FROM f""",
 )
-def _(spark, d):
+def test_source_links(spark, d):
     n, k = F.col("page_id").cast("string"), F.col("page_id") % 6
     shape = [("src/a", ".test.ts"), ("src/b", "_test.rs"), ("pkg/tests/c", ".py"), ("pkg/__tests__/d", ".js"), ("x/e", ".spec.ts")]
     path = F.concat(F.lit("src/plain"), n, F.lit(".ts"))
@@ -221,7 +221,7 @@ def _(spark, d):
       SELECT CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.n_chars <> b.n_chars THEN 'changed' ELSE 'unchanged' END AS state, count(*) AS n
       FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""",
 )
-def _(spark, d):
+def incremental_diff(spark, d):
     from ..streaming.watch import compare
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.col("n_chars").alias("size_bytes"))

@@ -31,19 +31,19 @@ def _knn(where: str = "true", k: int = 20) -> str:
 
 
 @query("knn_l2", f"WITH {_DIST} {_knn()}")
-def _(spark, d):
+def knn_l2(spark, d):
     v = vectors(spark, d)
     return V.knn(v, V.vector_of(v, 7), 20, digits=6)
 
 
 @query("knn_filtered", f"WITH {_DIST} {_knn('label IN (1, 2)', 10)}")
-def _(spark, d):
+def knn_filtered(spark, d):
     v = vectors(spark, d)
     return V.knn(v, V.vector_of(v, 7), 10, digits=6, where=F.col("label").isin(1, 2))
 
 
 @query("similar_above_threshold", f"WITH {_DIST}, k AS ({_knn('true', 40)}) SELECT id, round(1 / (1 + greatest(distance, 0.0E0)), 6) AS similarity FROM k WHERE round(1 / (1 + greatest(distance, 0.0E0)), 6) >= 0.38 AND id <> 7 ORDER BY similarity DESC, id LIMIT 20")
-def _(spark, d):
+def similar_above_threshold(spark, d):
     v = vectors(spark, d)
     return V.similar(v, V.vector_of(v, 7), 20, 0.38, self_id=7, digits=6)
 
@@ -52,24 +52,24 @@ _KEYS = "keys AS (SELECT vec_id AS id, array_to_string(list_transform(range(16),
 
 
 @query("lsh_cluster_key", f"WITH {_KEYS} SELECT id, cluster_key FROM keys")
-def _(spark, d):
+def lsh_cluster_key(spark, d):
     return vectors(spark, d).select("id", V.cluster_key(F.col("vector")).alias("cluster_key"))
 
 
 @query("lsh_cluster_members", "WITH k AS (SELECT vec_id AS id, list_transform(embedding[1:3], lambda x: x >= 0) AS k FROM embeddings) SELECT id FROM k WHERE k = (SELECT k FROM k WHERE id = 7) AND id <> 7 ORDER BY id LIMIT 20")
-def _(spark, d):
+def lsh_cluster_members(spark, d):
     """Rows of a row's cluster, by the first three components: a short key, so that there are members."""
     short = vectors(spark, d).select("id", F.slice("vector", 1, 3).alias("vector"))
     return V.cluster_members(short, 7, 20).select("id")
 
 
 @query("hash_embed_documents")
-def _(spark, d):
+def hash_embed_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", hash_embedding(64)(F.col("text")).alias("vector"))
 
 
 @query("embedding_cache_misses", "SELECT DISTINCT sha256('m|' || sha256(text)) AS cache_key FROM documents WHERE sha256('m|' || sha256(text)) NOT IN (SELECT sha256('m|' || sha256(text)) FROM documents WHERE doc_id % 2 = 0)")
-def _(spark, d):
+def embedding_cache_misses(spark, d):
     docs = table(spark, d, "documents")
     cached = docs.filter("doc_id % 2 = 0").select(cache_key("m", F.col("text")).alias("cache_key"))
     return V.missing(docs, cached, "m").select("cache_key")
@@ -93,19 +93,19 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 @query("pagerank_k5", _pagerank_sql(5) + " SELECT id, round(pr, 9) AS pagerank FROM r5")
-def _(spark, d):
+def pagerank_k5(spark, d):
     v, e = _walk(spark, d)
     return G.pagerank(v, e, rounds=5, kind_col=None).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("pagerank_top", _pagerank_sql(20) + " SELECT id, round(pr, 9) AS pagerank FROM r20 ORDER BY 2 DESC, id LIMIT 25")
-def _(spark, d):
+def pagerank_top(spark, d):
     v, e = _walk(spark, d)
     return G.pagerank(v, e, rounds=20, kind_col=None).select("id", F.round("pagerank", 9).alias("pagerank")).orderBy(F.desc("pagerank"), "id").limit(25)
 
 
 @query("degree_metrics", with_(EDGES) + "SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY id")
-def _(spark, d):
+def degree_metrics(spark, d):
     e = edges(spark, d)
     v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return G.degrees(v, e)
@@ -130,27 +130,27 @@ def _seed(spark: SparkSession, name: str) -> DataFrame:
 
 
 @query("call_hierarchy_d2", _reach_sql("r1", "'call'", 2))
-def _(spark, d):
+def call_hierarchy_d2(spark, d):
     return G.call_hierarchy(tree(spark, d), _seed(spark, "r1"), "callees", 2, None)
 
 
 @query("call_hierarchy_callers", _reach_sql("c7", "'call'", 3, up=True))
-def _(spark, d):
+def call_hierarchy_callers(spark, d):
     return G.call_hierarchy(tree(spark, d), _seed(spark, "c7"), "callers", 3, None)
 
 
 @query("dependency_d3_limited", "SELECT * FROM (" + _reach_sql("r1", "'call', 'reference'", 3) + ") ORDER BY depth, src, type, dst LIMIT 200")
-def _(spark, d):
+def dependency_d3_limited(spark, d):
     return G.dependencies(tree(spark, d), _seed(spark, "r1"), "downstream", 3, 200)
 
 
 @query("dependency_bidirectional", _reach_sql("n3", "'call', 'reference'", 2, both=True))
-def _(spark, d):
+def dependency_bidirectional(spark, d):
     return G.dependencies(tree(spark, d), _seed(spark, "n3"), "bidirectional", 2, None)
 
 
 @query("type_graph", _reach_sql("n3", "'extends', 'implements', 'alias'", 2))
-def _(spark, d):
+def type_graph(spark, d):
     return G.type_graph(tree(spark, d), _seed(spark, "n3"), 2, None)
 
 
@@ -159,7 +159,7 @@ def _(spark, d):
     f"""WITH w AS ({_reach_sql("o5", "'call', 'reference'", 3, up=True)}), n AS (SELECT src AS id, min(depth) AS depth FROM w GROUP BY src)
       SELECT id, 'name ' || id AS name, substr(id, 1, 1) AS file_path, 'node' AS kind, CASE WHEN length(id) = 2 THEN 'high' ELSE 'medium' END AS impact, depth FROM n WHERE NOT starts_with(id, 'r')""",
 )
-def _(spark, d):
+def affected_code(spark, d):
     t = tree(spark, d)
     nodes = t.select(F.col("src").alias("id")).union(t.select("dst")).distinct()
     syms = nodes.select("id", F.concat(F.lit("name "), "id").alias("name"), F.substring("id", 1, 1).alias("file_path"), F.lit("node").alias("kind"), (F.length("id") == 2).alias("exported"))
@@ -173,18 +173,18 @@ def _(spark, d):
       w2 AS (SELECT t.dst AS id, 2 AS depth, t.type, list_append(w.path, t.dst) AS path FROM w JOIN tree t ON t.src = w.id)
       SELECT id, depth, 'read' AS flow, array_to_string(path, '>') AS path FROM (SELECT * FROM w UNION ALL SELECT * FROM w2)""",
 )
-def _(spark, d):
+def data_flow_paths(spark, d):
     return G.data_flow(tree(spark, d), _seed(spark, "n3"), 2, None).select("id", "depth", "flow", F.array_join("path", ">").alias("path"))
 
 
 @query("references_by_type", with_(EDGES) + "SELECT dst, type, src FROM edges WHERE dst IN ('p1', 'p2') AND type = 'reference' ORDER BY dst, type, src LIMIT 200")
-def _(spark, d):
+def references_by_type(spark, d):
     roots = spark.createDataFrame([("p1",), ("p2",)], "id string")
     return G.references(edges(spark, d), roots, ["reference"])
 
 
 @query("callers_of", with_(EDGES) + "SELECT DISTINCT src AS id FROM edges WHERE dst = 'p3' AND type IN ('call', 'reference') ORDER BY id LIMIT 200")
-def _(spark, d):
+def callers_of(spark, d):
     return G.callers(edges(spark, d), "p3")
 
 
@@ -200,9 +200,9 @@ _PULL = "confidence * CASE type WHEN 'extends' THEN 1.5E0 WHEN 'call' THEN 1.0E0
       two AS (SELECT dst AS id, max(pull / 2) AS score FROM e JOIN one ON src = one.id WHERE one.id NOT IN (SELECT id FROM s) GROUP BY dst)
       SELECT id, round(max(score), 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id ORDER BY 2 DESC, 1 LIMIT 50""",
 )
-def _(spark, d):
+def context_expansion_scored(spark, d):
     """Two levels from three nodes, over edges both ways."""
-    e = edges(spark, d)
+    e = cut(edges(spark, d))  # read at each level
     rest = ["type", "confidence", "evidence_count", "resolution"]
     both = e.select("src", "dst", *rest).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
     return G.expand_context(both, spark.createDataFrame([("c1",), ("c2",), ("c4",)], "id string"), depth=2, per_node=4)
@@ -222,19 +222,19 @@ def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 @query("rrf_fusion", f"WITH {_LISTS} SELECT id, round(sum(1.0E0 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM kw UNION ALL SELECT id, rank FROM vec) GROUP BY id")
-def _(spark, d):
+def rrf_fusion(spark, d):
     kw, vec = _lists(spark, d)
     return K.rrf([(kw, 1.0), (vec, 1.0)])
 
 
 @query("rrf_weighted", f"WITH {_LISTS} SELECT id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT id, rank, 1.0E0 AS w FROM kw UNION ALL SELECT id, rank, 0.5E0 FROM vec) GROUP BY id")
-def _(spark, d):
+def rrf_weighted(spark, d):
     kw, vec = _lists(spark, d)
     return K.rrf([(kw, 1.0), (vec, 0.5)])
 
 
 @query("graph_rerank_list", f"WITH {_LISTS} SELECT id, score, (id % 17) / 100.0E0 AS pagerank, row_number() OVER (ORDER BY (id % 17) / 100.0E0 DESC, rank) AS rank FROM kw")
-def _(spark, d):
+def graph_rerank_list(spark, d):
     kw, _vec = _lists(spark, d)
     ranks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 17 / 100.0).alias("pagerank"))
     return K.graph_list(kw, ranks).select("id", "score", "pagerank", "rank")
@@ -245,7 +245,7 @@ _BASE = f"""{_LISTS}, k AS (SELECT id, score / max(score) OVER () AS ks FROM kw)
 
 
 @query("weighted_score_fusion", f"WITH {_BASE} SELECT id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(base_score, 6) AS base_score FROM base")
-def _(spark, d):
+def weighted_score_fusion(spark, d):
     kw, vec = _lists(spark, d)
     return K.weighted(kw, vec).select("id", *[F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "base_score")])
 
@@ -255,7 +255,7 @@ _ADJUST = """CASE WHEN exported THEN 0.1E0 ELSE 0.0E0 END - CASE WHEN kind = 'mo
 
 
 @query("structural_adjust", with_(SYMBOLS) + f"SELECT id, round({_ADJUST}, 6) AS adjust FROM symbols")
-def _(spark, d):
+def structural_adjust(spark, d):
     return symbols(spark, d).select("id", F.round(K.structural("src1 en"), 6).alias("adjust"))
 
 
@@ -263,7 +263,7 @@ _FACTOR = "CASE WHEN kind IN ('class', 'struct', 'const') AND exported THEN 1.5E
 
 
 @query("intent_multiplier", with_(SYMBOLS) + f"SELECT id, {_FACTOR} AS definition, CASE WHEN kind = 'function' THEN 1.5E0 WHEN kind IN ('class', 'struct') THEN 1.3E0 ELSE 1.0E0 END AS implementation, CASE WHEN kind = 'const' THEN 1.5E0 ELSE 0.8E0 END AS config, 0.5E0 AS test FROM symbols")
-def _(spark, d):
+def intent_multiplier(spark, d):
     return symbols(spark, d).select("id", *[K.intent_factor(i).alias(i) for i in ("definition", "implementation", "config", "test")])
 
 
@@ -281,29 +281,29 @@ _HITS = SYMBOLS + """, hits AS (SELECT id, CASE WHEN start_byte % 7 = 0 THEN reg
 
 
 @query("popularity_boost", with_(_HITS) + "SELECT id, round((start_byte % 17) / 16.0E0 * 0.05E0, 6) AS popularity_boost, round(score + round((start_byte % 17) / 16.0E0 * 0.05E0, 6), 6) AS score FROM hits")
-def _(spark, d):
+def popularity_boost(spark, d):
     metrics = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 17 / 100.0).alias("pagerank"))
     return K.popularity(_hits(spark, d), metrics).select("id", "popularity_boost", "score")
 
 
 @query("docstring_boost", with_(_HITS) + "SELECT id, CASE WHEN start_byte % 3 = 0 THEN round(score * 0.5E0, 6) ELSE 0.0E0 END AS docstring_boost, round(score + CASE WHEN start_byte % 3 = 0 THEN round(score * 0.5E0, 6) ELSE 0.0E0 END, 6) AS score FROM hits")
-def _(spark, d):
+def docstring_boost(spark, d):
     docs = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"))
     return K.docstrings(_hits(spark, d), docs).select("id", "docstring_boost", "score")
 
 
 @query("selection_boost_decay", with_(SELECTIONS) + f"SELECT id, round(sum(1 / ln(position + 2) * exp(-0.1E0 * ({NOW} - created_at) / 86400.0E0)), 6) AS selections FROM selections WHERE query = 'click' GROUP BY id")
-def _(spark, d):
+def selection_boost_decay(spark, d):
     return K.selection_scores(selections(spark, d), "click", F.lit(float(NOW))).select("id", F.round("selections", 6).alias("selections"))
 
 
 @query("affinity_boost_decay", with_(AFFINITY) + f"SELECT file_path, round((view_count + 2 * edit_count) * exp(-0.05E0 * ({NOW} - last_accessed_at) / 86400.0E0), 6) AS affinity FROM affinity")
-def _(spark, d):
+def affinity_boost_decay(spark, d):
     return K.affinity_scores(affinity(spark, d), F.lit(float(NOW))).select("file_path", F.round("affinity", 6).alias("affinity"))
 
 
 @query("package_boost", with_(_HITS) + "SELECT id, CASE WHEN split_part(file_path, '/', 1) = 'src3' THEN round(score * 0.2E0, 6) ELSE 0.0E0 END AS package_boost FROM hits")
-def _(spark, d):
+def package_boost(spark, d):
     h = _hits(spark, d)
     packages = h.select("id", F.substring_index("file_path", "/", 1).alias("package"))
     out = K.same_package(h, packages, "definition", "src3")
@@ -314,19 +314,19 @@ _RANKED = _HITS + ", ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC
 
 
 @query("diversify_by_cluster", with_(_RANKED, CLUSTERS) + """SELECT id, r AS rank FROM (SELECT id, row_number() OVER (ORDER BY o, rank) AS r FROM (SELECT id, rank, CASE WHEN row_number() OVER (PARTITION BY cluster_key ORDER BY rank) > 2 THEN 1 ELSE 0 END AS o FROM ranked JOIN clusters USING (id))) WHERE r <= 10""")
-def _(spark, d):
+def diversify_by_cluster(spark, d):
     h = K.with_rank(_hits(spark, d)).join(clusters(spark, d), "id")
     return K.by_cluster(h, 10).select("id", "rank")
 
 
 @query("diversify_by_file", with_(_RANKED) + "SELECT id, r AS rank FROM (SELECT id, row_number() OVER (ORDER BY o, rank) AS r FROM (SELECT id, rank, CASE WHEN row_number() OVER (PARTITION BY file_path ORDER BY rank) > 3 THEN 1 ELSE 0 END AS o FROM ranked)) WHERE r <= 10")
-def _(spark, d):
+def diversify_by_file(spark, d):
     return K.by_file(K.with_rank(_hits(spark, d)), 10).select("id", "rank")
 
 
 @query("diversify_by_kind", with_(_RANKED) + """SELECT id, r AS rank FROM (SELECT id, row_number() OVER (ORDER BY lead, rank) AS r FROM (SELECT id, rank, CASE WHEN row_number() OVER (PARTITION BY c ORDER BY rank) = 1 THEN c ELSE 3 END AS lead
     FROM (SELECT *, CASE WHEN contains(file_path, '.test.') OR contains(file_path, '.spec.') OR contains(file_path, '/tests/') OR contains(file_path, '/__tests__/') THEN 2 WHEN kind = 'variable' THEN 1 ELSE 0 END AS c FROM ranked))) WHERE r <= 10""")
-def _(spark, d):
+def diversify_by_kind(spark, d):
     return K.by_kind(K.with_rank(_hits(spark, d)), 10).select("id", "rank")
 
 
@@ -335,7 +335,7 @@ def _(spark, d):
   t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY hit ORDER BY type, nb) <= 5),
   m AS (SELECT nb AS id, round(max(score * 0.8E0 * confidence * least(greatest(1 + ln(1 + evidence_count) * 0.25E0, 1.0E0), 1.75E0) * CASE resolution WHEN 'local' THEN 1.0E0 ELSE 0.9E0 END), 6) AS score FROM t WHERE nb NOT IN (SELECT id FROM h) GROUP BY nb)
   SELECT id, score FROM (SELECT id, score FROM h UNION ALL SELECT id, score FROM m) ORDER BY score DESC, id LIMIT 12""")
-def _(spark, d):
+def neighbour_expansion(spark, d):
     e = edges(spark, d)
     syms = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     syms = syms.select("id", F.lit("").alias("name"), F.lit("").alias("kind"), F.lit("").alias("file_path"), F.lit(False).alias("exported"), F.lit("").alias("language"))
@@ -352,7 +352,7 @@ def _(spark, d):
     r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS tokens FROM documents),
       r AS (SELECT doc_id, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM t) SELECT doc_id, tokens, total FROM r WHERE total - tokens < 8192""",
 )
-def _(spark, d):
+def token_budget_context(spark, d):
     items = table(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
     return C.within_budget(items, 8192, order=["doc_id"]).select("doc_id", "tokens", "total")
 
@@ -362,7 +362,7 @@ def _(spark, d):
     """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
       SELECT doc_id, CASE WHEN len(ls) <= 10 THEN array_to_string(ls, chr(10)) ELSE array_to_string(ls[1:3], chr(10)) || chr(10) || '... ' || (len(ls) - 5) || ' lines omitted ...' || chr(10) || array_to_string(ls[len(ls) - 1:], chr(10)) END AS text FROM l""",
 )
-def _(spark, d):
+def head_tail_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", C.head_tail(F.col("text"), most=10, head=3, tail=2).alias("text"))
 
 
@@ -370,7 +370,7 @@ def _(spark, d):
 
 
 @query("events_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
-def _(spark, d):
+def events_tumbling(spark, d):
     return W.tumbling(table(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
@@ -380,12 +380,12 @@ def _(spark, d):
       n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
       SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, k""",
 )
-def _(spark, d):
+def events_session(spark, d):
     return W.sessions(table(spark, d, "events"), gap="6 hours").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
 @query("incremental_equals_full", with_(SYMBOLS) + "SELECT file_path, kind, count(*) AS n FROM symbols GROUP BY file_path, kind")
-def _(spark, d):
+def incremental_equals_full(spark, d):
     """Tables refreshed after changes to some files are those of a full build."""
     s = symbols(spark, d).select("id", "file_path", "kind")
     stale = s.filter("file_path NOT LIKE 'src2/%'").withColumn("kind", F.when(F.col("file_path").like("src1/%"), "stale").otherwise(F.col("kind")))
@@ -424,7 +424,7 @@ query("hybrid_search_e2e")(flagship)
 
 
 @query("explain_search")
-def _(spark, d):
+def explain_search(spark, d):
     """Every signal of a weighted search, hit by hit."""
     kw, vec = _lists(spark, d)
     base = small(K.weighted(kw, vec).withColumn("id", F.col("id").cast("string")))

@@ -28,17 +28,17 @@ def _list(words) -> str:
 
 
 @query("identifier_split", f"SELECT page_id, {_split('url')} AS split_url FROM pages")
-def _(spark, d):
+def identifier_split(spark, d):
     return table(spark, d, "pages").select("page_id", T.split_identifiers(F.col("url")).alias("split_url"))
 
 
 @query("normalize_query_text", f"SELECT p_partkey, {_split('p_type || p_brand || p_name')} AS words FROM part")
-def _(spark, d):
+def normalize_query_text(spark, d):
     return table(spark, d, "part").select("p_partkey", T.normalize_query(F.concat("p_type", "p_brand", "p_name")).alias("words"))
 
 
 @query("tokenize_code", f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower({_split('url')}), '[ \\t\\n\\x0c\\r]+')) AS token FROM pages) WHERE token <> '' GROUP BY token")
-def _(spark, d):
+def tokenize_code(spark, d):
     rows = table(spark, d, "pages").select(F.explode(T.tokens(F.col("url"))).alias("token"))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
@@ -49,7 +49,7 @@ def _(spark, d):
       g AS (SELECT w, unnest(CASE WHEN length(w) < 3 THEN [w] ELSE flatten(list_transform(range(3, least(5, length(w)) + 1), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)))) END) AS gram FROM w)
       SELECT w, gram, count(*) AS n FROM g GROUP BY w, gram""",
 )
-def _(spark, d):
+def ngram_tokens(spark, d):
     words = table(spark, d, "orders").select(F.lower("o_orderpriority").alias("w")).distinct()
     return words.select("w", F.explode(T.ngrams(F.col("w"))).alias("gram")).groupBy("w", "gram").agg(F.count(F.lit(1)).alias("n"))
 
@@ -64,7 +64,7 @@ _TOK = r"unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1))"
         WHEN length(token) > 4 AND token LIKE '%es' THEN regexp_replace(token, '(es)+$', '') WHEN length(token) > 3 AND token LIKE '%s' THEN regexp_replace(token, 's+$', '') END AS stem FROM t)
       SELECT token, CASE WHEN length(stem) >= 3 THEN stem END AS stem FROM s""",
 )
-def _(spark, d):
+def stem_tokens(spark, d):
     tok = table(spark, d, "documents").select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).distinct()
     return tok.select("token", T.stem(F.col("token")).alias("stem"))
 
@@ -91,12 +91,12 @@ _ACR = "text" + "".join(f" || CASE WHEN list_contains(w, '{a}') AND NOT contains
 
 
 @query("synonym_expand", f"WITH {_queries(_ADD)}, v AS (SELECT *, regexp_split_to_array(lower(text), '\\s+') AS w FROM q) SELECT item_id, {_SYN} AS expanded FROM v")
-def _(spark, d):
+def synonym_expand(spark, d):
     return _with_words(spark, d).select("item_id", T.expand_synonyms(F.col("text")).alias("expanded"))
 
 
 @query("acronym_expand", f"WITH {_queries(_ADD)}, v AS (SELECT *, regexp_split_to_array(lower(text), '\\s+') AS w FROM q) SELECT item_id, {_ACR} AS expanded FROM v")
-def _(spark, d):
+def acronym_expand(spark, d):
     return _with_words(spark, d).select("item_id", T.expand_acronyms(F.col("text")).alias("expanded"))
 
 
@@ -104,13 +104,13 @@ _IDENT = "[A-Za-z_$][A-Za-z0-9_$]*"
 
 
 @query("callee_scan", f"SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '({_IDENT})[ \\t\\n\\x0c\\r]*\\(', 1)) AS name FROM pages) WHERE name NOT IN ({_list(CALL_STOP)}) GROUP BY ALL")
-def _(spark, d):
+def callee_scan(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.explode(T.callees(F.col("html"))).alias("name"))
     return rows.groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("identifier_scan", f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '({_IDENT})', 1)) AS name FROM pages) WHERE name NOT IN ({_list(NAME_STOP)}) GROUP BY name")
-def _(spark, d):
+def identifier_scan(spark, d):
     return table(spark, d, "pages").select(F.explode(T.identifiers(F.col("html"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -121,7 +121,7 @@ def _(spark, d):
       t AS (SELECT doc_id, line_no, n, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total, min(line_no) OVER (PARTITION BY doc_id) AS first_line FROM c WHERE n > 0)
       SELECT doc_id, line_no, n, total, first_line FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line_no) <= 5""",
 )
-def _(spark, d):
+def identifier_evidence(spark, d):
     from ..operators.edges import evidence
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array(F.lit("the")).alias("targets"), F.lit(1).alias("start_line"))
@@ -130,7 +130,7 @@ def _(spark, d):
 
 
 @query("usage_line", "SELECT doc_id, substr(trim(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'and'))[1]), 1, 200) AS line FROM documents")
-def _(spark, d):
+def usage_line(spark, d):
     return table(spark, d, "documents").select("doc_id", T.usage_line(F.col("text"), F.lit("and")).alias("line"))
 
 
@@ -139,7 +139,7 @@ def _(spark, d):
     """SELECT 'd' || doc_id || '.ts' AS file_path, CASE WHEN doc_id % 2 = 0 THEN 'todo' ELSE 'fixme' END AS kind, 'check ' || lang || ' ' || doc_id AS text, CAST(doc_id % 3 AS INTEGER) AS line, 'f' || doc_id AS symbol
       FROM documents WHERE lang IS NOT NULL""",
 )
-def _(spark, d):
+def todo_scan(spark, d):
     """Tasks of one source file per document: blank lines, a comment, a function."""
     from ..extract.run import extract_files
 
@@ -157,7 +157,7 @@ def _(spark, d):
       SELECT doc_id, no AS line_no, CASE WHEN contains(low, 'the and') THEN 1.0E0 ELSE 0.0E0 END + CASE WHEN list_contains(ws, 'the') THEN 2.0E0 ELSE 0.0E0 END + CASE WHEN list_contains(ws, 'and') THEN 2.0E0 ELSE 0.0E0 END
         + CASE WHEN regexp_matches(low, '\b(fn|function|class|struct|interface|impl|trait|enum|def)\b') THEN 0.5E0 ELSE 0.0E0 END + CASE WHEN regexp_matches(low, '\b(return|pub|export)\b') THEN 0.3E0 ELSE 0.0E0 END AS relevance FROM w""",
 )
-def _(spark, d):
+def line_relevance(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), T.line_relevance(F.col("line"), "the and").alias("relevance"))
 
@@ -182,7 +182,7 @@ def _chat(spark, d):
 
 
 @query("intent_classify", f"SELECT conv_id, turn, {_intent_sql()} AS intent FROM ({_CHAT})")
-def _(spark, d):
+def intent_classify(spark, d):
     return _chat(spark, d).select("conv_id", "turn", Q.intent(F.col("text")).alias("intent"))
 
 
@@ -195,12 +195,12 @@ _weak = " + ".join(f"CAST(contains(t, '{s}') AS INTEGER)" for s in CODE_WEAK)
     f"""SELECT conv_id, turn, t <> '' AND (({_strong}) OR ({_weak}) >= 3 OR (NOT contains(t, ' ') AND regexp_matches(t, '\\p{{Ll}}\\p{{Lu}}'))
         OR (NOT contains(t, ' ') AND contains(t, '_') AND regexp_matches(t, '^[\\p{{L}}\\p{{N}}_]+$'))) AS is_code FROM (SELECT conv_id, turn, trim(text) AS t FROM ({_CHAT}))""",
 )
-def _(spark, d):
+def code_snippet_detect(spark, d):
     return _chat(spark, d).select("conv_id", "turn", Q.looks_like_code(F.col("text")).alias("is_code"))
 
 
 @query("query_decompose", "SELECT item_id, part FROM (SELECT item_id, trim(unnest(string_split(p, ' & '))) AS part FROM (SELECT item_id, trim(unnest(regexp_split_to_array(text || ' AND a & b', '(?i) and '))) AS p FROM benchmark)) WHERE part <> ''")
-def _(spark, d):
+def query_decompose(spark, d):
     text = F.concat("text", F.lit(" AND a & b"))
     return table(spark, d, "benchmark").select("item_id", F.explode(Q.decomposed(text)).alias("part"))
 
@@ -210,7 +210,7 @@ def _(spark, d):
     """SELECT item_id, text || ' other:x' AS text, CASE WHEN item_id % 2 = 0 THEN 'typescript' ELSE 'rust' END AS lang, 'class,struct' AS kind, 'src/f' || item_id AS path, 'pkg' || item_id AS package
       FROM (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS text FROM benchmark)""",
 )
-def _(spark, d):
+def query_controls(spark, d):
     """Queries of the benchmark's texts with controls around them, an unknown one among them."""
     i = F.col("item_id").cast("string")
     text = F.concat(F.lit("language:js kind:class,struct "), "text", F.lit(" lang:"), F.when(F.col("item_id") % 2 == 0, "TS").otherwise("rust"), F.lit(' path:"src/f'), i, F.lit('" pkg:pkg'), i, F.lit(" other:x"))
@@ -233,7 +233,7 @@ def _ranked_sql(limit: int, source: str = "SELECT doc_id, round(raw, 6) AS score
 
 
 @query("bm25_single", f"WITH {_DOCS}, {_bm25_sql(['stupid'])} {_ranked_sql(20)}")
-def _(spark, d):
+def bm25_single(spark, d):
     return FT.ranked(FT.bm25(stored.words(spark, d), ["stupid"]), 20, digits=6)
 
 
@@ -241,7 +241,7 @@ _TERMS = ["the", "and", "idiot", "moron"]
 
 
 @query("bm25_multi_boosted", f"WITH {_DOCS}, {_bm25_sql(_TERMS, '2.0E0')} {_ranked_sql(50)}")
-def _(spark, d):
+def bm25_multi_boosted(spark, d):
     return FT.ranked(FT.bm25(stored.words(spark, d), _TERMS, {"text": 2.0}), 50, digits=6)
 
 
@@ -255,7 +255,7 @@ def _(spark, d):
       b AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS raw FROM c JOIN l USING (doc_id), s GROUP BY doc_id)
       {_ranked_sql(40)}""",
 )
-def _(spark, d):
+def bm25_phrase(spark, d):
     """A phrase or a word: documents that hold either, by the weight of both."""
     return FT.search(stored.words(spark, d), '"of the" idiot', 40, {"text": 1.0}, digits=6)
 
@@ -265,7 +265,7 @@ def _(spark, d):
     f"""WITH {_DOCS}, {_bm25_sql(['idiot', 'moron'])}, m AS (SELECT DISTINCT doc_id FROM t WHERE term = 'idiot'), x AS (SELECT DISTINCT doc_id FROM t WHERE term = 'clown')
       {_ranked_sql(20, 'SELECT doc_id, round(raw, 6) AS score FROM b WHERE doc_id IN (SELECT doc_id FROM m) AND doc_id NOT IN (SELECT doc_id FROM x)')}""",
 )
-def _(spark, d):
+def bm25_must_not(spark, d):
     return FT.search(stored.words(spark, d), "+idiot moron -clown", 20, {"text": 1.0}, digits=6)
 
 
@@ -279,7 +279,7 @@ def _(spark, d):
       b AS (SELECT doc_id AS doc, round(0.35E0 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN df USING (term) JOIN l USING (doc_id), s GROUP BY doc_id)
       SELECT row_number() OVER (ORDER BY score DESC, doc) AS rank, doc, score, 1 AS tier FROM b ORDER BY score DESC, doc LIMIT 20""",
 )
-def _(spark, d):
+def bm25_ngram_fallback(spark, d):
     """A part of a word that stands nowhere by itself: all hits come from the n-grams."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     grams = FT.Index.slim_grams(docs, "doc_id", F.array_distinct(T.plain_tokens(F.col("text"))), FT.pieces("moro"))

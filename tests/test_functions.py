@@ -96,3 +96,23 @@ def test_columns_equal_plain(spark):
     assert got == [H.symbol_id(p, n, 0 if e else s) for p, n, s, e in rows]
     v = df.select(H.hash_embedding(16)(F.col("n")).alias("v")).collect()
     assert [r.v for r in v] == [H.embed(n, 16) for _, n, _, _ in rows]
+
+
+def test_hash_embedding_against_a_plain_one(spark):
+    """The column function and the function of one string against words counted one by one."""
+    from quarry.functions.hashing import embed, fnv1a, hash_embedding
+
+    texts = ["alpha beta alpha", "", None, "snake_case $x café ß1 x-y", "ünï " * 50, "один два ٣ ½"]
+
+    def plain(text, dim=64):
+        v = [0.0] * dim
+        for w in "".join(c if c.isalnum() or c in "_$" else " " for c in text or "").split():
+            h = fnv1a(w.encode())
+            v[h % dim] += -1.0 if h >> 63 else 1.0
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n if n else 0.0 for x in v]
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", "t", hash_embedding(64)(F.col("t")).alias("v")).collect()
+    for r in rows:
+        assert max(abs(a - b) for a, b in zip(r.v, plain(r.t), strict=True)) < 1e-12
+        assert max(abs(a - b) for a, b in zip(embed(r.t or ""), plain(r.t), strict=True)) < 1e-12

@@ -153,6 +153,21 @@ def test_listings_and_summaries(workspace):
     assert "No indexed symbols" in workspace.render_summary("none.ts")
 
 
+def test_selections_arrive(workspace, tmp_path):
+    import json
+
+    target = workspace.get_definition("Config").first().id
+    before = workspace.store["query_selections"].count()
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"{k}.json").write_text(json.dumps({"query": " Settings ", "id": target, "position": k, "created_at": int(time.time())}) + "\n")
+        workspace.follow_selections(str(folder), str(tmp_path / "check"))
+    assert workspace.store["query_selections"].count() == before + 2
+    assert workspace.store["query_selections"].filter("query = 'settings'").count() == 2
+    assert "## Definitions" in workspace.show_definition("Config") and "interface Config" in workspace.show_definition("Config")
+
+
 def test_refresh(workspace, spark):
     root = workspace.roots[0]
     os.remove(f"{root}/src/geometry.rs")
@@ -183,3 +198,10 @@ def test_refresh(workspace, spark):
     assert all(workspace.store.tables[n] is same[n] for n in ("edges", "symbol_metrics", "postings"))  # nothing is derived again
     with pytest.raises(PathError):
         workspace.refresh_index(["../x.ts"])
+
+
+def test_watch(workspace):
+    with open(f"{workspace.roots[0]}/src/watched.ts", "w") as f:
+        f.write("export function watchedOne() { return 1; }\n")
+    done = workspace.watch(2, interval=0.05, least=0.0, sleep=lambda _: None)
+    assert len(done) == 1 and workspace.get_definition("watchedOne").count() == 1
