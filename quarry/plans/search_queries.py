@@ -63,9 +63,29 @@ def lsh_cluster_members(spark, d):
     return V.cluster_members(short, 7, 20).select("id")
 
 
-@query("hash_embed_documents")
+# The hash embedder: 64-bit hashes of words, byte by byte in wider integers, then signed counts by place.
+_FNV = """list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(0, length(x) // 2), lambda i: CAST((instr('0123456789ABCDEF', substr(x, CAST(2 * i + 1 AS INTEGER), 1)) - 1) * 16
+    + instr('0123456789ABCDEF', substr(x, CAST(2 * i + 2 AS INTEGER), 1)) - 1 AS UHUGEINT))), lambda h, b: xor(h, b) * CAST(1099511628211 AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT))"""
+
+
+def _embed_sql(texts: str) -> str:
+    """CTEs up to ``parts`` (id, place, v): the components that are not 0, of texts (id, text)."""
+    return rf"""texts AS ({texts}), words AS (SELECT id, unnest(regexp_extract_all(text, '([\p{{L}}\p{{N}}_$]+)', 1)) AS w FROM texts),
+      hashed AS (SELECT w, {_FNV} AS h FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM words))),
+      counts AS (SELECT id, CAST(h % 64 AS INTEGER) AS place, sum(CASE WHEN h >= CAST(9223372036854775808 AS UHUGEINT) THEN -1.0E0 ELSE 1.0E0 END) AS v FROM words JOIN hashed USING (w) GROUP BY ALL),
+      parts AS (SELECT id, place, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM counts WHERE v <> 0)"""
+
+
+@query(
+    "hash_embed_documents",
+    "WITH "
+    + _embed_sql("SELECT doc_id AS id, text FROM documents")
+    + " SELECT id AS doc_id, place, round(v, 6) AS value FROM parts",
+)
 def hash_embed_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", hash_embedding(64)(F.col("text")).alias("vector"))
+    """The components of all embeddings that are not 0."""
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(hash_embedding(64)(F.col("text"))).alias("place", "value"))
+    return parts.filter("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
 @query("embedding_cache_misses", "SELECT DISTINCT sha256('m|' || sha256(text)) AS cache_key FROM documents WHERE sha256('m|' || sha256(text)) NOT IN (SELECT sha256('m|' || sha256(text)) FROM documents WHERE doc_id % 2 = 0)")
@@ -85,8 +105,8 @@ def _walk(spark, d) -> tuple[DataFrame, DataFrame]:
     return both.select(F.col("src").alias("id")).distinct(), both
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = f"{with_(EDGES)}, b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), v AS (SELECT DISTINCT src AS id FROM b), o AS (SELECT src, count(*) AS n FROM b GROUP BY src), c AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 1.0E0 / n AS pr FROM v, c)"
+def _pagerank_sql(rounds: int, links: str = EDGES) -> str:
+    out = f"{with_(links)}, b AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), v AS (SELECT DISTINCT src AS id FROM b), o AS (SELECT src, count(*) AS n FROM b GROUP BY src), c AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 1.0E0 / n AS pr FROM v, c)"
     for k in range(1, rounds + 1):
         out += f", r{k} AS (SELECT v.id, 0.15E0 / any_value(c.n) + 0.85E0 * coalesce(sum(r.pr / o.n), 0) AS pr FROM v CROSS JOIN c LEFT JOIN b ON b.dst = v.id LEFT JOIN r{k - 1} r ON r.id = b.src LEFT JOIN o ON o.src = b.src GROUP BY v.id)"
     return out
@@ -420,10 +440,36 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return top.select("rank", F.col("id").alias("doc_id"), "score", "kw_rank", "vec_rank", "graph_rank").orderBy("rank")
 
 
-query("hybrid_search_e2e")(flagship)
+_LINKS = "edges AS (SELECT 's' || source AS src, CAST(doc_id AS VARCHAR) AS dst FROM documents)"
+_ASKED = ["and", "clown", "moron", "the"]
+
+query(
+    "hybrid_search_e2e",
+    _pagerank_sql(5, _LINKS)
+    + f""", ranks AS (SELECT TRY_CAST(id AS BIGINT) AS id, round(pr, 12) AS pagerank FROM r5 WHERE TRY_CAST(id AS BIGINT) IS NOT NULL),
+      {_DOCS.replace("s AS (", "st AS (")}, {_bm25_sql(_ASKED).replace(", s GROUP", ", st GROUP")}, kw AS (SELECT row_number() OVER (ORDER BY round(raw, 6) DESC, doc_id) AS rank, doc_id AS id FROM b_ QUALIFY rank <= 40),
+      {_embed_sql("SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1, 'the clown and the moron'")}, asked AS (SELECT place, v FROM parts WHERE id = -1),
+      near AS (SELECT d.doc_id AS id, CASE WHEN count(p.place) = 0 THEN 1.0E0 ELSE 2 - 2 * coalesce(sum(p.v * a.v), 0) END AS distance FROM documents d LEFT JOIN parts p ON p.id = d.doc_id LEFT JOIN asked a USING (place) GROUP BY d.doc_id),
+      vec AS (SELECT row_number() OVER (ORDER BY round(distance, 6), id) AS rank, id FROM near QUALIFY rank <= 40),
+      graph AS (SELECT id, row_number() OVER (ORDER BY coalesce(pagerank, 0) DESC, rank) AS rank FROM kw LEFT JOIN ranks USING (id)),
+      fused AS (SELECT id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT id, rank, 1.0E0 AS w FROM kw UNION ALL SELECT id, rank, 1.0E0 FROM vec UNION ALL SELECT id, rank, 0.5E0 FROM graph) GROUP BY id),
+      listed AS (SELECT id, score, source, row_number() OVER (ORDER BY score DESC, source, id) AS rank FROM fused JOIN documents ON doc_id = id),
+      spread AS (SELECT id, score, row_number() OVER (ORDER BY o, rank) AS rank FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY rank) > 3 THEN 1 ELSE 0 END AS o FROM listed))
+      SELECT spread.rank, spread.id AS doc_id, score, kw.rank AS kw_rank, vec.rank AS vec_rank, graph.rank AS graph_rank
+      FROM spread LEFT JOIN kw USING (id) LEFT JOIN vec USING (id) LEFT JOIN graph USING (id) WHERE spread.rank <= 10""".replace("b AS (SELECT p.doc_id", "b_ AS (SELECT p.doc_id"),
+)(flagship)
 
 
-@query("explain_search")
+@query(
+    "explain_search",
+    with_(SYMBOLS, SELECTIONS, f"x AS (WITH {_BASE} SELECT CAST(id AS VARCHAR) AS id, keyword_score, vector_score, base_score FROM base)")
+    + f""", chosen AS (SELECT id, sum(1 / ln(position + 2) * exp(-0.1E0 * greatest(({NOW} - created_at) / 86400.0E0, 0))) AS c FROM selections GROUP BY id),
+      h AS (SELECT x.*, name, kind, file_path, exported, language, CASE WHEN exported THEN 0.1E0 ELSE 0.0E0 END - CASE WHEN kind = 'module' THEN 5.0E0 ELSE 0.0E0 END AS structural_adjust, round(coalesce(c, 0) * 0.1E0, 6) AS learning_boost
+            FROM x JOIN symbols USING (id) LEFT JOIN chosen USING (id)),
+      r AS (SELECT id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(base_score, 6) AS base_score, name, kind, file_path, exported, language, round(structural_adjust, 6) AS structural_adjust,
+            1.0E0 AS intent_mult, 0.0E0 AS definition_bias, round(round(base_score + structural_adjust, 6) + learning_boost, 6) AS score, learning_boost FROM h)
+      SELECT *, row_number() OVER (ORDER BY score DESC, exported DESC, name, file_path, kind, id) AS rank FROM r QUALIFY rank <= 20""",
+)
 def explain_search(spark, d):
     """Every signal of a weighted search, hit by hit."""
     kw, vec = _lists(spark, d)
@@ -431,7 +477,8 @@ def explain_search(spark, d):
     hits = base.join(F.broadcast(base.select("id")), "id").join(symbols(spark, d).select("id", "name", "kind", "file_path", "exported", "language"), "id")
     hits = K.score_hits(hits, "the idiot moron", None)
     hits = K.selected(hits, K.selection_scores(selections(spark, d), None, F.lit(float(NOW))))
-    return K.with_rank(hits).filter("rank <= 20")
+    shown = [F.round(c, 6).alias(c) if c in ("keyword_score", "vector_score", "base_score", "structural_adjust") else c for c in hits.columns]
+    return K.with_rank(hits).filter("rank <= 20").select(*shown, "rank")
 
 
 __all__ = ["flagship"]

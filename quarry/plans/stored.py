@@ -59,7 +59,7 @@ def document_ranks(spark: SparkSession, d: str) -> DataFrame:
         links = docs.select(F.concat(F.lit("s"), "source").alias("src"), F.col("doc_id").cast("string").alias("dst"))
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         ranks = G.pagerank(both.select(F.col("src").alias("id")).distinct(), both, rounds=5, kind_col=None)
-        return ranks.withColumn("id", F.col("id").try_cast("long")).filter("id IS NOT NULL")
+        return ranks.select(F.col("id").try_cast("long").alias("id"), F.round("pagerank", 12).alias("pagerank")).filter("id IS NOT NULL")
 
     return _table(spark, d, "ranks", build)
 
