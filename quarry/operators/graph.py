@@ -44,8 +44,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: f
     base = (1 - damping) / n
     ranks = v.withColumn("pagerank", F.lit(1.0 / n))
     for k in range(1, rounds + 1):
-        came = links.join(ranks, links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("came"))
-        ranks = v.join(came, v.id == came.dst, "left").select("id", (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("pagerank"))
+        came = links.join(ranks, links.src == ranks.id).select(F.col("dst").alias("id"), (F.col("pagerank") * F.col("share")).alias("came"))
+        came = came.unionAll(v.select("id", F.lit(0.0).alias("came")))  # one shuffle a round, by the key of the next join
+        ranks = came.groupBy("id").agg((F.lit(base) + damping * F.sum("came")).alias("pagerank"))
         if k % every == 0 and k < rounds:
             ranks = cut(ranks)
     return ranks
