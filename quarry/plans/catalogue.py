@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookups, more_queries, search_queries, text_queries  # noqa: F401
+from . import lookups, more_queries, search_queries, source_queries, text_queries  # noqa: F401
 from .bindings import ORACLES, QUERIES
 from .search_queries import flagship
 
