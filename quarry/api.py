@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from . import index
 from .functions import text as T
-from .functions.hashing import embed
 from .index import Store
 from .metrics import Metrics
 from .operators import graph as G
@@ -20,6 +19,7 @@ from .operators import relational as R
 from .operators import vector as V
 from .operators.context import render
 from .operators.cut import cut
+from .plugins import HASH, Embedder
 from .search import Answer, Settings, assemble, search
 from .sources.files import normalise, scan
 from .streaming import watch as W
@@ -34,8 +34,8 @@ APPENDS = 16
 class Workspace:
     """A store and the requests over it."""
 
-    def __init__(self, store: Store, roots: list[str] | None = None, settings: Settings | None = None):
-        self.store, self.roots, self.settings = store, roots or [], settings or Settings()
+    def __init__(self, store: Store, roots: list[str] | None = None, settings: Settings | None = None, excluded: list[str] | None = None):
+        self.store, self.roots, self.settings, self.excluded = store, roots or [], settings or Settings(), excluded or []
         self._answers: OrderedDict[tuple, Answer] = OrderedDict()
         self._appended: dict[str, int] = {}
         self.metrics = Metrics()
@@ -169,7 +169,7 @@ class Workspace:
                 raise KeyError(symbol_name)
             own, query = row.id, V.vector_of(self.store["vectors"], row.id)
         else:
-            query = embed(code_snippet or "", 64)
+            query = self.store.embedder.one(code_snippet or "")
         hits = V.similar(self.store["vectors"], query, limit, threshold, None if include_self else own)
         names = self.store["symbols"].select("id", "name", "kind", "file_path", "exported")
         joined = hits.join(names, "id")
@@ -226,7 +226,7 @@ class Workspace:
         some = None if files is None else [self._path(f) for f in files]  # rejects paths outside the workspace
         began = time.time()
         self._answers.clear()
-        self.store, done = index.refresh(self.store, self.roots, some)
+        self.store, done = index.refresh(self.store, self.roots, some, self.excluded)
         row = {"started_at": int(began), "duration_ms": int(1000 * (time.time() - began)), "files_scanned": done["scanned"], "files_indexed": done["indexed"], "files_unchanged": done["unchanged"], "files_deleted": done["deleted"]}
         self.metrics.observe("index", time.time() - began)
         self._append("index_runs", row)
@@ -235,7 +235,7 @@ class Workspace:
     def watch(self, rounds: int, interval: float = 0.25, least: float = 5.0, **kw) -> list[dict[str, int]]:
         """Looks for changes so many times and refreshes after each, at most every ``least`` seconds; a
         failed refresh is tried again. Returns what each refresh did."""
-        return W.watch(lambda: cut(scan(self.store.spark, self.roots, content=False)), lambda _: self.refresh_index(), rounds, interval, least, **kw)
+        return W.watch(lambda: cut(scan(self.store.spark, self.roots, content=False, excluded=self.excluded)), lambda _: self.refresh_index(), rounds, interval, least, **kw)
 
     def follow_selections(self, folder: str, checkpoint: str) -> None:
         """Takes up the selections that arrive in a folder as JSON lines, each file once."""
@@ -270,6 +270,6 @@ class Workspace:
         return self.store["repositories"].orderBy("root_path")
 
 
-def open_workspace(spark, roots: list[str], settings: Settings | None = None) -> Workspace:
-    """Indexes source trees and opens them."""
-    return Workspace(index.build(spark, roots), roots, settings)
+def open_workspace(spark, roots: list[str], settings: Settings | None = None, embedder: Embedder = HASH, excluded: Iterable[str] = ()) -> Workspace:
+    """Indexes source trees, but for what the globs ``excluded`` match, and opens them."""
+    return Workspace(index.build(spark, roots, excluded, embedder), roots, settings, list(excluded))

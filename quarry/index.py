@@ -5,26 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
 from .extract import run as extraction
 from .functions import text as T
-from .functions.hashing import hash_embedding
 from .operators import edges as E
 from .operators import graph as G
 from .operators import vector as V
 from .operators.cut import cut
 from .operators.fulltext import Index, gram_index
+from .plugins import HASH, Embedder
 from .sources import files as S
 from .sources import manifests as M
 from .streaming.watch import compare, counters
 
 #: Tables that a refresh leaves as they are.
 KEPT = ("query_selections", "search_runs", "index_runs", "user_file_affinity")
-#: Name and dimension of the embeddings, bytes of cached ones, and files that a refresh opens one by one.
-MODEL, DIM, CACHE_BYTES, MOST_PATHS = "hash", 64, 1 << 30, 10_000
+#: Bytes of cached embeddings, and files that a refresh opens one by one.
+CACHE_BYTES, MOST_PATHS = 1 << 30, 10_000
 #: Tables whose rows belong to a file and are refreshed with it.
 BY_FILE = ("symbols", "imports", "types", "flows", "todos", "docstrings", "decorators", "framework_patterns")
 
@@ -35,6 +35,7 @@ class Store:
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    embedder: Embedder = HASH
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables and name in schema.TABLES:
@@ -46,11 +47,11 @@ class Store:
         then computed once."""
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-        return Store.load(self.spark, path, list(self.tables))
+        return Store.load(self.spark, path, list(self.tables), self.embedder)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, names: list[str]) -> Store:
-        return cls(spark, {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names})
+    def load(cls, spark: SparkSession, path: str, names: list[str], embedder: Embedder = HASH) -> Store:
+        return cls(spark, {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names}, embedder)
 
     def index(self) -> Index:
         return Index(self["postings"], self["lengths"])
@@ -70,23 +71,23 @@ def _texts(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", "name", text.alias("text"), F.concat_ws(" ", "name", "text").alias("own"))
 
 
-def _searchable(store: Store | None, symbols: DataFrame, stale: DataFrame | None, embed: Column | None) -> dict[str, DataFrame]:
+def _searchable(store: Store | None, symbols: DataFrame, stale: DataFrame | None, embedder: Embedder) -> dict[str, DataFrame]:
     """Postings, vectors and the embedding cache. With a store, rows of ``stale`` ids go and only
     ``symbols`` are analyzed; texts that the cache knows are not embedded again."""
     texts, fields = _texts(symbols), {"name": T.tokens(F.col("name")), "text": T.tokens(F.col("text"))}
     words, grams = Index.build(texts, "id", fields), gram_index(texts, "id", fields)
     spark = symbols.sparkSession
     cache = schema.empty(spark, "embedding_cache") if store is None else store["embedding_cache"]
-    found, new = V.embed_cached(texts, cache.select("cache_key", "embedding"), MODEL, lambda c: (embed if embed is not None else hash_embedding(DIM)(c)).cast("array<float>"), "own")
+    found, new = V.embed_cached(texts, cache.select("cache_key", "embedding"), embedder.name, lambda c: embedder.column(c).cast("array<float>"), "own")
     new = cut(new.dropDuplicates(["cache_key"]))
     now = F.unix_timestamp()
     rows = new.select(
-        "cache_key", F.lit(MODEL).alias("model_name"), F.lit(None).cast("string").alias("text_hash"), "embedding", F.size("embedding").alias("vector_dim"),
+        "cache_key", F.lit(embedder.name).alias("model_name"), F.lit(None).cast("string").alias("text_hash"), "embedding", F.size("embedding").alias("vector_dim"),
         now.alias("created_at"), now.alias("last_accessed_at"), F.lit(1).cast("long").alias("access_count"),
     )
     out = {
         "postings": words.postings, "lengths": words.lengths, "gram_postings": grams.postings.drop("positions"), "gram_lengths": grams.lengths,
-        "vectors": V.checked(found.select("id", F.col("embedding").cast("array<double>").alias("vector")), DIM),
+        "vectors": V.checked(found.select("id", F.col("embedding").cast("array<double>").alias("vector")), embedder.dim),
     }
     if store is not None:
         gone = {"vectors": "id"}
@@ -99,7 +100,7 @@ def _searchable(store: Store | None, symbols: DataFrame, stale: DataFrame | None
     return out
 
 
-def derive(spark: SparkSession, base: dict[str, DataFrame], packages: DataFrame | None = None, embed: Column | None = None, rounds: int = 20, store: Store | None = None, stale: DataFrame | None = None, fresh: DataFrame | None = None) -> Store:
+def derive(spark: SparkSession, base: dict[str, DataFrame], packages: DataFrame | None = None, embedder: Embedder = HASH, rounds: int = 20, store: Store | None = None, stale: DataFrame | None = None, fresh: DataFrame | None = None) -> Store:
     """The store of extracted tables: edges, evidence, usages, tests, ranks, postings, vectors. With the
     ``store`` of before, postings and vectors of ``stale`` ids go and those of ``fresh`` symbols come; edges
     and ranks are derived anew, as a changed file may be the end of any other's."""
@@ -114,9 +115,9 @@ def derive(spark: SparkSession, base: dict[str, DataFrame], packages: DataFrame
     ranks = G.pagerank(symbols, edges, rounds).join(G.degrees(symbols, edges), "id", "right").fillna(0.0, ["pagerank"])
     tests = symbols.select("file_path").distinct().filter(T.is_linked_test(F.col("file_path")))
     links = tests.select(F.col("file_path").alias("test_file_path"), T.tested_source(F.col("file_path")).alias("source_file_path"), F.lit("bidirectional").alias("link_direction")).filter("source_file_path IS NOT NULL")
-    if store is not None and ("vectors" not in store.tables or V.migrated(store["vectors"], DIM)[1]):
+    if store is not None and ("vectors" not in store.tables or V.migrated(store["vectors"], embedder.dim)[1]):
         store = None  # vectors of another dimension: everything is embedded anew
-    searched = _searchable(None, real, None, embed) if store is None else _searchable(store, fresh.filter("kind <> 'file'"), stale, embed)
+    searched = _searchable(None, real, None, embedder) if store is None else _searchable(store, fresh.filter("kind <> 'file'"), stale, embedder)
     tables = dict(base) | searched | {
         "resolved_imports": imports,
         "edges": edges,
@@ -128,21 +129,21 @@ def derive(spark: SparkSession, base: dict[str, DataFrame], packages: DataFrame
     }
     if packages is not None:
         tables["packages"] = packages
-    return Store(spark, tables)
+    return Store(spark, tables, embedder)
 
 
 def workspaces(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
     """(packages with their repository, repositories) of all roots."""
-    held = cut(M.read(spark, roots, roots[0]))
+    held = cut(M.read(spark, roots, roots[0]).unionByName(M.enclosing(spark, roots[0])))
     repositories = cut(M.repositories(held))
     return cut(M.in_repositories(M.packages(M.discover(held)), repositories)), repositories
 
 
-def build(spark: SparkSession, roots: list[str], excluded: Iterable[str] = ()) -> Store:
+def build(spark: SparkSession, roots: list[str], excluded: Iterable[str] = (), embedder: Embedder = HASH) -> Store:
     """The store of source trees."""
     files = cut(S.scan(spark, roots, excluded=excluded))
     packages, repositories = workspaces(spark, roots)
-    store = derive(spark, facts(files), packages)
+    store = derive(spark, facts(files), packages, embedder)
     store.tables["repositories"] = repositories
     store.tables["file_fingerprints"] = files.select("file_path", "mtime_ns", "size_bytes")
     return store
@@ -170,13 +171,13 @@ def refresh(store: Store, roots: list[str], files: list[str] | None = None, excl
     packages, repositories = workspaces(spark, roots)
     moved = packages.select("id", "name", "root").exceptAll(store["packages"].select("id", "name", "root")).isEmpty() if "packages" in store.tables else False
     if not done["indexed"] and not done["deleted"] and moved:
-        return Store(spark, dict(store.tables)), done
+        return Store(spark, dict(store.tables), store.embedder), done
     todo = cut(now.join(changes.filter(F.col("state").isin("new", "changed")).select("file_path"), "file_path", "left_semi"))
     gone = changes.filter(F.col("state").isin("deleted", "changed")).select("file_path")
     fresh = {n: cut(t) if n == "symbols" else t for n, t in facts(_changed(spark, roots, todo)).items()}
     stale = cut(store["symbols"].join(gone, "file_path", "left_semi").select("id").unionByName(fresh["symbols"].select("id")).distinct())
     base = {n: store[n].join(gone, "file_path", "left_anti").unionByName(fresh[n].select(*store[n].columns)) for n in BY_FILE}
-    out = derive(spark, base, packages, store=store, stale=stale, fresh=fresh["symbols"])
+    out = derive(spark, base, packages, store.embedder, store=store, stale=stale, fresh=fresh["symbols"])
     rest = looked[0].select("file_path")
     out.tables["file_fingerprints"] = before.join(rest, "file_path", "left_anti").unionByName(now.select("file_path", "mtime_ns", "size_bytes"))
     out.tables["repositories"] = repositories

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .functions import query as Q
 from .functions import text as T
-from .functions.hashing import embed
 from .index import Store
 from .operators import context as C
 from .operators import fulltext as FT
@@ -38,6 +37,7 @@ class Settings:
     write_code: object = None  # callback of hypothetical code: (query, language) -> str
     scorer: object = None  # callback of a reranker: (query, text) -> 0..1
     rerank: bool = False
+    counter: object = C.count_tokens  # callback that counts a text's model tokens: str -> int
     now: float | None = None  # seconds that feedback is aged to; the clock if not given
     judged: dict = field(default_factory=dict)  # what the scorer said of pairs of query and text
 
@@ -58,10 +58,10 @@ def _keyword(store: Store, text: str, k: int) -> DataFrame:
 
 
 def _vectors(store: Store, text: str, k: int, settings: Settings) -> DataFrame:
-    near = V.knn(store["vectors"], embed(text, 64), k)
+    near = V.knn(store["vectors"], store.embedder.one(text), k)
     made = Q.hypothetical(text, settings.write_code) if settings.write_code else None
     if made:
-        more = V.knn(store["vectors"], embed(made, 64), max(1, k // 2))
+        more = V.knn(store["vectors"], store.embedder.one(made), max(1, k // 2))
         near = near.unionByName(more.withColumn("rank", F.col("rank") + k))
     return small(near)
 
@@ -140,11 +140,11 @@ def _answer(store: Store, query: str, intent: str | None, hits: DataFrame, setti
     if not context:
         return Answer(query, intent, hits)
     rows = hits.select("rank", "id").collect()  # at most ``limit`` rows
-    items = assemble(store, [r.id for r in sorted(rows)], settings.budget, query=Q.parse_controls(query).text)
+    items = assemble(store, [r.id for r in sorted(rows)], settings.budget, query=Q.parse_controls(query).text, counter=settings.counter)
     return Answer(query, intent, hits, C.render(items), items)
 
 
-def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = False, examples: int = 5, related: int = 50, query: str = "") -> list[C.Item]:
+def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = False, examples: int = 5, related: int = 50, query: str = "", counter=C.count_tokens) -> list[C.Item]:
     """Items of a context: the symbols, examples of their use, the types and parents they name, and what
     they lead to. Of an item too long for what is left of its share, the lines nearest to ``query`` stay."""
     if not ids:
@@ -165,18 +165,18 @@ def assemble(store: Store, ids: list[str], budget: int = 8192, full: bool = Fals
     items = [C.Item(r.id, r.name, r.kind, r.file_path, r.text, "root" if r.tier == 0 else "expanded", docstring=r.summary) for r in got]
     uses = R.first_per(store["usage_examples"].filter(F.col("to_id").isin(*ids)), ["to_id"], ["type", "file_path", "line"], examples).collect()
     items += [C.Item(f"usage:{u.to_id}:{k}", u.type, "usage", u.file_path, u.snippet, "extra") for k, u in enumerate(sorted(uses, key=lambda u: (place[u.to_id], u.type, u.file_path)))]
-    items = _with_types(store, ids, items, symbols.select(*cols), budget // 10)
-    return C.pack(items, budget, relevance=_relevance(query) if query else None)
+    items = _with_types(store, ids, items, symbols.select(*cols), budget // 10, counter)
+    return C.pack(items, budget, counter, _relevance(query) if query else None)
 
 
-def _with_types(store: Store, ids: list[str], items: list[C.Item], symbols: DataFrame, budget: int) -> list[C.Item]:
+def _with_types(store: Store, ids: list[str], items: list[C.Item], symbols: DataFrame, budget: int, counter) -> list[C.Item]:
     """Items with the types and parents that the first ones name, as far as a budget goes."""
     place = {i: k for k, i in enumerate(ids)}
     e = store["edges"].filter(F.col("src").isin(*ids) & F.col("type").isin("type", "reference", "extends", "implements"))
     e = R.first_per(e, ["src"], ["type", "dst"], 20).select("src", F.col("type").alias("_type"), F.col("dst").alias("id"))
     rows = e.join(symbols, "id").collect()  # at most 20 a root
     found = [(C.Item(r.id, r.name, r.kind, r.file_path, r.text, "extra"), r._type) for r in sorted(rows, key=lambda r: (place[r.src], r._type, r.id))]
-    more = C.auto_include(found, {i.id for i in items if i.role == "root"}, budget)
+    more = C.auto_include(found, {i.id for i in items if i.role == "root"}, budget, counter)
     taken = {i.id for i in more}
     return [i for i in items if i.id not in taken or i.role == "root"] + more
 

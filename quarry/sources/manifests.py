@@ -99,3 +99,18 @@ def read(spark: SparkSession, roots: str | list[str], base: str | None = None) -
     name = F.element_at(F.split(path, "/"), -1)
     rows = raw.withColumn("file_path", path).filter(name.isin(*MANIFESTS) | F.col("file_path").endswith(".git/config"))
     return rows.filter(F.is_valid_utf8(F.col("content"))).select("file_path", F.col("content").cast("string").alias("text"))
+
+
+def enclosing(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, text): settings of the repository that a root lies in, if it begins above the root."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own, at = jvm.org.apache.hadoop.fs.Path(path, ".git/config"), path.getParent()
+    while at is not None and not fs.exists(own):  # one step a directory above the root
+        config = jvm.org.apache.hadoop.fs.Path(at, ".git/config")
+        if fs.exists(config):
+            text = spark.read.text(config.toString(), wholetext=True)
+            return text.select(F.lit(".git/config").alias("file_path"), F.col("value").alias("text"))
+        at = at.getParent()
+    return spark.createDataFrame([], "file_path string, text string")

@@ -205,3 +205,35 @@ def test_watch(workspace):
         f.write("export function watchedOne() { return 1; }\n")
     done = workspace.watch(2, interval=0.05, least=0.0, sleep=lambda _: None)
     assert len(done) == 1 and workspace.get_definition("watchedOne").count() == 1
+
+
+def test_repository_above_the_root(spark, tmp_path):
+    from quarry.index import workspaces
+
+    (tmp_path / "repo" / ".git").mkdir(parents=True)
+    (tmp_path / "repo" / ".git" / "config").write_text('[remote "origin"]\n\turl = https://example.com/up.git\n')
+    root = tmp_path / "repo" / "sub" / "tree"
+    root.mkdir(parents=True)
+    (root / "go.mod").write_text("module example.com/deep\n\ngo 1.2\n")
+    packages, repositories = workspaces(spark, [str(root)])
+    (repo,) = repositories.collect()
+    assert repo.root_path == "" and repo.remote_url == "https://example.com/up.git"
+    assert [(p.name, p.repository_id) for p in packages.collect()] == [("deep", repo.id)]
+
+
+def test_embedder_of_the_caller(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.index import Store, _searchable
+    from quarry.plugins import Embedder
+
+    own = Embedder("lengths", 2, lambda c: F.array(F.length(c).cast("double"), F.lit(1.0)), lambda t: [float(len(t)), 1.0])
+    ddl = "id string, name string, text string, file_path string"
+    syms = spark.createDataFrame([("a", "n", "some text", "x.ts"), ("b", "m", "more", "y.ts")], ddl)
+    got = Store(spark, _searchable(None, syms, None, own), own)
+    assert {r.id: list(r.vector) for r in got["vectors"].collect()} == {"a": [11.0, 1.0], "b": [6.0, 1.0]}
+    assert {r.model_name for r in got["embedding_cache"].collect()} == {"lengths"}
+    more = spark.createDataFrame([("c", "n", "some text", "z.ts")], ddl)
+    again = Store(spark, _searchable(got, more, syms.filter("id = 'b'").select("id"), own), own)
+    assert {r.id for r in again["vectors"].collect()} == {"a", "c"} and again["embedding_cache"].count() == 2
+    assert {r.doc for r in again["postings"].select("doc").distinct().collect()} == {"a", "c"}
