@@ -1,18 +1,18 @@
 """Lexical retrieval packing into fixed windows.
 
 Documents are tokenised and dealt into shards by content: each gets a sketch of four min-hashes of its
-terms, rarer ones weighing more, documents are sorted by sketch over the whole corpus, and the sorted
-sequence is cut into shards of bounded size. Documents that share many terms thus tend to share a shard,
-and equal sketches (a hot text, a template) are cut like all others, by a hash and then by row. Every shard
-builds a BM25 inverted index of its own. A window starts from a seed document; the index returns the unused
+terms, rarer ones weighing more. Buckets of the first min-hash, at most as many as the vocabulary has terms,
+are counted and put together in order up to a shard's share of all tokens; a bucket above that (a hot text,
+a template) is split evenly by row. Documents that share many terms thus tend to share a shard, and shards
+weigh alike. Every shard builds a BM25 inverted index of its own. A window starts from a seed document; the index returns the unused
 documents closest to it, which fill the window greedily. The document that crosses the window's end is cut
 there and its rest seeds the next window, so windows are full. What is left at the end of a shard is cut
 into windows whose lengths are powers of two, which need no padding.
 
 Nulls: a null text counts as empty and yields its end token alone; identifiers may be null. Rows
 repeated with the same identifier are packed each on its own. Ties of a score go by the shard's order.
-Extra columns are ignored; an empty table gives an empty one. The cuts between shards come from a sample of
-the sketches, so another run may pack the same documents into other windows.
+Extra columns are ignored; an empty table gives an empty one. Nothing is drawn at random: reruns over the
+same files agree.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,9 +181,9 @@ def _tokenise(path: str | None, end: int):
             got = [x + tail for x in ids.batch(part.column("_text").to_pylist())]
             sketches = pa.array([sketch(np.frombuffer(x, ids.kind), size) for x in got], pa.int64())
             wide = pa.array([ids.kind == "<u4"] * part.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("_id", "_h", "_row")), sketches, wide, pa.array(got, pa.binary())], names=["_id", "_h", "_row", "_sketch", "_wide", "_ids"]
-            )
+            sizes = pa.array([len(x) // np.dtype(ids.kind).itemsize for x in got], pa.int64())
+            own = [part.column(c) for c in ("_id", "_h", "_row")]
+            yield pa.RecordBatch.from_arrays([*own, sketches, sizes, wide, pa.array(got, pa.binary())], names=["_id", "_h", "_row", "_sketch", "_n", "_wide", "_ids"])
 
     return run
 
@@ -278,10 +277,28 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
         yield out
 
 
+def shares(buckets: list[tuple[int, int]], each: float) -> list[tuple[int, int, int]]:
+    """(bucket, first shard, shards) of buckets (number, tokens) in order: small ones share a shard until it
+    holds ``each`` tokens, larger ones have as many of their own as they need."""
+    out, shard, held = [], 0, 0.0
+    for number, n in sorted(buckets):
+        if n >= each:
+            if held:
+                shard, held = shard + 1, 0.0
+            k = int(-(-n // each))
+            out.append((number, shard, k))
+            shard += k
+            continue
+        out.append((number, shard, 1))
+        held += n
+        if held >= each:
+            shard, held = shard + 1, 0.0
+    return out
+
+
 def _pack(window: int, most_docs: int, most_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        ids, docs, tokens, sequence = [], [], 0, 0
+        shard, ids, docs, tokens, sequence = None, [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, docs, tokens, sequence
@@ -290,7 +307,7 @@ def _pack(window: int, most_docs: int, most_tokens: int):
                 offset = 0
                 for doc, start, n in pieces:
                     crc = zlib.crc32(docs[doc][start : start + n].tobytes())
-                    for col, v in zip(cols, (ids[doc], start, n, crc, len(docs[doc]), first + sequence, offset), strict=True):
+                    for col, v in zip(cols, (ids[doc], start, n, crc, len(docs[doc]), (shard << 32) + sequence, offset), strict=True):
                         col.append(v)
                     offset += n
                 sequence += 1
@@ -299,9 +316,11 @@ def _pack(window: int, most_docs: int, most_tokens: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in slices(batches, 500):
-            for i, wide, raw in zip(*(b.column(c).to_pylist() for c in ("_id", "_wide", "_ids")), strict=True):
-                if len(docs) >= most_docs or tokens >= most_tokens:
+            for s, i, wide, raw in zip(*(b.column(c).to_pylist() for c in ("_shard", "_id", "_wide", "_ids")), strict=True):
+                if s != shard or len(docs) >= most_docs or tokens >= most_tokens:
                     yield from flush()
+                    sequence = sequence if s == shard else 0
+                    shard = s
                 d = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
                 ids.append(i)
                 docs.append(d)
@@ -325,9 +344,15 @@ def pack(
     lean(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    tokens = rows.mapInArrow(_tokenise(tokenizer, end), "_id long, _h long, _row long, _sketch long, _wide boolean, _ids binary")
-    tokens = materialize(tokens, "tokens")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tokens.count() // shard_docs + 1, MOST_PARTS))
-    by = ["_sketch", "_h", "_row"]
-    dealt = tokens.repartitionByRange(n, *by).sortWithinPartitions(*by).select("_id", "_wide", "_ids")
+    tokens = rows.mapInArrow(_tokenise(tokenizer, end), "_id long, _h long, _row long, _sketch long, _n long, _wide boolean, _ids binary")
+    tokens = materialize(tokens.withColumn("_bucket", F.shiftright("_sketch", 48).cast("int")), "tokens")
+    found = tokens.groupBy("_bucket").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("c")).collect()  # a row per term at most
+    shards = max(1, sum(r.c for r in found) // shard_docs)
+    each = max(1.0, sum(r.n for r in found) / shards)
+    given = spark.createDataFrame(shares([(r._bucket, r.n) for r in found], each), "_bucket int, _first long, _of long")
+    part = F.pmod(F.xxhash64("_h", "_row"), F.col("_of"))
+    sharded = tokens.join(F.broadcast(given), "_bucket").withColumn("_shard", F.col("_first") + part)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, MOST_PARTS))
+    by = ["_shard", "_sketch", "_h", "_row"]
+    dealt = sharded.select(*by, "_id", "_wide", "_ids").repartition(n, "_shard").sortWithinPartitions(*by).select("_shard", "_id", "_wide", "_ids")
     return dealt.mapInArrow(_pack(window, 2 * shard_docs, MOST_TOKENS), SCHEMA).withColumnRenamed("doc_id", id_col)

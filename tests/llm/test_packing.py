@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm.packing import Ids, Index, default_tokenizer, pack, pack_shard, sketch
+from quarry.llm.packing import Ids, Index, default_tokenizer, pack, pack_shard, shares, sketch
 
 SCHEMA = "doc_id long, text string, start string, _h int"
 TEXTS = ["The quick, brown fox. " * 400, "", None, "a", "don't <|endoftext|> stop now é é İ ΑΣ", "x" * 20_000, "fox and dog\n\n\tand 1234 ..."]
@@ -101,5 +101,20 @@ def test_equal_documents_are_dealt_out(spark):
     got = pack(docs, shard_docs=100).collect()
     per = {}
     for r in got:
-        per[r.sequence_id >> 32] = per.get(r.sequence_id >> 32, 0) + 1
-    assert len(per) >= 6 and sum(r.length for r in got) == 900 * len(ids(rows[0][1]))
+        per[r.sequence_id >> 32] = per.get(r.sequence_id >> 32, 0) + r.length
+    assert len(per) >= 8 and max(per.values()) < 2 * min(per.values())
+    again = pack(docs, shard_docs=100).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    assert sum(r.length for r in got) == 900 * len(ids(rows[0][1]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=30), st.integers(1, 60))
+def test_shares(sizes, each):
+    got = shares(list(enumerate(sizes)), each)
+    assert [b for b, *_ in got] == list(range(len(sizes)))
+    held = {}
+    for b, first, k in got:
+        for s in range(first, first + k):
+            held[s] = held.get(s, 0) + sizes[b] / k
+    assert sorted(held) == list(range(len(held))) and all(n < 2 * each for n in held.values())
