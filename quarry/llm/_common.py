@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from ctypes import CDLL
 from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+_LIBC = CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -101,10 +105,17 @@ def lean(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of few rows, so that Python holds few texts at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    """Batches in parts of few rows, so that Python holds few texts at a time. What a task took goes back to
+    the system at its end: workers live on and would keep it while the next stages run."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(_LIBC, "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
 
 
 def crc_fold(col: str | Column, folds: int) -> Column:
