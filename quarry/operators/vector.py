@@ -6,7 +6,9 @@ literal, so a search is one scan with a partial top-k and no shuffle of vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +93,25 @@ def trim_cache(cache: DataFrame, most_bytes: int, share: float = 0.1) -> DataFra
     size = cache.agg(F.sum(F.size("embedding") * 4)).first()[0] or 0
     if size <= most_bytes:
         return cache
-    cut = cache.agg(F.percentile_approx("last_accessed_at", share)).first()[0]
-    return cache.filter(F.col("last_accessed_at") > cut)
+    return cache.filter(F.col("last_accessed_at") > quantile(cache, "last_accessed_at", share))
+
+
+def quantile(rows: DataFrame, col: str, share: float) -> int | None:
+    """The least value of a column of whole numbers that a share of its values does not exceed, exact at any
+    size (quantile_disc in SQL); None without values. Each round counts at most 4,097 ranges of equal width
+    and goes on in the one that holds the rank: three rounds for a hundred million successive numbers, six at most."""
+    x = F.col(col)
+    n, low, high = rows.agg(F.count(x), F.min(x), F.max(x)).first()
+    rank = max(1, math.ceil(n * Fraction(str(share))))
+    while n and low < high:
+        shift = max(0, (high - low).bit_length() - 12)
+        counts = rows.filter(x.between(low, high)).groupBy(F.shiftright(x, shift).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+        for at, here in sorted(tuple(r) for r in counts.collect()):
+            if rank <= here:
+                break
+            rank -= here
+        low, high = max(low, at << shift), min(high, ((at + 1) << shift) - 1)
+    return low
 
 
 def checked(batch: DataFrame, dim: int, vec_col: str = "vector") -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +188,22 @@ def test_vectors(spark):
     assert V.trim_cache(cache, 10**9).count() == 20 and V.trim_cache(cache, 10).count() == 18
 
 
+def test_trim_cache_is_exact(spark):
+    """percentile_approx misses the rank on long columns and reads whole numbers as doubles."""
+    long = spark.range(0, 250_000, 1, 6).select(F.col("id").alias("last_accessed_at"), F.array(F.lit(0.0)).alias("embedding"))
+    kept = V.trim_cache(long, 10).agg(F.count("*").alias("n"), F.min("last_accessed_at").alias("least")).first()
+    assert tuple(kept) == (225_000, 25_000)
+    top, rng = 2**63 - 1, random.Random(5)
+    cases = [([2**53 + k for k in range(1, 21)], 0.05), ([-top - 1, top], 0.1), ([1] * 10 + [2] * 90, 0.1), ([None, 3, None, 4], 0.1), ([rng.randint(-top, top) for _ in range(500)], 0.3)]
+    for values, share in cases:
+        known = sorted(v for v in values if v is not None)
+        cut = known[math.ceil(len(known) * Fraction(str(share))) - 1]
+        cache = frame(spark, "last_accessed_at long, embedding array<double>", *[(v, [0.0] * 8) for v in values])
+        assert sorted(r.last_accessed_at for r in V.trim_cache(cache, 10, share).collect()) == [v for v in known if v > cut]
+    empty = frame(spark, "last_accessed_at long, embedding array<double>", (None, [0.0] * 8))
+    assert V.quantile(empty, "last_accessed_at", 0.1) is None and V.trim_cache(empty, 10).count() == 0
+
+
 def test_tables(spark):
     rows = frame(spark, "src string, dst string, type string, at_file string, at_line int, confidence double, evidence_count int, resolution string, seq int",
                  ("a", "b", "call", None, None, 0.5, 1, "unknown", 1), ("a", "b", "call", "f", 3, 0.9, 4, "import", 2), ("a", "b", "call", "g", 9, 0.1, 2, "import", 3))
